@@ -1,6 +1,11 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from pathline.llm import quality
+from pathline.llm import counts, pieces, quality, secrets
 
-QUERIES = {"op4_quality_rules": quality.op4_quality_rules}
-ORACLES = {"op4_quality_rules": quality.OP4_SQL}
+QUERIES = {
+    "op2_secret_scans": secrets.op2_secret_scans,
+    "op3_token_counts": counts.op3_token_counts,
+    "op4_quality_rules": quality.op4_quality_rules,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
+}
+ORACLES = {"op2_secret_scans": secrets.OP2_SQL, "op4_quality_rules": quality.OP4_SQL}
