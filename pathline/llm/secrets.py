@@ -1,7 +1,7 @@
 """Secret scans by a trigram inverted index.
 
 Each rule's regular expression is turned into a Boolean query over trigrams that every
-match must hold. A segment (an Arrow batch of documents in one task) has its own inverted
+match must hold. A segment (some megabytes of documents in one task) has its own inverted
 index of the trigrams that occur in queries; postings are intersected and joined into the
 rule's candidates, and only those are searched. Rules without mandatory trigrams search
 every text. Segments are independent: no shuffle, and no list longer than a segment.
@@ -99,7 +99,7 @@ def _node(op, arg):
                 chars |= {chr(c).encode().lower() for c in range(a[0], a[1] + 1)}
             else:
                 return None, True
-        return (chars, True) if len(chars) <= 3 else (None, True)
+        return (chars, True) if len(chars) <= 8 else (None, True)
     if op is K.SUBPATTERN:
         return _sequence(arg[3])
     if op is K.BRANCH:
@@ -157,6 +157,10 @@ def _code(gram: bytes) -> int:
     return gram[0] << 16 | gram[1] << 8 | gram[2]
 
 
+#: A segment ends with the document that fills it.
+SEGMENT_BYTES = 4 << 20
+
+
 class Segment:
     """Inverted index of some documents: for each wanted trigram the sorted numbers of those that have it."""
 
@@ -199,17 +203,21 @@ class Scanner:
     def spans(self, texts: list[str]) -> list[list[tuple[int, int, int]]]:
         """For each text (start, number of the rule, end) in order, in code points."""
         found: list[list] = [[] for _ in texts]
-        segment = Segment([t.encode() for t in texts], self.grams)
-        for k, rule, pattern, query in self.rules:
-            for i in segment.candidates(query).tolist():
-                found[i] += [(m.start(), k, m.end()) for m in pattern.finditer(texts[i]) if m.end(rule.group) - m.start(rule.group) >= rule.least]
+        first, size, raw = 0, 0, []
+        for i, t in enumerate(texts):
+            raw.append(t.encode())
+            size += len(raw[-1])
+            if size >= SEGMENT_BYTES or i == len(texts) - 1:
+                self._scan(Segment(raw, self.grams), texts[first : i + 1], found[first : i + 1])
+                first, size, raw = i + 1, 0, []
         for f in found:
             f.sort()
         return found
 
-
-def _joined(spans, rules, n: int) -> str:
-    return ",".join(f"{rules[k].kind}:{a}:{b}" for a, k, b in spans if k < n)
+    def _scan(self, segment: Segment, texts: list[str], found: list[list]) -> None:
+        for k, rule, pattern, query in self.rules:
+            for i in segment.candidates(query).tolist():
+                found[i] += [(m.start(), k, m.end()) for m in pattern.finditer(texts[i]) if m.end(rule.group) - m.start(rule.group) >= rule.least]
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
