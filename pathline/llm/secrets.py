@@ -9,7 +9,6 @@ every text. Segments are independent: no shuffle, and no list longer than a segm
 
 from __future__ import annotations
 
-import hashlib
 import re
 from dataclasses import dataclass
 from re import _constants as K
