@@ -1,8 +1,9 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-from pathline.llm import contamination, counts, jaccard, pieces, quality, secrets
+from pathline.llm import contamination, counts, jaccard, pieces, quality, secrets, substrings
 
 QUERIES = {
+    "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_token_counts": counts.op3_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
@@ -10,4 +11,4 @@ QUERIES = {
     "op9_benchmark_decontamination": contamination.op9_benchmark_decontamination,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
-ORACLES = {"op2_secret_scans": secrets.OP2_SQL, "op4_quality_rules": quality.OP4_SQL, "op8_ngram_jaccard_join": jaccard.OP8_SQL, "op9_benchmark_decontamination": contamination.OP9_SQL}
+ORACLES = {"op1_substring_dedup": substrings.OP1_SQL, "op2_secret_scans": secrets.OP2_SQL, "op4_quality_rules": quality.OP4_SQL, "op8_ngram_jaccard_join": jaccard.OP8_SQL, "op9_benchmark_decontamination": contamination.OP9_SQL}
