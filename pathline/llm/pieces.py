@@ -13,7 +13,9 @@ import functools
 import hashlib
 import re
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
@@ -117,8 +119,8 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def encode_decode(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids_length (characters of the ids' text).
+def encode_decode(docs: DataFrame, model: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array of int).
 
     A row for each row; null text is an empty text with no ids. Rows stay where they are:
     no shuffle, and a text of any length takes time in proportion to it.
@@ -129,25 +131,18 @@ def encode_decode(docs: DataFrame, model: str) -> DataFrame:
 
         def run(texts):
             rows = [table.digest(t) for t in texts]
-            return {
+            out = {
                 "n_tokens": [r[0] for r in rows],
                 "ids_sha256": [r[2] for r in rows],
                 "decoded_sha256": [hashlib.sha256(r[3].encode()).hexdigest() for r in rows],
             }
+            if with_ids:
+                out["ids"] = pa.array([np.fromstring(r[1], dtype=np.int32, sep=",") for r in rows], type=pa.list_(pa.int32()))
+            return out
 
         return run
 
-    return map_texts(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def token_ids(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id and the ids themselves."""
-
-    def make():
-        table = pieces(model)
-        return lambda texts: {"ids": [table.encode(t) for t in texts]}
-
-    return map_texts(docs, make, "ids array<int>")
+    return map_texts(docs, make, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:

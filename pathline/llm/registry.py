@@ -1,5 +1,6 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
+import corpus_pipeline
 from pathline.llm import contamination, counts, jaccard, pieces, quality, secrets, substrings
 
 QUERIES = {
@@ -10,5 +11,6 @@ QUERIES = {
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_benchmark_decontamination": contamination.op9_benchmark_decontamination,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op1_substring_dedup": substrings.OP1_SQL, "op2_secret_scans": secrets.OP2_SQL, "op4_quality_rules": quality.OP4_SQL, "op8_ngram_jaccard_join": jaccard.OP8_SQL, "op9_benchmark_decontamination": contamination.OP9_SQL}
