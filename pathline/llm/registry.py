@@ -1,16 +1,18 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
 import corpus_pipeline
-from pathline.llm import contamination, counts, jaccard, pieces, quality, secrets, substrings
+from pathline.llm import contamination, counts, jaccard, pieces, quality, secrets, shards, substrings, urls
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_token_counts": counts.op3_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op6_url_filters": urls.op6_url_filters,
+    "op7_sharding": shards.op7_sharding,
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_benchmark_decontamination": contamination.op9_benchmark_decontamination,
     "op10_sentencepiece": pieces.op10_sentencepiece,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_substring_dedup": substrings.OP1_SQL, "op2_secret_scans": secrets.OP2_SQL, "op4_quality_rules": quality.OP4_SQL, "op8_ngram_jaccard_join": jaccard.OP8_SQL, "op9_benchmark_decontamination": contamination.OP9_SQL}
+ORACLES = {"op6_url_filters": urls.OP6_SQL, "op7_sharding": shards.OP7_SQL, "op1_substring_dedup": substrings.OP1_SQL, "op2_secret_scans": secrets.OP2_SQL, "op4_quality_rules": quality.OP4_SQL, "op8_ngram_jaccard_join": jaccard.OP8_SQL, "op9_benchmark_decontamination": contamination.OP9_SQL}
