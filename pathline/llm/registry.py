@@ -1,13 +1,14 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
 import corpus_pipeline
-from pathline.llm import contamination, counts, jaccard, pieces, quality, secrets, shards, substrings, urls
+from pathline.llm import contamination, counts, jaccard, pieces, pii, quality, secrets, shards, substrings, urls
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_token_counts": counts.op3_token_counts,
     "op4_quality_rules": quality.op4_quality_rules,
+    "op5_pii": pii.op5_pii,
     "op6_url_filters": urls.op6_url_filters,
     "op7_sharding": shards.op7_sharding,
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
