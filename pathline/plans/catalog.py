@@ -21,7 +21,9 @@ from pathline.operators import retrieval as R
 from pathline.operators import telemetry as H
 from pathline.operators import tracking as T
 from pathline.sources import tables as S
+from pathline.sources.shared import new_folder
 from pathline.sources.views import ctes, load
+from pathline.streaming import online as W
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -729,3 +731,39 @@ SELECT id, CAST(pos AS INT) AS pos, round(((p[3 - pos] + p[6 - pos] + p[9 - pos]
 def embed_hook(spark, sf_dir):
     crops = load(spark, sf_dir, "features").select(F.col("vec_id").alias("id"), F.transform(F.slice(doubles("embedding"), 1, 12), lambda x: x * 100).alias("pixels"), F.lit(2).alias("h"), F.lit(2).alias("w"))
     return rounded(_long(U.embed_crops(crops, _ChannelMeans), "id"), "value")
+
+
+# --- streams ---------------------------------------------------------------------------------------------
+
+
+def streamed(rows: DataFrame, parts: int, order: str, name: str) -> DataFrame:
+    """rows written as `parts` files, in order of a column, and opened as a stream that reads one file at a time."""
+    spark, at = rows.sparkSession, new_folder(rows.sparkSession, name)
+    lo, hi = rows.agg(F.min(order), F.max(order)).first()
+    step = ((hi or 0) - (lo or 0)) // parts + 1
+    for k in range(parts):
+        rows.filter(F.floor((F.col(order) - F.lit(lo)) / step) == k).coalesce(1).write.mode("append").parquet(at)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
+
+
+def finished(out: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """All that a stream gives for what is there now, as a table."""
+    spark, at = out.sparkSession, new_folder(out.sparkSession, name)
+    (out.writeStream.outputMode(mode).format("parquet").option("path", at).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(out.schema).parquet(at)
+
+
+@query()
+def track_stream(spark, sf_dir):
+    """The same rows as track_batch, from a stream of files with a flush at its end."""
+    dets = _cleaned(spark, sf_dir).select("camera_id", "frame", "det_id", "x1", "y1", "x2", "y2", F.lit(False).alias("flush"))
+    last = dets.agg(F.max("frame")).first()[0]
+    end = dets.select("camera_id").distinct().select("camera_id", F.lit(last + 1).alias("frame"), F.lit(-1).cast("long").alias("det_id"), *[F.lit(0.0).alias(c) for c in ("x1", "y1", "x2", "y2")], F.lit(True).alias("flush"))
+    out = finished(W.track_stream(streamed(dets.union(end), 4, "frame", "frames")), "tracks")
+    return rounded(out, "x1", "y1", "x2", "y2", digits=4)
+
+
+@query(ctes("metrics") + f" SELECT name, seq, round(median(value) {_W.format(19)}, 6) AS median, round(avg(value) {_W.format(19)}, 6) AS mean FROM metrics")
+def metric_stream(spark, sf_dir):
+    out = finished(W.rolling_stream(streamed(_metrics(spark, sf_dir), 3, "seq", "metrics")), "rolling")
+    return rounded(out.select("name", "seq", "median", "mean"), "median", "mean")
