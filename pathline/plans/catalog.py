@@ -41,8 +41,9 @@ def query(oracle: str | None = None):
     return add
 
 
-def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) + F.lit(0.0) for n in names})
+def rounded(df: DataFrame, *names: str, digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """nudge: means of values of two decimals can lie half-way between two results, where engines differ."""
+    return df.withColumns({n: F.round(F.col(n) + nudge, digits) + F.lit(0.0) for n in names})
 
 
 def _split(spark, sf_dir: str, view: str = "features") -> tuple[DataFrame, DataFrame]:
@@ -595,9 +596,9 @@ def metric_latest(spark, sf_dir):
 _W = "OVER (PARTITION BY name ORDER BY iteration, seq ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
 
 
-@query(ctes("metrics") + f" SELECT name, seq, round(median(value) {_W.format(19)}, 6) AS median, round(avg(value) {_W.format(19)}, 6) AS mean, round(avg(value) {_W.format('UNBOUNDED')}, 6) AS global_mean FROM metrics")
+@query(ctes("metrics") + f" SELECT name, seq, round(median(value) {_W.format(19)} + 1e-9, 6) AS median, round(avg(value) {_W.format(19)} + 1e-9, 6) AS mean, round(avg(value) {_W.format('UNBOUNDED')} + 1e-9, 6) AS global_mean FROM metrics")
 def metric_smooth(spark, sf_dir):
-    return rounded(H.rolling(_metrics(spark, sf_dir), 20).select("name", "seq", "median", "mean", "global_mean"), "median", "mean", "global_mean")
+    return rounded(H.rolling(_metrics(spark, sf_dir), 20).select("name", "seq", "median", "mean", "global_mean"), "median", "mean", "global_mean", nudge=1e-9)
 
 
 @query(ctes("metrics") + " SELECT name, seq FROM metrics QUALIFY row_number() OVER (PARTITION BY name ORDER BY iteration DESC, seq DESC) <= 50")
@@ -608,11 +609,11 @@ def metric_bounded(spark, sf_dir):
 @query(
     ctes("metrics")
     + """, r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY iteration DESC, seq DESC) AS r FROM metrics)
-SELECT name, max(iteration) FILTER (WHERE r = 1) AS iteration, round(CASE WHEN bool_or(smoothing_hint AND r = 1) THEN median(value) ELSE max(value) FILTER (WHERE r = 1) END, 6) AS value
+SELECT name, max(iteration) FILTER (WHERE r = 1) AS iteration, round(CASE WHEN bool_or(smoothing_hint AND r = 1) THEN median(value) ELSE max(value) FILTER (WHERE r = 1) END + 1e-9, 6) AS value
 FROM r WHERE r <= 20 GROUP BY name"""
 )
 def metric_latest_smoothed(spark, sf_dir):
-    return rounded(H.latest_smoothed(_metrics(spark, sf_dir)), "value")
+    return rounded(H.latest_smoothed(_metrics(spark, sf_dir)), "value", nudge=1e-9)
 
 
 @query(ctes("metrics") + ", o AS (SELECT CASE WHEN seq % 97 = 0 THEN 'time' ELSE name END AS name, smoothing_hint FROM metrics) SELECT name, count(DISTINCT smoothing_hint) AS hints FROM o GROUP BY name HAVING count(DISTINCT smoothing_hint) > 1")
@@ -648,28 +649,28 @@ def _as_of(name: str, agg: str, n: int | None) -> str:
 @query(
     ctes("metrics")
     + f""", x AS (SELECT max(iteration) + 1 AS n FROM metrics), i AS (SELECT DISTINCT iteration FROM metrics WHERE (iteration + 1) % 100 = 0 OR iteration = (SELECT n FROM x) - 1)
-SELECT iteration, round({_as_of("data_time", "avg", 20)}, 4) AS data_time, round({_as_of("loss_cls", "median", 200)}, 4) AS loss_cls,
-       round({_as_of("loss_triplet", "median", 200)}, 4) AS loss_triplet, round({_as_of("lr", "max", 1)}, 4) AS lr, round({_as_of("time", "avg", None)}, 4) AS "time",
-       round({_as_of("time", "median", 1000)} * ((SELECT n FROM x) - iteration - 1), 4) + 0.0 AS eta_seconds FROM i"""
+SELECT iteration, round({_as_of("data_time", "avg", 20)} + 1e-9, 4) AS data_time, round({_as_of("loss_cls", "median", 200)} + 1e-9, 4) AS loss_cls,
+       round({_as_of("loss_triplet", "median", 200)} + 1e-9, 4) AS loss_triplet, round({_as_of("lr", "max", 1)} + 1e-9, 4) AS lr, round({_as_of("time", "avg", None)} + 1e-9, 4) AS "time",
+       round({_as_of("time", "median", 1000)} * ((SELECT n FROM x) - iteration - 1) + 1e-9, 4) + 0.0 AS eta_seconds FROM i"""
 )
 def progress(spark, sf_dir):
     m = _metrics(spark, sf_dir)
     out = H.progress(m, m.agg(F.max("iteration")).first()[0] + 1, 100)
-    return rounded(out, "data_time", "loss_cls", "loss_triplet", "lr", "time", "eta_seconds", digits=4)
+    return rounded(out, "data_time", "loss_cls", "loss_triplet", "lr", "time", "eta_seconds", digits=4, nudge=1e-9)
 
 
 @query(
     ctes("metrics")
     + """, r AS (SELECT value, row_number() OVER (ORDER BY iteration, seq) AS r FROM metrics WHERE name = 'time')
-SELECT count(*) AS n, round(sum(value) FILTER (WHERE r >= 3), 4) AS total, round(sum(value) FILTER (WHERE r >= 3) / (count(*) - 3), 4) AS mean, round(avg(value) FILTER (WHERE r >= 3), 4) AS plain_mean FROM r"""
+SELECT count(*) AS n, round(sum(value) FILTER (WHERE r >= 3) + 1e-9, 4) AS total, round(sum(value) FILTER (WHERE r >= 3) / (count(*) - 3) + 1e-9, 4) AS mean, round(avg(value) FILTER (WHERE r >= 3) + 1e-9, 4) AS plain_mean FROM r"""
 )
 def step_time(spark, sf_dir):
-    return rounded(H.step_time(_metrics(spark, sf_dir).filter("name = 'time'")), "total", "mean", "plain_mean", digits=4)
+    return rounded(H.step_time(_metrics(spark, sf_dir).filter("name = 'time'")), "total", "mean", "plain_mean", digits=4, nudge=1e-9)
 
 
-@query(ctes("metrics") + " SELECT iteration, name, round(avg(value), 6) AS value FROM metrics GROUP BY ALL")
+@query(ctes("metrics") + " SELECT iteration, name, round(avg(value) + 1e-9, 6) AS value FROM metrics GROUP BY ALL")
 def worker_reduce(spark, sf_dir):
-    return rounded(H.over_workers(_metrics(spark, sf_dir)), "value")
+    return rounded(H.over_workers(_metrics(spark, sf_dir)), "value", nudge=1e-9)
 
 
 @query(
@@ -763,7 +764,7 @@ def track_stream(spark, sf_dir):
     return rounded(out, "x1", "y1", "x2", "y2", digits=4)
 
 
-@query(ctes("metrics") + f" SELECT name, seq, round(median(value) {_W.format(19)}, 6) AS median, round(avg(value) {_W.format(19)}, 6) AS mean FROM metrics")
+@query(ctes("metrics") + f" SELECT name, seq, round(median(value) {_W.format(19)} + 1e-9, 6) AS median, round(avg(value) {_W.format(19)} + 1e-9, 6) AS mean FROM metrics")
 def metric_stream(spark, sf_dir):
     out = finished(W.rolling_stream(streamed(_metrics(spark, sf_dir), 3, "seq", "metrics")), "rolling")
-    return rounded(out.select("name", "seq", "median", "mean"), "median", "mean")
+    return rounded(out.select("name", "seq", "median", "mean"), "median", "mean", nudge=1e-9)
