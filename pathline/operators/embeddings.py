@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathline.functions.order import numbered
 from pathline.functions.vectors import doubles, unit
 from pathline.operators.distance import by_blocks
 
@@ -132,5 +133,4 @@ def joint_sets(sets: dict[str, DataFrame]) -> DataFrame:
         part = df.select(F.lit(name).alias("set_name"), "vec_id", "person_id")
         rows = part if rows is None else rows.union(part)
     persons = rows.select("set_name", "person_id").distinct()
-    number: Column = F.dense_rank().over(Window.orderBy("set_name", "person_id")) - 1
-    return rows.join(persons.withColumn("joint_id", number), ["set_name", "person_id"])
+    return rows.join(numbered(persons, "joint_id", "set_name", "person_id"), ["set_name", "person_id"])
