@@ -3,7 +3,9 @@
 A task packs the hashes of a chunk of documents into one row for each bucket of the hash
 space; what a bucket's task finds goes back to the chunk in one row. A hash takes 4 bytes
 on the way and no row of its own. Chunks are numbered by task and batch, so that a task
-that runs again gives the same rows.
+that runs again gives the same rows; what is dealt must therefore be read from a table
+(files, or one that `settle` has written), not come out of a shuffle, whose rows may
+arrive in another order.
 """
 
 from __future__ import annotations

@@ -125,10 +125,15 @@ def anchors(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFr
 
 
 def _with_texts(docs: DataFrame, keyed: DataFrame, packed: str) -> DataFrame:
-    """Texts of the documents in keyed, beside its columns; keyed is sent to all executors if its checked size is small."""
+    """Texts of the documents in keyed, beside its columns; keyed is sent to all executors if its checked size is small.
+
+    Else both are shuffled and written: chunks are numbered by task and batch, so a task
+    that runs again must find the same rows in the same order.
+    """
     size = keyed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(packed)), F.lit(0)).alias("b")).first()
     few = size.n <= BROADCAST_IDS and size.b + 80 * size.n <= BROADCAST_BYTES
-    return texts_of(docs).join(F.broadcast(keyed) if few else keyed, "doc_id")
+    both = texts_of(docs).join(F.broadcast(keyed) if few else keyed, "doc_id")
+    return both if few else settle(both, "texts")
 
 
 def _later_windows(docs: DataFrame, keyed: DataFrame, window: int, block: int) -> DataFrame:
