@@ -126,11 +126,15 @@ def balanced_sample(df: DataFrame, n: int = 4, seed: str = "") -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def joint_sets(sets: dict[str, DataFrame]) -> DataFrame:
-    """Rows of all sets with set_name; persons are numbered anew by set and id."""
+def joint_sets(sets: dict[str, DataFrame], weights: dict[str, float] | None = None) -> DataFrame:
+    """Rows of all sets with set_name; persons are numbered anew by set and id. A weight below 1 keeps about that
+    share of a set's rows, the same ones each time; other sets are whole."""
     rows: DataFrame | None = None
     for name, df in sets.items():
         part = df.select(F.lit(name).alias("set_name"), "vec_id", "person_id")
+        share = (weights or {}).get(name, 1.0)
+        if share < 1:
+            part = part.filter(F.pmod(F.xxhash64("set_name", "vec_id"), F.lit(1_000_000)) < int(share * 1_000_000))
         rows = part if rows is None else rows.union(part)
     persons = rows.select("set_name", "person_id").distinct()
     return rows.join(numbered(persons, "joint_id", "set_name", "person_id"), ["set_name", "person_id"])

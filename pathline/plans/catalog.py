@@ -75,6 +75,12 @@ def nms(spark, sf_dir):
     return P.suppress(P.confident(load(spark, sf_dir, "raw_detections"))).select("det_id", "camera_id", "frame")
 
 
+@query()
+def clean_chain(spark, sf_dir):
+    """The whole chain, suppression included."""
+    return rounded(P.clean(load(spark, sf_dir, "raw_detections"), load(spark, sf_dir, "rois")), "x1", "y1", "x2", "y2", "score")
+
+
 _IOU = "(greatest(0.0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0.0, least(a.y2, b.y2) - greatest(a.y1, b.y1)))"
 _AREA = "((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1))"
 

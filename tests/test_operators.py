@@ -66,6 +66,14 @@ def test_precise_stats_needs_batches(spark):
     assert halves["mean"] == 3.5 and halves["var"] == pytest.approx(0.5)
 
 
+def test_sets_are_joined_by_weight(spark):
+    df = vectors(spark, [(k, k % 3 + 5, 0, [1.0]) for k in range(400)])
+    out = E.joint_sets({"a": df, "b": df}, {"b": 0.25})
+    n = {r.set_name: r["count"] for r in out.groupBy("set_name").count().collect()}
+    assert n["a"] == 400 and 50 < n["b"] < 150
+    assert {(r.set_name, r.person_id): r.joint_id for r in out.collect()} == {(s, p): 3 * i + p - 5 for i, s in enumerate("ab") for p in (5, 6, 7)}
+
+
 def test_knn_ties_and_few_rows(spark):
     df = vectors(spark, [(k, 0, 0, [1.0, 0.0]) for k in (3, 1, 2)])
     out = sorted((r.q_id, r["rank"], r.g_id) for r in D.nearest(df, df, 5).collect())
