@@ -46,8 +46,8 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def with_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of docs whose key is in ids; ids go to all executors only if their checked number is small."""
+def with_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id", how: str = "left_semi") -> DataFrame:
+    """Rows of docs whose key is in ids (with left_anti: is not); ids go to all executors only if their checked number is small."""
     ids = ids.select(key).distinct()
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, key, "left_semi")
+    return docs.join(F.broadcast(ids) if few else ids, key, how)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathline.llm import exchange
-from pathline.llm.batches import BROADCAST_IDS, settle, texts_of
+from pathline.llm.batches import BROADCAST_IDS, settle, texts_of, with_ids
 from pathline.llm.components import components
 from pathline.llm.words import hashes, mix, pieces, windows, words_of
 
@@ -281,16 +281,15 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
     Rows with a null doc_id all stay.
     """
     groups = similar_groups(docs, width, percent)
-    count = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.min("component_id").alias("m"))
-    count = settle(count, "kept").filter("doc_id is null or m = doc_id")
-    again = count.filter("c > 1 and doc_id is not null").select("doc_id")
+    count = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.min("component_id").alias("m"))
+    count = settle(count.filter("c > 1 OR m < doc_id"), "left-out")
+    again = count.filter("m = doc_id").select("doc_id")
     # names of docs may clash with those above: its columns travel in a struct
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    once = count.filter("c = 1 or doc_id is null").select("doc_id")
-    kept = rows.join(once, rows.doc_id.eqNullSafe(once.doc_id), "left_semi").select("row.*")
+    kept = with_ids(rows, count, how="left_anti").select("row.*")
     if again.isEmpty():
         return kept
-    twice = rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*")
+    twice = with_ids(rows, again).groupBy("doc_id").agg(F.min("row").alias("row")).select("row.*")
     return kept.unionByName(twice)
 
 
