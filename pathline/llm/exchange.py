@@ -16,6 +16,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from pathline.llm.words import pieces
+
+#: Text that a task holds as arrays of hashes at once.
+CHUNK_BYTES = 16 << 20
+
 ROWS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("head", pa.binary()), ("body", pa.binary())])
 SCHEMA = "bucket int, chunk long, head binary, body binary"
 BACK = pa.schema([("chunk", pa.int64()), ("head", pa.binary()), ("body", pa.binary())])
@@ -36,6 +41,14 @@ def chunk_numbers() -> Iterator[int]:
         k += 1
 
 
+def chunks(batches) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches cut into chunks of about CHUNK_BYTES of text, numbered."""
+    numbers = chunk_numbers()
+    for batch in batches:
+        for i, j in pieces(batch.column("text"), CHUNK_BYTES):
+            yield next(numbers), batch.slice(i, j - i)
+
+
 def deal(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(order, bounds): entries of bucket b are order[bounds[b]:bounds[b + 1]], in the order they had."""
     bucket = ((h >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.uint16 if n_buckets < 1 << 16 else np.uint32)

@@ -64,11 +64,8 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     n_buckets = exchange.buckets_for(docs.sparkSession)
 
     def deal(batches):
-        numbers = exchange.chunk_numbers()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            chunk, ids = next(numbers), batch.column("doc_id")
+        for chunk, batch in exchange.chunks(batches):
+            ids = batch.column("doc_id")
             valid = np.asarray(ids.is_valid())
             sets = list(shingle_sets(batch.column("text"), width))
             sizes = np.array([len(s) for s in sets], dtype=np.int64)

@@ -60,11 +60,8 @@ def anchors(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFr
     n_buckets = exchange.buckets_for(docs.sparkSession)
 
     def deal(batches):
-        numbers = exchange.chunk_numbers()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            chunk, ids, texts = next(numbers), batch.column("doc_id"), batch.column("text")
+        for chunk, batch in exchange.chunks(batches):
+            ids, texts = batch.column("doc_id"), batch.column("text")
             valid = np.asarray(ids.is_valid())
             counts, grams, places, base = [], [], [], 0
             for i, j in pieces(texts):
@@ -141,14 +138,13 @@ def _later_windows(docs: DataFrame, keyed: DataFrame, window: int, block: int) -
     n_buckets = exchange.buckets_for(docs.sparkSession)
 
     def deal(batches):
-        numbers = exchange.chunk_numbers()
-        for batch in batches:
+        for chunk, batch in exchange.chunks(batches):
             texts, digests, hits = (batch.column(c).to_pylist() for c in ("text", "digest", "hits"))
             mine = [k for k, t in enumerate(texts) if hashlib.sha256(_joined(t)).digest() == digests[k]]
             if not mine:
                 continue
             batch = batch.take(pa.array(mine))
-            chunk, ids, texts = next(numbers), np.asarray(batch.column("doc_id")), batch.column("text")
+            ids, texts = np.asarray(batch.column("doc_id")), batch.column("text")
             hits = batch.column("hits").to_pylist()
             counts, one, two, places, base = [], [], [], [], 0
             for i, j in pieces(texts):
