@@ -59,7 +59,7 @@ class PrefixTable:
             end = self.close if b in self.shut else ""
             whole = s + t
             ok = self.merged([*whole[:-1], whole[-1] + end]) == [s, t + end]
-            if len(self.known) > 1_000_000:
+            if len(self.known) > 400_000:
                 self.known.clear()
             self.known[a << 24 | b] = ok
         return ok
@@ -119,7 +119,7 @@ class PrefixTable:
 class Memory(dict):
     """Results by word: two generations, so that it stays bounded and keeps what is frequent."""
 
-    def __init__(self, make, most: int = 300_000, longest: int = 200):
+    def __init__(self, make, most: int = 150_000, longest: int = 200):
         self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, word):

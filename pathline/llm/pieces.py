@@ -1,8 +1,9 @@
 """SentencePiece BPE encoding and decoding by a merge-type prefix table.
 
 Spaces become the mark U+2581 and one mark goes first. No piece has the mark after
-another character, and some control characters are in no longer piece, so the text falls
-into units that are encoded one by one, each by its own prefix table (see `merges`).
+another character, some control characters are in no longer piece, and some signs are in
+none after a letter, so the text falls into units that are encoded one by one, each by its
+own prefix table (see `merges`).
 Pieces of several marks come last in the order of merges, all with one rank, so a run of
 marks that the rest of its unit leaves over is joined on its own, from the left.
 """
@@ -40,8 +41,12 @@ class Pieces:
             raise ValueError("a model with marks inside pieces, or without bytes")
         joined = set("".join(p for p in normal if len(p) > 1))
         alone = "".join(c for c in map(chr, range(32)) if c not in joined)
-        cut = re.escape(alone)
-        self.units_of = re.compile(f"{MARK}*[^{MARK}{cut}]+|{MARK}+|[{cut}]")
+        cut, letter = re.escape(alone), r"[^\W\d_]"
+        # signs that no piece has after a letter: a word ends before them
+        after = {b for p in normal for a, b in zip(p, p[1:], strict=False) if re.fullmatch(letter, a)}
+        ends = re.escape("".join(c for c in map(chr, range(33, 127)) if not re.fullmatch(r"\w", c) and c not in after))
+        word = f"{MARK}*{letter}+(?=[{ends}])|" if ends else ""
+        self.units_of = re.compile(f"{word}{MARK}*[^{MARK}{cut}]+|{MARK}+|[{cut}]")
         order = {p: -model.get_score(i) for p, i in normal.items()}
         self.mark = normal[MARK]
         runs = {p: i for p, i in normal.items() if not p.strip(MARK)}
@@ -49,6 +54,7 @@ class Pieces:
         self.table = PrefixTable(words, lambda a, b: order.get(a + b) if a + b in words else None)
         self._learn_runs(runs)
         self.silent = {i for i in range(n) if special[i]}
+        self.odd = self.silent | self.bytes.keys()
         self.units = Memory(self._unit)
 
     def _learn_runs(self, runs: dict[str, int]) -> None:
@@ -79,6 +85,8 @@ class Pieces:
         return ",".join(map(str, ids)), len(ids), self._said(ids)
 
     def _said(self, ids) -> str:
+        if self.odd.isdisjoint(ids):
+            return "".join(map(self.pieces.__getitem__, ids)).replace(MARK, " ")
         out, raw = [], bytearray()
         for i in ids:
             if i in self.bytes:
