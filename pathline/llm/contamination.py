@@ -182,29 +182,43 @@ def merged(column: str):
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+def joined(spans: list[tuple[int, int, int, int]]) -> list[list[int]]:
+    """(first word, past the last, start, end) in order, those that overlap or meet in words joined."""
+    out: list[list[int]] = []
+    for first, past, start, end in sorted(spans):
+        if not out or out[-1][1] < first:
+            out.append([first, past, start, end])
+        elif past > out[-1][1]:
+            out[-1][1], out[-1][3] = past, end
+    return out
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with every hit span cut out of text (from its first word to the end of its last); n_chars follows.
 
     All rows and columns stay; a text in which nothing is hit, and a null one, is as before.
-    The benchmark's blocks are cut out one after another.
+    Every block of the benchmark is searched for in the uncut text; the spans of all are cut at once.
     """
-    for phrases in blocks_of(benchmark, BLOCK_BYTES, width):
-        shared = docs.sparkSession.sparkContext.broadcast(phrases)
-
-        def run(batches, shared=shared):
-            for batch in batches:
-                column = batch.column("text")
-                texts = column.to_pylist()
-                for k, (_, _, spans, _) in enumerate(search_texts(column, shared.value)):
-                    if spans:
-                        raw, out, at = texts[k].encode(), [], 0
-                        for a, b in spans:
-                            out.append(raw[at:a])
-                            at = b
-                        texts[k] = b"".join([*out, raw[at:]]).decode()
-                yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, type=column.type))
-
-        docs = docs.mapInArrow(run, docs.schema)
+    blocks = [docs.sparkSession.sparkContext.broadcast(phrases) for phrases in blocks_of(benchmark, block_bytes, width)]
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column("text")
+            texts = column.to_pylist()
+            found: dict[int, list] = {}
+            for phrases in blocks:
+                for k, (_, of_words, of_bytes, _) in enumerate(search_texts(column, phrases.value)):
+                    if of_words:
+                        found.setdefault(k, []).extend((*x, *y) for x, y in zip(of_words, of_bytes, strict=True))
+            for k, spans in found.items():
+                raw, out, at = texts[k].encode(), [], 0
+                for _, _, a, b in joined(spans):
+                    out.append(raw[at:a])
+                    at = b
+                texts[k] = b"".join([*out, raw[at:]]).decode()
+            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, type=column.type))
+
+    docs = docs.mapInArrow(run, docs.schema)
     return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
 
 

@@ -168,6 +168,21 @@ def test_passages_are_cut_out(spark):
     assert out == {1: ("Start here. , and on", 20), 2: ("a  b", 4), 3: ("alpha beta gamma", 16), 4: (None, None)}
 
 
+def test_blocks_of_phrases_cut_as_one(spark):
+    """Items that overlap, meet or share a context lie in different blocks and are cut as from one."""
+    rnd = random.Random(4)
+    line = [f"c{k}" for k in range(60)]
+    items = [" ".join(line[k : k + 14]) for k in range(0, 46, 3)] + ["who was it", "c55 c56", "left right"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [" ".join(["Before:", *line[rnd.randrange(20) :], "who was it, then?"]) for _ in range(20)]
+    texts += ["so left " + items[0] + " right", "é " + ", ".join(line[:14]) + " ... " + items[8], "none", None]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], DOC)
+    out = lambda n: {r.doc_id: (r.text, r.n_chars) for r in contamination.decontaminate(docs, bench, block_bytes=n).collect()}
+    one = out(1 << 20)
+    assert one == out(40) == out(200)
+    assert one[20] == ("so left  right", 14) and one[21] == ("é ", 2) and one[22][0] == "none" and one[23] == (None, None)
+
+
 # --- shards ---------------------------------------------------------------------------------------
 
 
