@@ -12,9 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: How many labels of a host are looked up as parent domains.
-MOST_LABELS = 8
-
 
 def host_of(url: Column) -> Column:
     """Host in lower case without user, port and a last dot; empty for a null or odd url."""
@@ -23,11 +20,13 @@ def host_of(url: Column) -> Column:
 
 
 def keys_of(url: Column) -> Column:
-    """Keys of a url, most specific first: host/segment, host, parent domains of two labels and more."""
+    """Keys of a url, most specific first: host/segment, host, all parent domains of two labels and more."""
     host = host_of(url)
     segment = F.regexp_extract(F.coalesce(url, F.lit("")), r"^[^:/?#]+://[^/?#]*/([^/?#]+)", 1)
     labels = F.split(host, r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.lit(MOST_LABELS)), lambda i: F.when(F.size(labels) - i >= 2, F.array_join(F.slice(labels, i + 1, F.greatest(F.size(labels) - i, F.lit(0))), ".")))
+    n = F.size(labels)
+    every = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.array_join(F.slice(labels, i + 1, n - i), "."))
+    parents = F.when(n >= 3, every).otherwise(F.array().cast("array<string>"))
     first = F.when((host != "") & (segment != ""), F.concat_ws("/", host, segment))
     return F.array_distinct(F.array_compact(F.concat(F.array(first, F.when(host != "", host)), parents)))
 

@@ -177,3 +177,14 @@ def test_list_entries_hold_for_their_time(spark):
     days = [(1, "http://a.bad.org/", "2024-01-09"), (2, "http://a.bad.org:80/x", "2024-01-10"), (3, "https://u@BAD.org./", "2024-02-29"), (4, "http://bad.org", "2024-03-01"), (5, "http://bad.org", "2026-01-01"), (6, "http://x.net/ads/1", "2024-06-01"), (7, "http://x.net/", "2024-06-01"), (8, None, "2024-06-01"), (9, "http://bad.org", None), (2, "http://a.bad.org:80/x", "2024-01-10")]
     got = sorted((r.page_id, r.blocked) for r in urls.judge(spark.createDataFrame(days, "page_id long, url string, fetched_on string"), entries).collect())
     assert got == [(1, False), (2, True), (2, True), (3, True), (4, False), (5, True), (6, True), (7, False), (8, False), (9, False)]
+
+
+def test_every_parent_of_a_long_host(spark):
+    host = ".".join("abcdefghij") + ".example.com"
+    urls_of = [f"http://{host}/x", "http://a.b.c", "http://b.c/", "http://c", "http:///x", None]
+    keys = [r.k for r in spark.createDataFrame([(u,) for u in urls_of], "url string").select(urls.keys_of(F.col("url")).alias("k")).collect()]
+    labels = host.split(".")
+    assert keys == [[f"{host}/x", host, *(".".join(labels[k:]) for k in range(1, 11))], ["a.b.c", "b.c"], ["b.c"], ["c"], [], []]
+    entries = spark.createDataFrame([("example.com", "2024-01-01", "add")], "key string, listed_on string, action string").withColumn("listed_on", F.to_date("listed_on"))
+    got = urls.judge(spark.createDataFrame([(1, urls_of[0], "2024-02-01")], "page_id long, url string, fetched_on string"), entries).first()
+    assert got.blocked and got.matched == "example.com"
