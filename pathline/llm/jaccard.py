@@ -186,14 +186,14 @@ def _search(percent: int):
 
 
 def _class_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """class_id, n, tokens: the sets of classes, read again from the text of their smallest document."""
+    """class_id, n, tokens: the sets of classes, read again from the text of their smallest document (`least`)."""
     few = classes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    keyed = classes.select(F.col("class_id").alias("doc_id"), "key1", "key2")
+    keyed = classes.select(F.col("least").alias("doc_id"), "key1", "key2", "class_id")
     both = texts_of(docs).join(F.broadcast(keyed) if few else keyed, "doc_id")
 
     def run(batches):
         for batch in batches:
-            ids, k1, k2 = (batch.column(c).to_pylist() for c in ("doc_id", "key1", "key2"))
+            ids, k1, k2 = (batch.column(c).to_pylist() for c in ("class_id", "key1", "key2"))
             rows = []
             for i, a, b, s in zip(ids, k1, k2, shingle_sets(batch.column("text"), width), strict=True):
                 if (a % (1 << 64), b % (1 << 64)) == _keys(s):  # else another text with the same id
@@ -260,16 +260,38 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     Two documents are linked when 100 * common shingles >= percent * shingles of both;
     component_id is the smallest doc_id that links reach. A document without words (or
     with null text) is alone, and so is one with a null doc_id, whose component is null.
-    Rows that repeat a doc_id count as documents with one number: each gets its own n_shingles.
+    Rows that repeat a doc_id count as documents with one number: each gets its own
+    n_shingles, and what is linked to one of them is linked to all.
     """
     signed = settle(signatures(docs, width), "signatures")
+    keys = ["key1", "key2", "n"]
     able = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull() & (100 * F.col("shared") >= percent * F.col("n")))
-    classes = settle(able.groupBy("key1", "key2", "n").agg(F.min("doc_id").alias("class_id")), "classes")
+    # classes are told apart by a number of their own: two can have the same smallest document
+    classes = able.groupBy(*keys).agg(F.min("doc_id").alias("least"))
+    classes = settle(classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")
     sets = settle(_class_sets(docs, classes, width), "sets")
-    label = components(_links(sets, percent), "similar")
-    named = classes.join(label, classes.class_id == label.node, "left").select("key1", "key2", "n", F.coalesce("component", "class_id").alias("group"))
-    out = signed.join(named, ["key1", "key2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.least("group", "doc_id").alias("component_id"))
+    links = _links(sets, percent)
+    each = F.struct(*keys)
+    unlike = signed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(each).alias("lo"), F.max(each).alias("hi")).filter("lo <> hi")
+    unlike = settle(unlike.select("doc_id"), "unlike")
+    some = not unlike.isEmpty()
+    if some:
+        held = with_ids(able, unlike).join(classes, keys).select("doc_id", "class_id").distinct()
+        first = held.groupBy("doc_id").agg(F.min("class_id").alias("b"))
+        links = links.union(held.join(first, "doc_id").filter("class_id <> b").select(F.col("class_id").alias("a"), "b"))
+    label = components(links, "similar")
+    named = classes.join(label, classes.class_id == label.node, "left").withColumn("component", F.coalesce("component", "class_id"))
+    named = settle(named.select(*keys, "least", "component"), "named")
+    group = named.groupBy("component").agg(F.min("least").alias("group"))
+    out = signed.join(named.join(group, "component").select(*keys, "group"), keys, "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.least("group", "doc_id").alias("component_id"))
+    if not some:
+        return out
+    # a row that is like no other goes with the other rows of its doc_id
+    least = settle(with_ids(out, unlike).groupBy("doc_id").agg(F.min("component_id").alias("m")), "unlike-groups")
+    few = least.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    out = out.join(F.broadcast(least) if few else least, "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.least("m", "component_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:

@@ -82,6 +82,16 @@ def test_t_occurrence_as_all_pairs():
         assert label(links) == label([(a, b) for a in range(25) for b in range(a) if like(sets[a], sets[b])])
 
 
+def test_unlike_texts_of_one_doc_id_are_one_document(spark):
+    """Groups that only a repeated doc_id connects are one, also by a text of it that is like no other."""
+    a, b, c, d = ([f"{x}{k}" for k in range(60)] for x in "abcd")
+    like = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(5, a), (5, b), (7, a), (8, like(a)), (9, like(b)), (3, c), (6, like(c)), (6, d), (6, b), (4, d[:9]), (4, a[:9])]
+    docs = spark.createDataFrame([(k, w if isinstance(w, str) else " ".join(w)) for k, w in rows], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(docs).collect())
+    assert got == sorted((k, 5 if k == 4 else 56, 4 if k == 4 else 3) for k, _ in rows)
+
+
 def test_one_of_each_group_stays(spark):
     rows = corpus(8, groups=3)
     df = spark.createDataFrame([*rows, rows[0], (None, "x", None, None, 1)], DOC)
