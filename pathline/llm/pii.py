@@ -1,16 +1,23 @@
 """Personal data by bootstrapped contextual extraction.
 
 1. Regular forms (addresses of mail and network, card and phone numbers) are the seeds.
-   The same pass notes every other identifier-like token with the words before it.
-2. The word, and the two words, before an entity are lexical patterns. Patterns that
-   enough different seeds share are counted over all texts.
-3. On the graph of patterns and instances scores go back and forth: a pattern is as good
-   as the instances it introduces, set against all it stands before; an instance is as
-   good as its patterns. Seeds stay at 1.
-4. Patterns that end above the bar mark the unseen identifiers that they introduce.
-
-Pairs of pattern and instance are made distinct before they are joined, and sums are
-taken before the shuffle, so a word before very many identifiers is one row on each side.
+   The same pass notes every other identifier-like mention: up to four tokens in a row that
+   have a digit or an @, four digits or an @ in all.
+2. Lexical patterns: the word before a token or entity, the two before, the word after, the
+   words on both sides, and the shape of a mention (letters and digits as such). Digits
+   within context words are one digit, so that numbers before it are a pattern too.
+3. The graph has a row for each distinct pair of pattern and instance (what a mention says).
+   In each round a pattern is scored for each kind by the worth of the accepted instances
+   of that kind, set against all identifier-like instances that it introduces (the lower
+   bound of the share, so that few instances do not make a high score). Patterns with
+   enough support and a score above the bar are accepted; so are the instances that they
+   introduce, worth more the more of them agree (1 - product of 1 - score); these induce
+   further patterns in the next round. Seeds stay at 1. Rounds end when nothing is added.
+4. Accepted patterns mark the mentions they introduce, by the kind of the seeds they share.
+
+Pairs are made distinct before they are counted, sums are taken before the shuffle, and
+joins meet on one row for each pattern or instance, so a pattern of very many mentions is
+split like any other large group.
 """
 
 from __future__ import annotations
@@ -20,30 +27,34 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathline.llm.batches import settle, texts_of
-from pathline.llm.words import hashes, pieces, windows, words_of
 
-KINDS = ("email", "ip", "card", "phone", "id")
+KINDS = ("email", "ip", "card", "phone")
+#: Kinds of what the method adds, by the seeds that its patterns share.
+FOUND = tuple(f"like_{k}" for k in KINDS)
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: An identifier-like token: no space, with a run of four digits.
-_DIGITS = re.compile(r"[0-9]{4}")
+#: What makes a token part of an identifier-like mention.
+_MARKED = re.compile(r"[0-9@]")
+#: Tokens of a mention at most.
+_TOKENS = 4
 
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """support: different seeds that a pattern needs; bar: score of patterns that are applied; rounds of scoring;
-    block: patterns that are counted in one pass (their hashes go to all executors)."""
+    """support: accepted instances of one kind that a pattern needs; bar: score of patterns that are accepted; rounds
+    at most; block: patterns that go to all executors at once (24 bytes each)."""
 
     support: int = 5
-    bar: float = 0.5
-    rounds: int = 3
+    bar: float = 0.6
+    rounds: int = 6
     block: int = 1_000_000
 
 
@@ -87,169 +98,227 @@ def regular_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def other_tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like tokens outside spans, without punctuation at their ends."""
-    out, at = [], 0
-    while m := _DIGITS.search(text, at):
+def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Identifier-like mentions that touch no span, without punctuation at their ends (a + before a digit stays)."""
+    out, row, at = [], [], 0
+
+    def close() -> None:
+        for i in range(len(row)):
+            for j in range(i, min(len(row), i + _TOKENS)):
+                a, b = row[i][0], row[j][1]
+                while a < b and not (text[a].isalnum() or text[a] == "+" and text[a + 1 : a + 2].isdigit()):
+                    a += 1
+                while b > a and not text[b - 1].isalnum():
+                    b -= 1
+                said = text[a:b]
+                if "@" in said or sum(map(said.count, "0123456789")) >= 4:
+                    out.append((a, b))
+        row.clear()
+
+    while m := _MARKED.search(text, at):
         a, b = m.start(), m.end()
         while a > at and not text[a - 1].isspace():
             a -= 1
         while b < len(text) and not text[b].isspace():
             b += 1
+        if row and text[row[-1][1] : a] != " ":
+            close()
+        row.append((a, b))
         at = b
-        while a < b and not text[a].isalnum():
-            a += 1
-        while b > a and not text[b - 1].isalnum():
-            b -= 1
-        out.append((a, b))
-    return [(a, b) for a, b in out if not any(x < b and a < y for x, _, y in spans)] if spans else out
-
-
-def _before(text: str, a: int) -> str:
-    """The two words before place a (of the last 200 characters)."""
-    return " ".join(text[max(0, a - 200) : a].split()[-2:])
+    close()
+    out = sorted(set(out))
+    if not spans:
+        return out
+    # spans of several kinds can overlap: an end is compared with the last end of those before it
+    start, past = [s for s, _, _ in spans], []
+    for _, _, e in spans:
+        past.append(max(e, past[-1]) if past else e)
+    k = np.searchsorted(start, [b for _, b in out]) if out else []
+    return [x for x, n in zip(out, k, strict=True) if not n or past[n - 1] <= x[0]]
+
+
+_ZERO = str.maketrans("123456789", "000000000")
+_SHAPE = re.compile(r"[^\W\d_]")
+
+
+def _word(text: str, at: int, step: int) -> tuple[str, int]:
+    """The word next to place `at` going back (step -1) or on (1), in lower case with one digit for all, and its far end."""
+    i = at
+    if step < 0:
+        while i > 0 and text[i - 1].isspace():
+            i -= 1
+        j = i
+        while i > 0 and not text[i - 1].isspace():
+            i -= 1
+        return text[i:j].lower().translate(_ZERO), i
+    while i < len(text) and text[i].isspace():
+        i += 1
+    j = i
+    while j < len(text) and not text[j].isspace():
+        j += 1
+    return text[i:j].lower().translate(_ZERO), j
+
+
+def _hash(kind: str, said: str) -> int:
+    return xxhash.xxh3_64_intdigest(f"{kind} {said}".encode()) - (1 << 63)
+
+
+def patterns_of(text: str, a: int, b: int, alone: bool = True) -> list[tuple[str, str]]:
+    """Lexical patterns: (sort, words); of several tokens that are no entity the shape alone, as any of them may be
+    what the words around them introduce."""
+    out = [("shape", _SHAPE.sub("a", text[a:b]).translate(_ZERO))]
+    if not alone:
+        return out
+    one, at = _word(text, a, -1)
+    after = _word(text, b, 1)[0]
+    if one:
+        out.append(("left", one))
+        two = _word(text, at, -1)[0]
+        if two:
+            out.append(("left2", f"{two} {one}"))
+    if after:
+        out.append(("right", after))
+        if one:
+            out.append(("both", f"{one} {after}"))
+    return out
 
 
-def _patterns(contexts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the last word and of the last two; 0 where there are fewer."""
-    w = words_of(pa.array(contexts, type=pa.large_string()), lower=True)
-    h = hashes(w)
-    n, last = np.diff(w.first), w.first[1:] - 1
-    one, two = np.zeros(len(n), dtype=np.uint64), np.zeros(len(n), dtype=np.uint64)
-    one[n > 0] = h[last[n > 0]]
-    if len(h) > 1:
-        two[n > 1] = windows(h, 2)[last[n > 1] - 1]
-    return one, two
+def instance_of(text: str, a: int, b: int) -> int:
+    return _hash("says", " ".join(text[a:b].lower().split()))
 
 
-_FOUND = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("one", pa.int64()), ("two", pa.int64())]))
-_FOUND_SCHEMA = "doc_id long, found array<struct<kind:int,start:long,end:long,instance:long,one:long,two:long>>"
+_MENTION = [("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))]
+_FOUND_SCHEMA = "doc_id long, found array<struct<kind:int,start:long,end:long,instance:long,patterns:array<long>>>"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id and found: entities (kinds 0 to 3) and other identifier-like tokens (kind 4) with hashes of
-    their text and of the patterns before them, for each row of docs. A null text has none."""
+    """doc_id and found: entities (kinds 0 to 3) and other mentions (kind -1) with hashes of what they say and of
+    their patterns, in order, for each row of docs. A null text has none."""
+
+    def read(text: str) -> list[dict]:
+        spans = regular_spans(text)
+        every = sorted([*spans, *((a, -1, b) for a, b in mentions(text, spans))])
+        return [
+            {"kind": k, "start": a, "end": b, "instance": instance_of(text, a, b), "patterns": [_hash(*p) for p in patterns_of(text, a, b, k >= 0 or " " not in text[a:b])]}
+            for a, k, b in every
+        ]
 
     def run(batches):
         for batch in batches:
-            found, contexts, said = [], [], []
-            for text in batch.column("text").to_pylist():
-                text = text or ""
-                spans = regular_spans(text)
-                spans = sorted([*spans, *((a, 4, b) for a, b in other_tokens(text, spans))])
-                contexts += [_before(text, a) for a, _, b in spans]
-                said += [text[a:b].replace(" ", "_") for a, _, b in spans]
-                found.append(spans)
-            one, two = (x.view(np.int64).tolist() for x in _patterns(contexts))
-            w = words_of(pa.array(said, type=pa.large_string()), lower=True)
-            instance = hashes(w)[w.first[:-1]].view(np.int64).tolist() if len(said) else []
-            rows, k = [], 0
-            for spans in found:
-                rows.append([{"kind": kind, "start": a, "end": b, "instance": instance[i], "one": one[i], "two": two[i]} for i, (a, kind, b) in enumerate(spans, k)])
-                k += len(spans)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, type=_FOUND)], ["doc_id", "found"])
+            rows = [read(t) if t else [] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, type=pa.list_(pa.struct(_MENTION)))], ["doc_id", "found"])
 
     return texts_of(docs).mapInArrow(run, _FOUND_SCHEMA)
 
 
-def occurrences(docs: DataFrame, patterns: list[int]) -> DataFrame:
-    """pattern, total: how often each of the given patterns comes up in all texts."""
-    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(np.array(patterns, dtype=np.int64)))
+def lower_share(part: Column, n: Column) -> Column:
+    """Lower bound (one deviation, Wilson's interval) of a share that shows as part of n."""
+    p = part / n
+    return (p + 1 / (2 * n) - F.sqrt(p * (1 - p) / n + 1 / (4 * n * n))) / (1 + 1 / n)
+
+
+def learn(found: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
+    """pattern, kind (number), score of the accepted patterns, from `candidates`."""
+    each = found.select(F.explode("found").alias("f")).select("f.kind", "f.instance", F.explode("f.patterns").alias("pattern"))
+    edges = settle(each.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
+    # a pattern of fewer instances can never have the support
+    able = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).filter(F.col("total") >= how.support)
+    seeds = settle(edges.filter("kind >= 0").groupBy("instance").agg(F.min("kind").alias("of"), F.lit(1.0).alias("worth")), "seeds")
+    graph = settle(edges.join(able, "pattern").select("pattern", "instance", "total"), "graph")
+    accepted, size = seeds, -1
+    best = None
+    for _ in range(how.rounds):
+        held = graph.join(accepted, "instance").groupBy("pattern", "total", "of").agg(F.count(F.lit(1)).alias("support"), F.sum("worth").alias("s"))
+        scored = held.filter(F.col("support") >= how.support).withColumn("score", lower_share(F.col("s"), F.col("total").cast("double")))
+        top = scored.filter(F.col("score") >= how.bar).groupBy("pattern").agg(F.max(F.struct("score", -F.col("of"))).alias("x"))
+        best = settle(top.select("pattern", (-F.col("x.col2")).cast("int").alias("of"), F.col("x.score").alias("score")), "accepted")
+        agreed = graph.join(best, "pattern").groupBy("instance", "of").agg((1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("score"))
+        new = agreed.groupBy("instance").agg(F.max(F.struct("score", -F.col("of"))).alias("x"))
+        new = new.join(seeds.select("instance"), "instance", "left_anti").select("instance", (-F.col("x.col2")).cast("int").alias("of"), F.col("x.score").alias("worth"))
+        new = settle(new, "instances")
+        was, size = size, new.count()
+        if size == was:
+            break
+        accepted = seeds.unionByName(new)
+    return best.select("pattern", F.col("of").alias("kind"), "score")
+
+
+def _best_of(known):
+    """Puts to each mention the best of the given patterns that it has: (score, kind), beside what it had."""
 
     def run(batches):
-        p = wanted.value
+        keys, kinds, scores = known.value
         for batch in batches:
-            total = np.zeros(len(p), dtype=np.int64)
-            texts = batch.column("text")
-            for i, j in pieces(texts):
-                w = words_of(texts.slice(i, j - i), lower=True)
-                h, text = hashes(w), w.text_of
-                both = windows(h, 2)[text[1:] == text[:-1]] if len(h) > 1 else h[:0]
-                for x in (h.view(np.int64), both.view(np.int64)):
-                    at = np.searchsorted(p, x)
-                    at[at == len(p)] = 0
-                    total += np.bincount(at[p[at] == x], minlength=len(p))
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(p[some]), pa.array(total[some])], ["pattern", "total"])
-
-    return docs.select("text").mapInArrow(run, "pattern long, total long").groupBy("pattern").agg(F.sum("total").alias("total"))
-
-
-def learn(docs: DataFrame, found: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
-    """pattern, score of the patterns at or above the bar."""
-    each = found.select(F.explode("found").alias("f")).select("f.*")
-    both = each.select("instance", (F.col("kind") < 4).alias("seed"), F.explode(F.array("one", "two")).alias("pattern")).filter("pattern <> 0")
-    edges = both.groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n"))
-    edges = settle(edges, "edges")
-    able = edges.filter("seed").groupBy("pattern").count().filter(F.col("count") >= how.support).select("pattern")
-    able = settle(able, "patterns")
-    blocks = max(1, -(-able.count() // how.block))
-    totals = None
-    for k in range(blocks):
-        part = [r.pattern for r in able.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).collect()]
-        if not part:
-            continue
-        some = occurrences(docs, part)
-        totals = some if totals is None else totals.union(some)
-    if totals is None:
-        return able.withColumn("score", F.lit(0.0)).limit(0)
-    totals = settle(totals, "totals")
-    graph = settle(edges.join(totals, "pattern"), "graph")
-    worth = None
-    for _ in range(how.rounds):
-        # seeds count in full, other instances by what the last round says of them
-        value = F.when(F.col("seed"), F.lit(1.0))
-        rows = graph if worth is None else graph.join(worth, "instance", "left")
-        value = value.otherwise(F.lit(0.0) if worth is None else F.coalesce("worth", F.lit(0.0)))
-        score = rows.groupBy("pattern", "total").agg((F.sum(value * F.col("n"))).alias("s")).select("pattern", F.least(F.lit(1.0), F.col("s") / F.greatest(F.col("total"), F.lit(1))).alias("score"))
-        score = settle(score, "scores")
-        unseen = graph.filter(~F.col("seed")).join(score, "pattern")
-        worth = settle(unseen.groupBy("instance").agg(F.max("score").alias("worth")), "worth")
-    return score.filter(F.col("score") >= how.bar)
+            rows, had = batch.column("found").to_pylist(), batch.column("best").to_pylist()
+            for r, old in zip(rows, had, strict=True):
+                for i, f in enumerate(r):
+                    if f["kind"] >= 0:
+                        continue
+                    at = np.searchsorted(keys, f["patterns"])
+                    at[at == len(keys)] = 0
+                    hit = at[keys[at] == f["patterns"]]
+                    if len(hit):
+                        top = max(zip(scores[hit].tolist(), (-kinds[hit]).tolist(), strict=True))
+                        old[i] = max(old[i], {"score": top[0], "kind": -top[1]}, key=lambda x: (x["score"], -x["kind"]))
+            yield batch.set_column(2, "best", pa.array(had, type=batch.schema.field("best").type))
+
+    return run
+
+
+_SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
+
+
+def _spans(batches):
+    """Entities, and of the marked mentions those that no better one overlaps (of equals the longer, then the first)."""
+    for batch in batches:
+        out = []
+        for r, best in zip(batch.column("found").to_pylist(), batch.column("best").to_pylist(), strict=True):
+            rows = [(f["start"], f["kind"], f["end"], None) for f in r if f["kind"] >= 0]
+            marked = sorted((-b["score"], f["start"] - f["end"], f["start"], b["kind"], f["end"]) for f, b in zip(r, best, strict=True) if f["kind"] < 0 and b["score"] > 0)
+            starts, taken = [], []
+            for score, _, a, k, b in marked:
+                at = int(np.searchsorted(starts, a))
+                if (at == len(starts) or starts[at] >= b) and (at == 0 or taken[at - 1] <= a):
+                    starts.insert(at, a)
+                    taken.insert(at, b)
+                    rows.append((a, len(KINDS) + k, b, -score))
+            names = KINDS + FOUND
+            out.append([{"kind": names[k], "start": a, "end": b, "score": s} for a, k, b, s in sorted(rows, key=lambda x: x[:3])])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, type=pa.list_(_SPAN))], ["doc_id", "spans"])
 
 
 def extract(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
-    """doc_id and spans (kind, start, end; code points, end exclusive) in order, for each row of docs.
+    """doc_id and spans (kind, start, end; code points, end exclusive; score) in order, for each row of docs.
 
-    Entities of regular forms, and as kind `id` what the learned patterns introduce. A null
-    or empty text has none; repeated rows are read one by one.
+    Entities of regular forms (score null), and what the learned patterns introduce, as
+    kind like_email, like_ip, like_card or like_phone with the score of its best pattern.
+    A null or empty text has none; repeated rows are read one by one.
     """
     found = settle(candidates(docs), "candidates")
-    patterns = settle(learn(docs, found, how), "learned")
-    # patterns are few: each has at least `support` seeds and precedes little else; their number is checked
-    n, blocks = patterns.count(), 1
-    if n > how.block:
-        blocks = -(-n // how.block)
-    out = found.withColumn("more", F.array().cast("array<struct<start:long,end:long>>"))
+    learned = settle(learn(found, how), "learned")
+    n = learned.count()
+    blocks = max(1, -(-n // how.block))
+    out = found.withColumn("best", F.transform("found", lambda f: F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("kind"))))
     for k in range(blocks if n else 0):
-        part = patterns.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k) if blocks > 1 else patterns
-        known = docs.sparkSession.sparkContext.broadcast(frozenset(r.pattern for r in part.collect()))
-        out = out.mapInArrow(_mark(known), out.schema)
-    names = F.array(*[F.lit(k) for k in KINDS])
-    regular = F.transform(F.filter("found", lambda f: f["kind"] < 4), lambda f: F.struct(f["start"].alias("start"), f["kind"].alias("k"), f["end"].alias("end")))
-    more = F.transform(F.array_distinct("more"), lambda f: F.struct(f["start"].alias("start"), F.lit(4).alias("k"), f["end"].alias("end")))
-    spans = F.array_sort(F.concat(regular, more))
-    return out.select("doc_id", F.transform(spans, lambda s: F.struct(F.get(names, s["k"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
-
-
-def _mark(known):
-    def run(batches):
-        for batch in batches:
-            rows = batch.column("found").to_pylist()
-            old = batch.column("more").to_pylist()
-            more = [o + [{"start": f["start"], "end": f["end"]} for f in r if f["kind"] == 4 and (f["one"] in known.value or f["two"] in known.value)] for r, o in zip(rows, old, strict=True)]
-            yield batch.set_column(2, "more", pa.array(more, type=batch.schema.field("more").type))
-
-    return run
+        part = learned.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).orderBy("pattern").toArrow()
+        known = tuple(part.column(c).to_numpy() for c in ("pattern", "kind", "score"))
+        if len(known[0]):
+            out = out.mapInArrow(_best_of(docs.sparkSession.sparkContext.broadcast(known)), out.schema)
+    return out.mapInArrow(_spans, "doc_id long, spans array<struct<kind:string,start:long,end:long,score:double>>")
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
+    """`extract` of documents: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans (all) and n_found
+    (those that the method adds). A null or empty text has none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["score"].isNull())
     return extract(docs).select(
         "doc_id",
-        *[of(k).alias(f"n_{k}") for k in KINDS[:4]],
-        F.sha2(text(F.filter("spans", lambda s: s["kind"] != "id")), 256).alias("base_sha256"),
+        *[of(k).alias(f"n_{k}") for k in KINDS],
+        F.sha2(text(base), 256).alias("base_sha256"),
         text(F.col("spans")).alias("spans"),
+        F.size("spans").cast("long").alias("n_spans"),
+        (F.size("spans") - F.size(base)).cast("long").alias("n_found"),
     )
