@@ -1,10 +1,12 @@
 """URL filters by a temporal list join.
 
 Dated list entries become validity intervals: an entry holds from its date until the next
-entry for the same key. A capture is looked up under its keys (host, parent domains, host
-with first path segment) and judged by what held when it was fetched. Intervals and
-captures meet on the key and the month, so a host with very many captures, or with a long
-history, is spread over months, and no key's rows are gathered in one place.
+entry for the same key. A key's intervals are one row. A capture is looked up under its
+keys (host, parent domains, host with first path segment), and the as-of join takes the
+interval of each key that holds when it was fetched; the most specific key decides. The
+list goes to all executors if its counted size allows. Else both sides are shuffled by
+key, where the list has one row each, so the captures of a host with very many of them can
+be split among tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pathline.llm.batches import settle
+
+#: Keys and intervals of a list that goes to all executors.
+BROADCAST_KEYS, BROADCAST_SPANS = 200_000, 1_000_000
+
 
 def host_of(url: Column) -> Column:
     """Host in lower case without user, port and a last dot; empty for a null or odd url."""
@@ -32,38 +39,39 @@ def keys_of(url: Column) -> Column:
 
 
 def intervals(entries: DataFrame) -> DataFrame:
-    """entries (key, listed_on date, action 'add' or 'remove') -> key, since, until (exclusive, null: still holds).
+    """entries (key, listed_on date, action 'add' or 'remove') -> key and spans: since and until (exclusive, null:
+    still holds) of the times at which it is on the list, in order.
 
     Of several entries of one key and day 'remove' counts. Entries with a null field are
-    left out. Only times at which the key is on the list are returned.
+    left out, and keys that are never on the list.
     """
     days = entries.select("key", "listed_on", "action").dropna().groupBy("key", "listed_on").agg(F.max("action").alias("action"))
     history = days.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("listed_on", "action"))).alias("h"))
-    spans = F.transform("h", lambda e, i: F.struct(e["listed_on"].alias("since"), e["action"].alias("action"), F.get("h", i + 1)["listed_on"].alias("until")))
-    return history.select("key", F.explode(spans).alias("s")).filter("s.action = 'add'").select("key", "s.since", "s.until")
+    each = F.transform("h", lambda e, i: F.struct(e["action"].alias("action"), e["listed_on"].alias("since"), F.get("h", i + 1)["listed_on"].alias("until")))
+    held = F.transform(F.filter(each, lambda e: e["action"] == "add"), lambda e: F.struct(e["since"].alias("since"), e["until"].alias("until")))
+    return history.select("key", held.alias("spans")).filter(F.size("spans") > 0)
 
 
-def judge(captures: DataFrame, entries: DataFrame, last_day: str = "2100-01-01") -> DataFrame:
+def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """page_id, url, fetched_on, blocked, matched (most specific key that held, or null) and since, for each capture.
 
     A capture with a null url or fetched_on is not blocked. Repeated captures are judged
-    one by one: rows are told apart by what they hold, and the result repeats as they do.
+    one by one; columns of captures other than these three are left out.
     """
     rows = captures.select("page_id", "url", F.col("fetched_on").cast("date").alias("fetched_on"))
-    plain = rows.groupBy("page_id", "url", "fetched_on").agg(F.count(F.lit(1)).cast("int").alias("copies"))
-    asked = plain.select("page_id", "url", "fetched_on", F.posexplode(keys_of(F.col("url"))).alias("order", "key"), F.trunc("fetched_on", "month").alias("month"))
-    held = intervals(entries)
-    end = F.coalesce(F.date_sub("until", 1), F.greatest(F.lit(last_day).cast("date"), F.col("since")))
-    # an interval that still holds is kept once as such, not once for each month to come
-    closed = held.filter("until is not null").withColumn("month", F.explode(F.sequence(F.trunc("since", "month"), F.trunc(end, "month"), F.expr("interval 1 month"))))
-    first = asked.join(closed, ["key", "month"]).filter("since <= fetched_on AND fetched_on < until").select("page_id", "url", "fetched_on", "order", "key", "since")
-    open_ = held.filter("until is null").select("key", "since")
-    last = asked.join(open_, "key").filter("since <= fetched_on").select("page_id", "url", "fetched_on", "order", "key", "since")
-    best = first.union(last).groupBy("page_id", "url", "fetched_on").agg(F.min(F.struct("order", "key", "since")).alias("b"))
-    best = best.toDF("of_page", "of_url", "of_day", "b")
-    same = F.col("page_id").eqNullSafe(F.col("of_page")) & F.col("url").eqNullSafe(F.col("of_url")) & F.col("fetched_on").eqNullSafe(F.col("of_day"))
-    out = plain.join(best, same, "left").select("page_id", "url", "fetched_on", F.col("b").isNotNull().alias("blocked"), F.col("b.key").alias("matched"), F.col("b.since").alias("since"), "copies")
-    return out.withColumn("_", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "_")
+    asked = rows.select("*", F.posexplode_outer(keys_of(F.col("url"))).alias("order", "key"))
+    held = settle(intervals(entries), "intervals")
+    size = held.agg(F.count(F.lit(1)).alias("keys"), F.coalesce(F.sum(F.size("spans")), F.lit(0)).alias("spans")).first()
+    few = size["keys"] <= BROADCAST_KEYS and size["spans"] <= BROADCAST_SPANS
+    met = asked.join(F.broadcast(held) if few else held, "key", "left")
+    day = F.col("fetched_on")
+    now = F.get(F.filter("spans", lambda s: (s["since"] <= day) & (s["until"].isNull() | (day < s["until"]))), F.lit(0))
+    best = F.min(F.when(now.isNotNull(), F.struct("order", "key", now["since"].alias("since"))))
+    # a capture's first key (or none) stands for it once, so that repeated captures are counted
+    copies = F.sum(F.when(F.coalesce("order", F.lit(0)) == 0, 1).otherwise(0)).cast("int")
+    out = met.groupBy("page_id", "url", "fetched_on").agg(best.alias("b"), copies.alias("copies"))
+    out = out.withColumn("_", F.explode(F.sequence(F.lit(1), "copies")))
+    return out.select("page_id", "url", "fetched_on", F.col("b").isNotNull().alias("blocked"), F.col("b.key").alias("matched"), F.col("b.since").alias("since"))
 
 
 def _digit(text: Column, k: int) -> Column:
@@ -92,6 +100,7 @@ def entries_of(pages: DataFrame) -> DataFrame:
 
 
 def op6_url_filters(spark, sf_dir: str) -> DataFrame:
+    """`judge` of every page; a null or odd url is not blocked. Fetch dates and the list are drawn from the pages."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return judge(captures_of(pages), entries_of(pages))
 
@@ -107,7 +116,7 @@ l AS (SELECT *, string_split(host, '.') AS labels FROM p),
 q AS (
   SELECT page_id, url, fetched_on, 0 AS o, host || '/' || segment AS key FROM l WHERE host <> '' AND segment <> ''
   UNION ALL SELECT page_id, url, fetched_on, 1, host FROM l WHERE host <> ''
-  UNION ALL SELECT page_id, url, fetched_on, i + 1, array_to_string(labels[i + 1 :], '.') FROM l, range(1, 9) r(i) WHERE len(labels) - i >= 2),
+  UNION ALL SELECT page_id, url, fetched_on, i + 1, array_to_string(labels[i + 1 :], '.') FROM (SELECT *, unnest(range(1, len(labels) - 1)) AS i FROM l WHERE len(labels) >= 3)),
 d AS (SELECT DISTINCT array_to_string(labels[-2:], '.') AS key FROM l WHERE host <> ''),
 k AS (
   SELECT DISTINCT key FROM (
