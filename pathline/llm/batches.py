@@ -13,8 +13,21 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 1_000_000
 
 
+#: Text of an Arrow batch, as far as rows allow; the JVM and a worker each hold one at a time.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches of the session by bytes, as texts can be long: a batch has 8 MB or one row."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = (spark.conf.get(key, None) or "").rstrip("bB")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that other columns can have any name."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
@@ -34,8 +47,10 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable], schema: str) -> Dat
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where unset one beside the warehouse."""
+    """The folder all executors share, from spark.checkpoint.dir; only on one machine is there one beside the warehouse without it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return at or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
 
 

@@ -154,5 +154,6 @@ def encode_decode(docs: DataFrame, model: str, with_ids: bool = False) -> DataFr
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
+    """`encode_decode` of documents: doc_id, n_tokens, ids_sha256, decoded_sha256; a null or empty text has no ids."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))

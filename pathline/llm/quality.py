@@ -144,12 +144,16 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, stop_words: tuple[st
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """`judge` of documents by RULES; a null or empty text fails on its number of words."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs that pass, all columns as they were; extra columns may have any name."""
+    """The rows of docs that pass, all columns as they were; extra columns may have any name.
+
+    A null or empty text has no words and goes; repeated rows are judged one by one.
+    """
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id"), "text")
     # The task's number is no function of the row: with it in the condition the optimiser
     # leaves the filter above the measures and each of them is computed once.

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathline.llm.batches import map_texts
+from pathline.llm.batches import map_texts, small_batches
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -85,31 +85,43 @@ def _of(strings) -> object:
 _MOST = 64
 
 
-def _node(op, arg):
+def _letter(c: int, flags: int) -> set[bytes] | None:
+    """A character as the index has it (ASCII letters in lower case); None if a rule ignores case and it has forms
+    beyond ASCII (of ASCII letters i, k and s do)."""
+    char = chr(c)
+    if flags & re.IGNORECASE and not (flags & re.ASCII and c < 128):
+        if char in "iIkKsS" or c >= 128 and len({char, char.lower(), char.upper(), char.casefold()}) > 1:
+            return None
+    return {char.encode().lower()}
+
+
+def _node(op, arg, flags):
     """(strings that the node can stand for, or None if unknown; the query of its inside)."""
     if op is K.LITERAL:
-        return {chr(arg).encode().lower()}, True
+        return _letter(arg, flags), True
     if op is K.IN:
         chars = set()
         for o, a in arg:
-            if o is K.LITERAL:
-                chars.add(chr(a).encode().lower())
-            elif o is K.RANGE and a[1] - a[0] < _MOST:
-                chars |= {chr(c).encode().lower() for c in range(a[0], a[1] + 1)}
-            else:
+            points = [a] if o is K.LITERAL else range(a[0], a[1] + 1) if o is K.RANGE and a[1] - a[0] < _MOST else None
+            if points is None:
                 return None, True
+            for c in points:
+                form = _letter(c, flags)
+                if form is None:
+                    return None, True
+                chars |= form
         return (chars, True) if len(chars) <= 8 else (None, True)
     if op is K.SUBPATTERN:
-        return _sequence(arg[3])
+        return _sequence(arg[3], (flags | arg[1]) & ~arg[2])
     if op is K.BRANCH:
-        both = [_sequence(b) for b in arg[1]]
+        both = [_sequence(b, flags) for b in arg[1]]
         query = _either(*(_both(q, True if s is None else _of(s)) for s, q in both))
         if all(s is not None for s, _ in both) and sum(len(s) for s, _ in both) <= _MOST:
             return set().union(*(s for s, _ in both)), True
         return None, query
     if op in (K.MAX_REPEAT, K.MIN_REPEAT, K.POSSESSIVE_REPEAT):
         least, most, inner = arg
-        strings, query = _sequence(inner)
+        strings, query = _sequence(inner, flags)
         if least == 0:
             return ({b"", *strings}, True) if most == 1 and strings is not None else (None, True)
         if strings is not None and len(strings) == 1 and least <= 32:
@@ -120,11 +132,11 @@ def _node(op, arg):
     return None, True
 
 
-def _sequence(nodes):
+def _sequence(nodes, flags):
     """As `_node`, for nodes one after another: known strings are joined until one is unknown."""
     conditions, run, whole = [], {b""}, True
     for op, arg in nodes:
-        strings, query = _node(op, arg)
+        strings, query = _node(op, arg, flags)
         conditions.append(query)
         if strings is not None and len(run) * len(strings) <= _MOST:
             run = {a + b for a in run for b in strings}
@@ -139,7 +151,8 @@ def _sequence(nodes):
 
 def trigram_query(pattern: str):
     """The Boolean query over trigrams (ASCII letters in lower case) that each text with a match fulfils."""
-    strings, query = _sequence(_parser.parse(pattern))
+    parsed = _parser.parse(pattern)
+    strings, query = _sequence(parsed, parsed.state.flags)
     return _both(query, True if strings is None else _of(strings))
 
 
@@ -157,7 +170,7 @@ def _code(gram: bytes) -> int:
 
 
 #: A segment ends with the document that fills it.
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 
 
 class Segment:
@@ -282,11 +295,13 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secre
                 out.append("".join([*parts, text[at:]]) if spans else text)
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(out, type=batch.schema.field("text").type))
 
+    small_batches(docs.sparkSession)
     out = docs.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def op2_secret_scans(spark, sf_dir: str) -> DataFrame:
+    """`scan` of documents: doc_id, n_assign, n_access, n_hex, base_sha256, spans; a null or empty text has none."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     n = len(BASE)
     of = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long")
