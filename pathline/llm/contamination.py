@@ -6,8 +6,9 @@ indexed sequence, and anything else is a separator. Each phrase is searched back
 through wavelet ranks, places come from sampled suffix positions, and the places of a
 document are merged into removal spans. Shards are independent: no shuffle.
 
-Phrases travel in blocks of checked size; a benchmark beyond one block is searched for
-block by block, and the spans of the blocks are merged.
+Phrases travel in blocks of checked size. A pass over the documents searches for so many
+blocks that their tables fit in a worker; a benchmark beyond one pass takes further ones,
+and the spans of all are merged.
 """
 
 from __future__ import annotations
@@ -20,12 +21,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pathline.llm.batches import settle, small_batches, texts_of
 from pathline.llm.fmindex import FMIndex
 from pathline.llm.words import LETTERS, Words, hashes, pieces, words_of
 
 WIDTH = 10
-#: Benchmark text that goes to all executors at once.
-BLOCK_BYTES = 32 << 20
+#: Benchmark text of a block. A window takes 40 bytes and 16 for each of its items, so a block has some 20 MB.
+BLOCK_BYTES = 2 << 20
+#: Blocks that go to all executors for one pass.
+PASS_BLOCKS = 12
+#: Texts with hits whose spans go to all executors, where a benchmark takes several passes.
+BROADCAST_TEXTS = 100_000
 
 
 class Phrases:
@@ -35,19 +41,21 @@ class Phrases:
         self.width = width
         w = words_of(pa.array([t for _, t in items], type=pa.large_string()), LETTERS, lower=True)
         self.words, numbers = np.unique(hashes(w), return_inverse=True)
-        seen: dict[tuple, int] = {}
-        pairs = set()
-        for k, (item, _) in enumerate(items):
-            own = (numbers[w.first[k] : w.first[k + 1]] + 1).tolist()
-            for i in range(max(1, len(own) - width + 1) if own else 0):
-                pairs.add((seen.setdefault(tuple(own[i : i + width]), len(seen)), item))
-        self.sizes = np.array([len(p) for p in seen], dtype=np.int64)
-        self.rows = np.zeros((len(seen), width), dtype=np.int64)
-        for p, k in seen.items():
-            self.rows[k, : len(p)] = p
-        pairs = sorted(pairs)
-        self.items = np.array([i for _, i in pairs], dtype=np.int64)
-        self.first = np.searchsorted([k for k, _ in pairs], np.arange(len(seen) + 1))
+        n = np.diff(w.first)
+        windows = np.where(n > 0, np.maximum(1, n - width + 1), 0)
+        item = np.repeat(np.arange(len(items)), windows)
+        start = w.first[item] + np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
+        size = np.minimum(width, n[item])
+        rows = np.zeros((len(item), width), dtype=np.int32)
+        for k in range(width):
+            has = k < size
+            rows[has, k] = numbers[start[has] + k] + 1
+        self.rows, phrase = np.unique(rows, axis=0, return_inverse=True)
+        self.sizes = np.count_nonzero(self.rows, axis=1)
+        ids = np.array([i for i, _ in items], dtype=np.int64)
+        pairs = np.unique(np.stack([phrase.ravel(), ids[item]], axis=1), axis=0) if len(item) else np.zeros((0, 2), dtype=np.int64)
+        self.items = pairs[:, 1]
+        self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
 
 
 def stretches(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
@@ -129,33 +137,54 @@ def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, width: int =
         yield Phrases([(r.item_id, r.text) for r in part.collect()], width)
 
 
+def passes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, width: int = WIDTH) -> Iterator[list]:
+    """Blocks of the benchmark at all executors, so many at a time as one pass over documents searches for."""
+    held = []
+    for phrases in blocks_of(benchmark, block_bytes, width):
+        held.append(benchmark.sparkSession.sparkContext.broadcast(phrases))
+        if len(held) == PASS_BLOCKS:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _all_blocks(texts: pa.Array, blocks: list) -> tuple[list[int], list[list], list[set]]:
+    """For each text its number of words, merged spans (first word, past the last, first byte, past the last) and items."""
+    counts, spans, items = [0] * len(texts), [[] for _ in range(len(texts))], [set() for _ in range(len(texts))]
+    for phrases in blocks:
+        for k, (n, of_words, of_bytes, ids) in enumerate(search_texts(texts, phrases.value)):
+            counts[k] = n
+            spans[k] += [(*x, *y) for x, y in zip(of_words, of_bytes, strict=True)]
+            items[k].update(ids)
+    return counts, [joined(s) for s in spans], items
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, width: int = WIDTH) -> DataFrame:
     """doc_id, n_words, spans (struct first, past: hit words, merged) and items (ids whose windows occur), for each row.
 
     A null text has no words. Repeated rows are searched one by one.
     """
-    spark = docs.sparkSession
     span = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
+    texts = texts_of(docs).withColumn("key", F.xxhash64("text"))
     parts = []
-    for phrases in blocks_of(benchmark, block_bytes, width):
-        shared = spark.sparkContext.broadcast(phrases)
+    for blocks in passes(benchmark, block_bytes, width):
 
-        def run(batches, shared=shared):
+        def run(batches, blocks=blocks):
             for batch in batches:
-                rows = list(search_texts(batch.column("text"), shared.value))
+                counts, spans, items = _all_blocks(batch.column("text"), blocks)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"),
                         batch.column("key"),
-                        pa.array([r[0] for r in rows], type=pa.int64()),
-                        pa.array([[{"first": a, "past": b} for a, b in r[1]] for r in rows], type=span),
-                        pa.array([r[3] for r in rows], type=pa.list_(pa.int64())),
+                        pa.array(counts, type=pa.int64()),
+                        pa.array([[{"first": a, "past": b} for a, b, _, _ in s] for s in spans], type=span),
+                        pa.array([sorted(i) for i in items], type=pa.list_(pa.int64())),
                     ],
                     ["doc_id", "key", "n_words", "spans", "items"],
                 )
 
-        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        parts.append(texts.withColumn("key", F.xxhash64("text")).mapInArrow(run, "doc_id long, key long, n_words long, spans array<struct<first:long,past:long>>, items array<long>"))
+        parts.append(texts.mapInArrow(run, "doc_id long, key long, n_words long, spans array<struct<first:long,past:long>>, items array<long>"))
     if len(parts) == 1:
         return parts[0].drop("key")
     whole = parts[0]
@@ -163,8 +192,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
         whole = whole.union(p)
     n = len(parts)
     whole = whole.groupBy("doc_id", "key", "n_words").agg(
-        F.sort_array(F.flatten(F.collect_list("spans"))).alias("s"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.sort_array(F.flatten(F.collect_set("spans"))).alias("s"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         (F.count(F.lit(1)) / n).cast("int").alias("rows"),
     )
     whole = whole.select("doc_id", "n_words", merged("s").alias("spans"), "items", "rows")
@@ -193,36 +222,75 @@ def joined(spans: list[tuple[int, int, int, int]]) -> list[list[int]]:
     return out
 
 
+def _cut(texts: list, spans: list[list]) -> list:
+    """Texts without the bytes of their spans."""
+    out = []
+    for t, s in zip(texts, spans, strict=True):
+        if s:
+            raw, parts, at = t.encode(), [], 0
+            for _, _, a, b in s:
+                parts.append(raw[at:a])
+                at = b
+            t = b"".join([*parts, raw[at:]]).decode()
+        out.append(t)
+    return out
+
+
+_BYTES = "array<struct<first:long,past:long,start:long,end:long>>"
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with every hit span cut out of text (from its first word to the end of its last); n_chars follows.
 
     All rows and columns stay; a text in which nothing is hit, and a null one, is as before.
-    Every block of the benchmark is searched for in the uncut text; the spans of all are cut at once.
+    All blocks of the benchmark are searched for in the uncut text, and their spans are cut at once.
     """
-    blocks = [docs.sparkSession.sparkContext.broadcast(phrases) for phrases in blocks_of(benchmark, block_bytes, width)]
-
-    def run(batches):
-        for batch in batches:
-            column = batch.column("text")
-            texts = column.to_pylist()
-            found: dict[int, list] = {}
-            for phrases in blocks:
-                for k, (_, of_words, of_bytes, _) in enumerate(search_texts(column, phrases.value)):
-                    if of_words:
-                        found.setdefault(k, []).extend((*x, *y) for x, y in zip(of_words, of_bytes, strict=True))
-            for k, spans in found.items():
-                raw, out, at = texts[k].encode(), [], 0
-                for _, _, a, b in joined(spans):
-                    out.append(raw[at:a])
-                    at = b
-                texts[k] = b"".join([*out, raw[at:]]).decode()
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, type=column.type))
-
-    docs = docs.mapInArrow(run, docs.schema)
-    return docs.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else docs
+    small_batches(docs.sparkSession)
+    sent = list(passes(benchmark, block_bytes, width))
+    at, n = docs.columns.index("text"), len(docs.columns)
+
+    if len(sent) == 1:
+
+        def run(batches):
+            for batch in batches:
+                column = batch.column("text")
+                _, spans, _ = _all_blocks(column, sent[0])
+                yield batch.set_column(at, "text", pa.array(_cut(column.to_pylist(), spans), type=column.type))
+
+        out = docs.mapInArrow(run, docs.schema)
+    else:
+        # spans of each pass, by text: equal texts have equal spans
+        hits = None
+        for blocks in sent:
+
+            def search(batches, blocks=blocks):
+                kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("first", "past", "start", "end")]))
+                for batch in batches:
+                    _, spans, _ = _all_blocks(batch.column("text"), blocks)
+                    some = [k for k, s in enumerate(spans) if s]
+                    rows = [[dict(zip(("first", "past", "start", "end"), x, strict=True)) for x in spans[k]] for k in some]
+                    yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(some, type=pa.int64())), pa.array(rows, type=kind)], ["digest", "spans"])
+
+            part = docs.select("text", F.sha2("text", 256).alias("digest")).mapInArrow(search, f"digest string, spans {_BYTES}")
+            hits = part if hits is None else hits.union(part)
+        hits = settle(hits.groupBy("digest").agg(F.flatten(F.collect_set("spans")).alias("spans")), "hits")
+        row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.sha2(F.col("text"), 256).alias("digest"))
+        few = hits.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
+        both = row.join(F.broadcast(hits) if few else hits, "digest", "left").select("row.*", F.col("spans").alias("spans_"))
+
+        def cut(batches):
+            for batch in batches:
+                spans = [joined([tuple(x.values()) for x in s or ()]) for s in batch.column(n).to_pylist()]
+                whole = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
+                column = whole.column(at)
+                yield whole.set_column(at, "text", pa.array(_cut(column.to_pylist(), spans), type=column.type))
+
+        out = both.mapInArrow(cut, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
+    """`contamination` of documents: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; a null text has no words."""
     docs, benchmark = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["past"] - s["first"])
     ids = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
