@@ -5,7 +5,10 @@ space; what a bucket's task finds goes back to the chunk in one row. A hash take
 on the way and no row of its own. Chunks are numbered by task and batch, so that a task
 that runs again gives the same rows; what is dealt must therefore be read from a table
 (files, or one that `settle` has written), not come out of a shuffle, whose rows may
-arrive in another order.
+arrive in another order. Callers see to that with `stable_texts`.
+
+A chunk also has a row of its own (facts about its documents), which goes to a group of its
+own: no bucket holds the facts of several chunks.
 """
 
 from __future__ import annotations
@@ -14,22 +17,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
+from pathline.llm.batches import settle, texts_of
 from pathline.llm.words import pieces
 
 #: Text that a task holds as arrays of hashes at once.
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
-ROWS = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("head", pa.binary()), ("body", pa.binary())])
-SCHEMA = "bucket int, chunk long, head binary, body binary"
+ROWS = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("head", pa.binary()), ("body", pa.binary())])
+SCHEMA = "bucket long, chunk long, head binary, body binary"
 BACK = pa.schema([("chunk", pa.int64()), ("head", pa.binary()), ("body", pa.binary())])
 BACK_SCHEMA = "chunk long, head binary, body binary"
 
 
-def buckets_for(spark: SparkSession) -> int:
-    """Four buckets for each shuffle partition: they follow the size that the session is set for."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+def stable_texts(docs: DataFrame, stable: bool) -> DataFrame:
+    """doc_id and text as a table that gives the same rows in the same order each time: docs as they are if the
+    caller says that they are read from files, else written first."""
+    texts = texts_of(docs)
+    return texts if stable else settle(texts, "texts")
+
+
+def buckets_for(texts: DataFrame) -> int:
+    """Four buckets for each task of the scan, whose size the session bounds, or for each shuffle partition where
+    those are more: a bucket has some 60 MB of text at the default 128 MB a task, however large the table is."""
+    return 4 * max(texts.rdd.getNumPartitions(), int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def own_bucket(chunk: int) -> int:
+    """Where a chunk's own row goes: below the buckets, and to no other chunk's."""
+    return -1 - chunk
 
 
 def chunk_numbers() -> Iterator[int]:
@@ -42,11 +60,24 @@ def chunk_numbers() -> Iterator[int]:
 
 
 def chunks(batches) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Batches cut into chunks of about CHUNK_BYTES of text, numbered."""
-    numbers = chunk_numbers()
+    """A task's batches joined and cut into chunks of about CHUNK_BYTES of text, numbered."""
+    numbers, held, size = chunk_numbers(), [], 0
+
+    def joined() -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(c.chunks) for c in table.columns], table.column_names)
+
     for batch in batches:
         for i, j in pieces(batch.column("text"), CHUNK_BYTES):
-            yield next(numbers), batch.slice(i, j - i)
+            part = batch.slice(i, j - i)
+            n = (pc.sum(pc.binary_length(part.column("text"))).as_py() or 0) + 64 * len(part)  # facts of a row included
+            if held and size + n > CHUNK_BYTES:
+                yield next(numbers), joined()
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield next(numbers), joined()
 
 
 def deal(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +105,7 @@ def repeated(h: np.ndarray) -> np.ndarray:
 
 
 def by_bucket(rows: DataFrame, answer) -> DataFrame:
-    """Rows of chunks with bucket -1 - b pass on; those of bucket b get answer(chunks, heads, bodies),
+    """Chunks' own rows pass on; those of bucket b get answer(chunks, heads, bodies),
     which returns (chunk, head, body) for each chunk that something goes back to."""
 
     def run(key, table):

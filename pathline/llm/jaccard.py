@@ -5,9 +5,9 @@
 2. Equal sets become one class. Classes that share one of their rarest shingles (a prefix
    of each set that two similar sets must share) form loose groups.
 3. Groups are cut into blocks of bounded size; in a block a T-occurrence search with
-   DivideSkip finds partners: postings of rare shingles are merged and counted, long
-   postings are only probed for what can still reach the needed overlap. A document that
-   is connected to all it could find is not searched for again.
+   DivideSkip finds partners: the short postings of rare shingles are heap-merged, the long
+   ones only probed, the shorter first, for what can still reach the needed overlap. A
+   document that is connected to all it could find is not searched for again.
 4. A group of several blocks shares some members among all of them; what is then still
    apart from the group's main part is searched for in every block where a shared rare
    shingle says that a partner can be.
@@ -17,8 +17,10 @@ No pair is listed for a group of copies; the work follows the number of document
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathline.llm import exchange
-from pathline.llm.batches import BROADCAST_IDS, settle, texts_of, with_ids
+from pathline.llm.batches import BROADCAST_IDS, settle, with_ids
 from pathline.llm.components import components
 from pathline.llm.words import hashes, mix, pieces, windows, words_of
 
 WIDTH, PERCENT = 5, 80
-#: A block has at most about so many sets and shingles.
-BLOCK_SETS, BLOCK_SHINGLES = 1_000, 2_000_000
+#: A block has at most about so many sets and shingles; the work in it is sets x shingles at worst.
+BLOCK_SETS, BLOCK_SHINGLES = 128, 500_000
 #: Members that all blocks of a group have.
 SHARED = 4
 
@@ -55,13 +57,14 @@ def _keys(s: np.ndarray) -> tuple[int, int]:
     return int(np.sum(s, dtype=np.uint64)), int(np.bitwise_xor.reduce(mix(s + np.uint64(1)), initial=np.uint64(0)))
 
 
-def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+def signatures(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n (size of the set), key1 and key2 (equal for equal sets), shared (shingles that more than
     one document has; a hash of 32 bits within a bucket can count a few too many, never too few).
 
-    A row for each row. A null text has n = 0; a null doc_id is passed on and shares with nothing.
+    A row for each row of texts, which `exchange.stable_texts` gives. A null text has n = 0; a null doc_id is
+    passed on and shares with nothing.
     """
-    n_buckets = exchange.buckets_for(docs.sparkSession)
+    n_buckets = exchange.buckets_for(texts)
 
     def deal(batches):
         for chunk, batch in exchange.chunks(batches):
@@ -80,7 +83,7 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             full = np.flatnonzero(np.diff(bounds)).tolist()
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([-1 - chunk % n_buckets, *full], type=pa.int32()),
+                    pa.array([exchange.own_bucket(chunk), *full], type=pa.int64()),
                     pa.array([chunk] * (len(full) + 1), type=pa.int64()),
                     pa.array([head.tobytes(), *(exchange.pack_places(doc[bounds[b] : bounds[b + 1]]) for b in full)], type=pa.binary()),
                     pa.array([b"", *(h[bounds[b] : bounds[b + 1]].tobytes() for b in full)], type=pa.binary()),
@@ -109,8 +112,7 @@ def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         ids = pa.array(info[0], mask=info[4] == 0)
         return pa.table({"doc_id": ids, "n": info[1], "key1": info[2], "key2": info[3], "shared": shared})
 
-    rows = texts_of(docs).mapInArrow(deal, exchange.SCHEMA)
-    back = exchange.by_bucket(rows, answer)
+    back = exchange.by_bucket(texts.mapInArrow(deal, exchange.SCHEMA), answer)
     return back.groupBy("chunk").applyInArrow(gather, "doc_id long, n long, key1 long, key2 long, shared long")
 
 
@@ -119,6 +121,22 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _counted(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Heap merge of sorted postings: the numbers that come up, and in how many of the lists each does."""
+    counts = [(d, sum(1 for _ in run)) for d, run in groupby(heapq.merge(*lists))]
+    return np.array(counts, dtype=np.int64).reshape(-1, 2).T
+
+
+def _divide(length: np.ndarray, need: int) -> int:
+    """How many of the longest postings are left for probes (fewer than `need`, so that whatever has the needed
+    overlap still comes up among the others). Long lists cost a merge their length, a probe only its logarithm."""
+    return min(need - 1, int(need / (0.01 * math.log2(max(2, int(length.max()))) + 1)))
+
+
+#: Long postings that are probed before candidates are thinned out again.
+_STRIDE = 16
+
+
 def t_occurrence(sets: list[np.ndarray], asked: list[int], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Pairs (numbers of sets) that connect what is similar, for every set of `asked` against all.
 
@@ -133,7 +151,7 @@ def t_occurrence(sets: list[np.ndarray], asked: list[int], percent: int = PERCEN
     values, owner = values[order], owner[order]
     distinct, first = np.unique(values, return_index=True)
     last = np.append(first[1:], len(values))
-    place = np.repeat(np.arange(len(distinct)), last - first) * m + owner  # sorted, for probes
+    del values, order
     group, links = np.arange(m), []
     for q in asked:
         n = int(sizes[q])
@@ -148,22 +166,28 @@ def t_occurrence(sets: list[np.ndarray], asked: list[int], percent: int = PERCEN
         need = _needed(n, percent)
         if len(lists) < need:
             continue
-        # DivideSkip: so many of the longest postings are left for probes that a set with
-        # the needed overlap still comes up among the others.
-        by = np.argsort(length, kind="stable")
-        n_long = min(need - 1, int(need / (0.01 * math.log2(max(2, int(length.max()))) + 1)))
-        rare, long = lists[by[: len(by) - n_long]], lists[by[len(by) - n_long :]]
-        merged = np.concatenate([owner[first[k] : last[k]] for k in rare.tolist()])
-        count = np.bincount(merged, minlength=m)
-        found = np.flatnonzero(fit & (count >= need - n_long))
-        for d in found.tolist():
-            if group[d] == group[q]:
-                continue
-            probe = long * m + d
-            at = np.searchsorted(place, probe)
-            at[at == len(place)] = 0
-            both = int(count[d]) + int(np.count_nonzero(place[at] == probe))
-            if 100 * both >= percent * (n + int(sizes[d]) - both):
+        lists = lists[np.argsort(length, kind="stable")]
+        n_long = _divide(length, need)
+        rare, long = lists[: len(lists) - n_long].tolist(), lists[len(lists) - n_long :].tolist()
+        found, count = _counted([owner[first[k] : last[k]].tolist() for k in rare])
+        # the overlap that a pair of these sizes must have
+        least = -(-percent * (n + sizes[found]) // (100 + percent))
+        left = n_long
+        able = fit[found] & (count + left >= least)
+        found, count, least = found[able], count[able], least[able]
+        for i in range(0, n_long, _STRIDE):
+            if not len(found):
+                break
+            for k in long[i : i + _STRIDE]:
+                posting = owner[first[k] : last[k]]
+                at = np.searchsorted(posting, found)
+                at[at == len(posting)] = 0
+                count += posting[at] == found
+            left = max(0, n_long - i - _STRIDE)
+            able = count + left >= least
+            found, count, least = found[able], count[able], least[able]
+        for d in found[count >= least].tolist():
+            if group[d] != group[q]:
                 links.append((q, d))
                 group[group == group[d]] = group[q]
     return links
@@ -185,11 +209,11 @@ def _search(percent: int):
     return run
 
 
-def _class_sets(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+def _class_sets(texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """class_id, n, tokens: the sets of classes, read again from the text of their smallest document (`least`)."""
     few = classes.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     keyed = classes.select(F.col("least").alias("doc_id"), "key1", "key2", "class_id")
-    both = texts_of(docs).join(F.broadcast(keyed) if few else keyed, "doc_id")
+    both = texts.join(F.broadcast(keyed) if few else keyed, "doc_id")
 
     def run(batches):
         for batch in batches:
@@ -232,7 +256,7 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     own = settle(own, "blocks")
     large = total.filter("parts > 1")
     everywhere = large.select("component", F.explode("shared").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    found = _searched(own.select("component", "node", "part").union(everywhere).withColumn("asked", F.lit(True)), sets, percent)
+    found = _searched(own.select("component", "node", "part").union(everywhere).withColumns({"run": F.lit(0), "asked": F.lit(True)}), sets, percent)
     if large.isEmpty():
         return found
     found = settle(found, "links")
@@ -245,31 +269,37 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     tokens = prefix.withColumnRenamed("class_id", "node")
     there = tokens.join(mine, "node").select("token", "component", "part", F.col("label").alias("other")).distinct()
     asked = tokens.join(apart, "node").join(there, ["token", "component"]).filter("label <> other").select("component", "node", "part").distinct()
-    rows = mine.select("component", "node", "part").join(asked.select("component", "part").distinct(), ["component", "part"]).withColumn("asked", F.lit(False))
-    return found.union(_searched(rows.unionByName(asked.withColumn("asked", F.lit(True))), sets, percent))
+    # so many may be asked of one block that they are dealt into runs, each beside the block's own members
+    asked = settle(asked, "asked")
+    runs = asked.groupBy("component", "part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("runs"))
+    dealt = asked.join(runs, ["component", "part"]).select("component", "node", "part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("runs")).cast("int").alias("run"))
+    there = mine.select("component", "node", "part").join(runs, ["component", "part"]).select("component", "node", "part", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"))
+    return found.union(_searched(there.withColumn("asked", F.lit(False)).unionByName(dealt.withColumn("asked", F.lit(True))), sets, percent))
 
 
 def _searched(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = blocks.join(sets.select(F.col("class_id").alias("node"), "tokens"), "node")
-    return rows.groupBy("component", "part").applyInArrow(_search(percent), "a long, b long")
+    return rows.groupBy("component", "part", "run").applyInArrow(_search(percent), "a long, b long")
 
 
-def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, stable: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs.
 
     Two documents are linked when 100 * common shingles >= percent * shingles of both;
     component_id is the smallest doc_id that links reach. A document without words (or
     with null text) is alone, and so is one with a null doc_id, whose component is null.
     Rows that repeat a doc_id count as documents with one number: each gets its own
-    n_shingles, and what is linked to one of them is linked to all.
+    n_shingles, and what is linked to one of them is linked to all. stable: docs is read from
+    files as it is; else its texts are written to the shared folder first.
     """
-    signed = settle(signatures(docs, width), "signatures")
+    texts = exchange.stable_texts(docs, stable)
+    signed = settle(signatures(texts, width), "signatures")
     keys = ["key1", "key2", "n"]
     able = signed.filter((F.col("n") > 0) & F.col("doc_id").isNotNull() & (100 * F.col("shared") >= percent * F.col("n")))
     # classes are told apart by a number of their own: two can have the same smallest document
     classes = able.groupBy(*keys).agg(F.min("doc_id").alias("least"))
     classes = settle(classes.withColumn("class_id", F.monotonically_increasing_id()), "classes")
-    sets = settle(_class_sets(docs, classes, width), "sets")
+    sets = settle(_class_sets(texts, classes, width), "sets")
     links = _links(sets, percent)
     each = F.struct(*keys)
     unlike = signed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(each).alias("lo"), F.max(each).alias("hi")).filter("lo <> hi")
@@ -294,12 +324,12 @@ def similar_groups(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT)
     return out.select("doc_id", "n_shingles", F.least("m", "component_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, stable: bool = False) -> DataFrame:
     """docs without those that a document with a smaller doc_id is connected to; one row of each doc_id stays.
 
-    Rows with a null doc_id all stay.
+    Rows with a null doc_id all stay. stable: see `similar_groups`.
     """
-    groups = similar_groups(docs, width, percent)
+    groups = similar_groups(docs, width, percent, stable)
     count = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c"), F.min("component_id").alias("m"))
     count = settle(count.filter("c > 1 OR m < doc_id"), "left-out")
     again = count.filter("m = doc_id").select("doc_id")
@@ -313,7 +343,8 @@ def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) ->
 
 
 def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """`similar_groups` of documents: doc_id, n_shingles, component_id; null and empty texts are alone."""
+    return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), stable=True)
 
 
 OP8_SQL = r"""

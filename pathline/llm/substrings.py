@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pathline.llm import exchange
-from pathline.llm.batches import BROADCAST_IDS, settle, texts_of
+from pathline.llm.batches import BROADCAST_IDS, settle
 from pathline.llm.words import hashes, pieces, windows, words_of
 
 #: Words of a window, and of a block: the longest that a window always holds whole.
@@ -55,17 +55,20 @@ def _by_text(places: np.ndarray, first: np.ndarray) -> list[bytes | None]:
     return [exchange.pack_places(places[a:b] - f) if b > a else None for a, b, f in zip(cut[:-1].tolist(), cut[1:].tolist(), first[:-1].tolist(), strict=True)]
 
 
-def anchors(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_words, digest (of the words) and hits: places of blocks that come up elsewhere too, packed, or null."""
-    n_buckets = exchange.buckets_for(docs.sparkSession)
+def anchors(texts: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_words, digest (of the words) and hits: places of blocks that come up elsewhere too, packed, or null.
+
+    texts: as `exchange.stable_texts` gives them.
+    """
+    n_buckets = exchange.buckets_for(texts)
 
     def deal(batches):
         for chunk, batch in exchange.chunks(batches):
-            ids, texts = batch.column("doc_id"), batch.column("text")
+            ids, column = batch.column("doc_id"), batch.column("text")
             valid = np.asarray(ids.is_valid())
             counts, grams, places, base = [], [], [], 0
-            for i, j in pieces(texts):
-                w = words_of(texts.slice(i, j - i))
+            for i, j in pieces(column):
+                w = words_of(column.slice(i, j - i))
                 n = np.diff(w.first)
                 g = windows(hashes(w), block)
                 text = w.text_of
@@ -81,8 +84,8 @@ def anchors(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFr
             order, bounds = exchange.deal(h, n_buckets)
             h, at, indexed = exchange.short(h)[order], at[order], indexed[order]
             info = np.stack([np.asarray(ids.fill_null(0)), counts, valid.astype(np.int64)])
-            digests = b"".join(hashlib.sha256(_joined(t)).digest() for t in texts.to_pylist())
-            out = [(-1 - chunk % n_buckets, chunk, info.tobytes(), digests)]
+            digests = b"".join(hashlib.sha256(_joined(t)).digest() for t in column.to_pylist())
+            out = [(exchange.own_bucket(chunk), chunk, info.tobytes(), digests)]
             for b in np.flatnonzero(np.diff(bounds)).tolist():
                 s = slice(bounds[b], bounds[b + 1])
                 out.append((b, chunk, exchange.pack_places(at[s]), h[s].tobytes() + np.packbits(indexed[s]).tobytes()))
@@ -116,12 +119,11 @@ def anchors(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> DataFr
             }
         )
 
-    rows = texts_of(docs).mapInArrow(deal, exchange.SCHEMA)
-    back = exchange.by_bucket(rows, answer)
+    back = exchange.by_bucket(texts.mapInArrow(deal, exchange.SCHEMA), answer)
     return back.groupBy("chunk").applyInArrow(gather, "doc_id long, n_words long, digest binary, hits binary")
 
 
-def _with_texts(docs: DataFrame, keyed: DataFrame, packed: str) -> DataFrame:
+def _with_texts(texts: DataFrame, keyed: DataFrame, packed: str) -> DataFrame:
     """Texts of the documents in keyed, beside its columns; keyed is sent to all executors if its checked size is small.
 
     Else both are shuffled and written: chunks are numbered by task and batch, so a task
@@ -129,26 +131,26 @@ def _with_texts(docs: DataFrame, keyed: DataFrame, packed: str) -> DataFrame:
     """
     size = keyed.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length(packed)), F.lit(0)).alias("b")).first()
     few = size.n <= BROADCAST_IDS and size.b + 80 * size.n <= BROADCAST_BYTES
-    both = texts_of(docs).join(F.broadcast(keyed) if few else keyed, "doc_id")
+    both = texts.join(F.broadcast(keyed) if few else keyed, "doc_id")
     return both if few else settle(both, "texts")
 
 
-def _later_windows(docs: DataFrame, keyed: DataFrame, window: int, block: int) -> DataFrame:
+def _later_windows(texts: DataFrame, keyed: DataFrame, window: int, block: int) -> DataFrame:
     """doc_id, digest, starts: windows around hits that also start in a document with a smaller doc_id, packed."""
-    n_buckets = exchange.buckets_for(docs.sparkSession)
+    n_buckets = exchange.buckets_for(texts)
 
     def deal(batches):
         for chunk, batch in exchange.chunks(batches):
-            texts, digests, hits = (batch.column(c).to_pylist() for c in ("text", "digest", "hits"))
-            mine = [k for k, t in enumerate(texts) if hashlib.sha256(_joined(t)).digest() == digests[k]]
+            said, digests, hits = (batch.column(c).to_pylist() for c in ("text", "digest", "hits"))
+            mine = [k for k, t in enumerate(said) if hashlib.sha256(_joined(t)).digest() == digests[k]]
             if not mine:
                 continue
             batch = batch.take(pa.array(mine))
-            ids, texts = np.asarray(batch.column("doc_id")), batch.column("text")
+            ids, column = np.asarray(batch.column("doc_id")), batch.column("text")
             hits = batch.column("hits").to_pylist()
             counts, one, two, places, base = [], [], [], [], 0
-            for i, j in pieces(texts):
-                w = words_of(texts.slice(i, j - i))
+            for i, j in pieces(column):
+                w = words_of(column.slice(i, j - i))
                 h = hashes(w)
                 near = np.zeros(len(w.start) + 1, dtype=np.int32)
                 for k in range(i, j):
@@ -168,7 +170,7 @@ def _later_windows(docs: DataFrame, keyed: DataFrame, window: int, block: int) -
             order, bounds = exchange.deal(one, n_buckets)
             one, two, doc, at = one[order], two[order], doc[order], at[order]
             info = np.stack([ids, counts])
-            out = [(-1 - chunk % n_buckets, chunk, info.tobytes(), b"".join(batch.column("digest").to_pylist()))]
+            out = [(exchange.own_bucket(chunk), chunk, info.tobytes(), b"".join(batch.column("digest").to_pylist()))]
             for b in np.flatnonzero(np.diff(bounds)).tolist():
                 s = slice(bounds[b], bounds[b + 1])
                 out.append((b, chunk, exchange.pack_places(at[s]), exchange.short(one[s]).tobytes() + two[s].tobytes() + doc[s].tobytes()))
@@ -203,11 +205,11 @@ def _later_windows(docs: DataFrame, keyed: DataFrame, window: int, block: int) -
             }
         )
 
-    rows = _with_texts(docs, keyed, "hits").select("doc_id", "text", "digest", "hits").mapInArrow(deal, exchange.SCHEMA)
+    rows = _with_texts(texts, keyed, "hits").select("doc_id", "text", "digest", "hits").mapInArrow(deal, exchange.SCHEMA)
     return exchange.by_bucket(rows, answer).groupBy("chunk").applyInArrow(gather, "doc_id long, digest binary, starts binary")
 
 
-def _cut(docs: DataFrame, removed: DataFrame, window: int) -> DataFrame:
+def _cut(texts: DataFrame, removed: DataFrame, window: int) -> DataFrame:
     """doc_id, digest, n_removed, kept (the words that stay, joined) and spans (repeats: first word, past the last)."""
     span = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
 
@@ -230,31 +232,35 @@ def _cut(docs: DataFrame, removed: DataFrame, window: int) -> DataFrame:
                 kinds = (pa.int64(), pa.binary(), pa.int64(), pa.string(), span)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "digest", "n_removed", "kept", "spans"])
 
-    rows = _with_texts(docs, removed, "starts").select("doc_id", "text", "digest", "starts")
+    rows = _with_texts(texts, removed, "starts").select("doc_id", "text", "digest", "starts")
     return rows.mapInArrow(run, "doc_id long, digest binary, n_removed long, kept string, spans array<struct<first:long,past:long>>")
 
 
-def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+def repeats(docs: DataFrame, window: int = WINDOW, block: int = BLOCK, stable: bool = False) -> tuple[DataFrame, DataFrame]:
     """(every row of docs: doc_id, n_words, digest, copy; those partly removed: doc_id, digest, n_removed, kept, spans).
 
     copy says that a document with a smaller doc_id has just the same words (at least a
-    window of them): all of it is removed.
+    window of them): all of it is removed. stable: docs is read from files as it is; else its
+    texts are written to the shared folder first.
     """
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole block wherever blocks begin")
-    marked = settle(anchors(docs, window, block), "anchors")
+    texts = exchange.stable_texts(docs, stable)
+    marked = settle(anchors(texts, window, block), "anchors")
     hit = marked.filter("hits is not null")
-    own = hit.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    # texts with copies alone, as a table of its own: a digest that very many rows have can then be split in the joins
+    own = settle(hit.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"), "copies")
+    own = F.broadcast(own) if own.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else own
     named = marked.join(own, "digest", "left").withColumn("copy", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)))
-    keyed = hit.join(own, "digest").filter("doc_id = least").groupBy("doc_id", "digest").agg(F.first("hits").alias("hits"))
-    starts = _later_windows(docs, settle(keyed, "hits"), window, block)
+    keyed = hit.join(own, "digest", "left").filter("least IS NULL OR doc_id = least").groupBy("doc_id", "digest").agg(F.first("hits").alias("hits"))
+    starts = _later_windows(texts, settle(keyed, "hits"), window, block)
     starts = settle(starts.groupBy("doc_id", "digest").agg(F.first("starts").alias("starts")), "starts")
-    return named.select("doc_id", "n_words", "digest", "copy"), _cut(docs, starts, window)
+    return named.select("doc_id", "n_words", "digest", "copy"), _cut(texts, starts, window)
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row; a null text has no words, a null doc_id is left alone."""
-    every, cut = repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    every, cut = repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), stable=True)
     cut = cut.select("doc_id", "digest", "n_removed", F.sha2("kept", 256).alias("kept_sha256")).dropDuplicates(["doc_id", "digest"])
     both = every.join(cut, ["doc_id", "digest"], "left")
     return both.select(

@@ -87,18 +87,22 @@ _BASE = 0x9E3779B97F4A7C1B
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+#: Bytes that are hashed at once; a worker keeps the powers up to it.
+_BLOCK = 1 << 17
+
+
 def _powers(base: int, n: int, held: dict[int, np.ndarray]) -> np.ndarray:
     got = held.get(base)
     if got is None or len(got) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        got = np.full(size, base, dtype=np.uint64)
+        got = np.full(max(n, _BLOCK + 1), base, dtype=np.uint64)
         got[0] = 1
-        got = held[base] = np.multiply.accumulate(got)
+        got = np.multiply.accumulate(got)
+        if n <= _BLOCK + 1:  # those for a single longer word are not kept
+            held[base] = got
     return got
 
 
 _HELD: dict[int, np.ndarray] = {}
-_BLOCK = 1 << 20
 
 
 def hashes(words: Words, seed: int = 0) -> np.ndarray:
