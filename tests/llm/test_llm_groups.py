@@ -162,7 +162,9 @@ def test_index_finds_every_place():
             assert sorted(index.locate(np.arange(lo[k], max(lo[k], hi[k]))).tolist()) == want
 
 
-def test_blocks_of_phrases_change_nothing(spark, sf_dir):
+@pytest.mark.parametrize("at_once", [12, 3])
+def test_blocks_of_phrases_change_nothing(spark, sf_dir, monkeypatch, at_once):
+    monkeypatch.setattr(contamination, "PASS_BLOCKS", at_once)
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     one = contamination.contamination(docs, bench)
     many = contamination.contamination(docs, bench, block_bytes=2000)
@@ -178,8 +180,11 @@ def test_passages_are_cut_out(spark):
     assert out == {1: ("Start here. , and on", 20), 2: ("a  b", 4), 3: ("alpha beta gamma", 16), 4: (None, None)}
 
 
-def test_blocks_of_phrases_cut_as_one(spark):
-    """Items that overlap, meet or share a context lie in different blocks and are cut as from one."""
+@pytest.mark.parametrize(("at_once", "most"), [(12, 10), (2, 10), (2, 0)])
+def test_blocks_of_phrases_cut_as_one(spark, monkeypatch, at_once, most):
+    """Items that overlap, meet or share a context lie in different blocks and passes, and are cut as from one."""
+    monkeypatch.setattr(contamination, "PASS_BLOCKS", at_once)
+    monkeypatch.setattr(contamination, "BROADCAST_TEXTS", most)
     rnd = random.Random(4)
     line = [f"c{k}" for k in range(60)]
     items = [" ".join(line[k : k + 14]) for k in range(0, 46, 3)] + ["who was it", "c55 c56", "left right"]
@@ -198,6 +203,7 @@ def test_blocks_of_phrases_cut_as_one(spark):
 
 def test_store_keeps_rows_and_versions(spark):
     store = shards.ShardStore(spark, f"{batches.shared_dir(spark)}/store-test", shards.Tiers(target_bytes=1 << 20))
+    assert store.manifest() is None and store.compact() == 0
     for k in range(4):
         rows = spark.range(100 * k, 100 * k + 100).selectExpr("id AS doc_id", "repeat('x', 50) AS text")
         assert store.append(rows.coalesce(1)) == k + 1
@@ -207,9 +213,56 @@ def test_store_keeps_rows_and_versions(spark):
     assert sorted(r.doc_id for r in store.read().collect()) == list(range(400))
     assert store.read(2).count() == 200  # old versions can be read until they are removed
     assert store.compact() == 5  # nothing to do
-    assert store.vacuum() == 4 and store.read().count() == 400
-    with pytest.raises(RuntimeError):
-        store._commit(store.manifest(), 3)
+    assert store.vacuum() == 0 and store.versions() == [5]  # too young
+    assert store.vacuum(grace_seconds=0) == 4 and store.read().count() == 400
+
+
+def test_two_writers_lose_nothing(spark):
+    """The slower of two writers commits after the faster one; of two that merge the same runs one gives way."""
+    root = f"{batches.shared_dir(spark)}/store-two"
+    one, two = shards.ShardStore(spark, root), shards.ShardStore(spark, root)
+    rows = lambda k: spark.range(10 * k, 10 * k + 10).selectExpr("id AS doc_id").coalesce(1)
+    for k in range(4):
+        one.append(rows(k))
+    publish = two._publish
+
+    def late(manifest, version):
+        two._publish = publish
+        one.append(rows(4))  # takes the version that two is about to write
+        return publish(manifest, version)
+
+    two._publish = late
+    assert two.append(rows(5)) == 6
+    assert sorted(r.doc_id for r in one.read().collect()) == list(range(60))
+
+    def merged_before(manifest, version):
+        two._publish = publish
+        one.compact()
+        return publish(manifest, version)
+
+    two._publish = merged_before
+    two.compact()
+    assert sorted(r.doc_id for r in two.read().collect()) == list(range(60)) and one.manifest().count() == 1
+
+
+def test_store_of_no_rows_and_of_any_columns(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    store, came = shards.compacted(none)
+    assert came == 0 and store.read().collect() == [] and store.read().columns == ["doc_id", "text"]
+    names = "doc_id long, text string, arrival string, Arrival_ string, run int"
+    odd = spark.createDataFrame([(None, None, "a", "b", 1), (3, "x", None, "b", 2), (3, "x", None, "b", 2)], names)
+    store, came = shards.compacted(odd)
+    assert came == 2 and store.read().columns == odd.columns
+    assert sorted(map(str, store.read().collect())) == sorted(map(str, odd.collect()))
+
+
+def test_merged_files_have_the_target_size(spark):
+    docs = spark.range(40_000).selectExpr("id AS doc_id", "sha2(cast(id AS string), 256) AS text").repartition(16)
+    store, came = shards.compacted(docs, tiers=shards.Tiers(target_bytes=256 << 10))
+    facts = store.manifest().collect()
+    assert came == 16 and sum(r.rows for r in facts) == 40_000
+    large = [r for r in facts if r.bytes > 1 << 20]
+    assert large and all(128 << 10 < r.bytes / r.files < 512 << 10 for r in large)
 
 
 # --- helpers ---------------------------------------------------------------------------------------
