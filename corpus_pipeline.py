@@ -9,7 +9,6 @@ from pathline.llm import contamination, jaccard, pieces, quality, secrets
 from pathline.llm.batches import settle
 
 
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
     return quality.keep_good(docs)
@@ -17,7 +16,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents with similar shingles the one with the smallest doc_id."""
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, stable=True)  # docs is a written table
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
