@@ -8,8 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where unset a folder in the warehouse."""
+    """spark.checkpoint.dir; only on one machine is there a folder in the warehouse without it."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return at or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
 
 
