@@ -14,11 +14,11 @@ BROADCAST_IDS = 1_000_000
 
 
 #: Text of an Arrow batch, as far as rows allow; the JVM and a worker each hold one at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds Arrow batches of the session by bytes, as texts can be long: a batch has 8 MB or one row."""
+    """Bounds Arrow batches of the session by bytes, as texts can be long: a batch has 2 MB or one row."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = (spark.conf.get(key, None) or "").rstrip("bB")
     if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:

@@ -12,6 +12,10 @@ from __future__ import annotations
 import ahocorasick
 
 
+#: Tests of two tokens that a worker remembers (some 50 bytes each).
+MOST_PAIRS = 400_000
+
+
 class PrefixTable:
     """tokens: string of each id that may occur; rank(left, right): order of a merge, or None.
 
@@ -24,7 +28,8 @@ class PrefixTable:
         self.text: dict[int, str] = {}
         self.closing: dict[str, int] = {}
         self.shut: set[int] = set()
-        self.known: dict[int, bool] = {}
+        self.known: dict[int, dict[int, bool]] = {}  # by the first token, then the second: no key of its own for a pair
+        self.pairs = 0
         self.auto = ahocorasick.Automaton()
         for s, i in tokens.items():
             if self.merged(list(s)) == [s]:
@@ -53,15 +58,18 @@ class PrefixTable:
 
     def fits(self, a: int, b: int) -> bool:
         """Whether a followed by b is encoded as these two tokens."""
-        ok = self.known.get(a << 24 | b)
+        row = self.known.get(a)
+        ok = row.get(b) if row is not None else None
         if ok is None:
             s, t = self.text[a], self.text[b]
             end = self.close if b in self.shut else ""
             whole = s + t
             ok = self.merged([*whole[:-1], whole[-1] + end]) == [s, t + end]
-            if len(self.known) > 400_000:
+            if self.pairs == MOST_PAIRS:
                 self.known.clear()
-            self.known[a << 24 | b] = ok
+                self.pairs = 0
+            self.known.setdefault(a, {})[b] = ok
+            self.pairs += 1
         return ok
 
     def last_tokens(self, s: str) -> list[int]:
@@ -74,7 +82,8 @@ class PrefixTable:
                 if before < 0:
                     last[end + 1] = tok
                 else:
-                    ok = known(before << 24 | tok)
+                    row = known(before)
+                    ok = row.get(tok) if row is not None else None
                     if ok or ok is None and fits(before, tok):
                         last[end + 1] = tok
         return last
@@ -119,7 +128,7 @@ class PrefixTable:
 class Memory(dict):
     """Results by word: two generations, so that it stays bounded and keeps what is frequent."""
 
-    def __init__(self, make, most: int = 150_000, longest: int = 200):
+    def __init__(self, make, most: int = 120_000, longest: int = 200):
         self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, word):

@@ -45,8 +45,8 @@ class Pieces:
         # signs that no piece has after a letter: a word ends before them
         after = {b for p in normal for a, b in zip(p, p[1:], strict=False) if re.fullmatch(letter, a)}
         ends = re.escape("".join(c for c in map(chr, range(33, 127)) if not re.fullmatch(r"\w", c) and c not in after))
-        word = f"{MARK}*{letter}+(?=[{ends}])|" if ends else ""
-        self.units_of = re.compile(f"{word}{MARK}*[^{MARK}{cut}]+|{MARK}+|[{cut}]")
+        word = f" *{letter}+(?=[{ends}])|" if ends else ""
+        self.units_of = re.compile(f"{word} *[^ {cut}]+| +|[{cut}]")
         order = {p: -model.get_score(i) for p, i in normal.items()}
         self.mark = normal[MARK]
         runs = {p: i for p, i in normal.items() if not p.strip(MARK)}
@@ -77,12 +77,14 @@ class Pieces:
         whole = max(0, -(-(n - 3 * self.most) // self.most))
         return self.runs[self.most][:1] * whole + self.runs[n - whole * self.most]
 
-    def _unit(self, unit: str) -> tuple[str, int, str]:
-        ids = self.table.ids(unit, lambda c: [self.of_byte[b] for b in c.encode()])
+    def _unit(self, unit: str) -> str | tuple[str, str]:
+        """Ids of a unit (spaces for marks) as decimals joined by commas; with what they say where that is not the unit."""
+        ids = self.table.ids(unit.replace(" ", MARK), lambda c: [self.of_byte[b] for b in c.encode()])
         if ids[:2] == [self.mark, self.mark]:
             n = next((k for k, i in enumerate(ids) if i != self.mark), len(ids))
             ids[:n] = self._run(n)
-        return ",".join(map(str, ids)), len(ids), self._said(ids)
+        joined, said = ",".join(map(str, ids)), self._said(ids)
+        return joined if said == unit else (joined, said)
 
     def _said(self, ids) -> str:
         if self.odd.isdisjoint(ids):
@@ -102,10 +104,11 @@ class Pieces:
         return "".join(out)
 
     def _split(self, text: str) -> list[str]:
-        return self.units_of.findall(MARK + text.replace(" ", MARK)) if text else []
+        """Units with spaces for marks; a mark in the text counts as a space."""
+        return self.units_of.findall(" " + text.replace(MARK, " ")) if text else []
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for u in self._split(text) for i in self.units[u][0].split(",")]
+        return [int(i) for i in self.digest(text)[1].split(",")] if text else []
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space that stands for the first mark is taken off."""
@@ -114,11 +117,15 @@ class Pieces:
 
     def digest(self, text: str) -> tuple[int, str, str, str]:
         """Number of ids, the ids as decimals joined by commas, their digest, and the decoded text."""
-        got = [self.units[u] for u in self._split(text)]
+        parts = self._split(text)
+        got = [self.units[u] for u in parts]
         self.units.turn()
-        ids = ",".join([g[0] for g in got])
-        said = "".join([g[2] for g in got])
-        return sum([g[1] for g in got]), ids, hashlib.sha256(ids.encode()).hexdigest(), said[1:] if said[:1] == " " else said
+        try:
+            ids, said = ",".join(got), " " * bool(text) + text.replace(MARK, " ")
+        except TypeError:  # some units do not say what they were
+            ids = ",".join([g if isinstance(g, str) else g[0] for g in got])
+            said = "".join([u if isinstance(g, str) else g[1] for u, g in zip(parts, got, strict=True)])
+        return ids.count(",") + bool(ids), ids, hashlib.sha256(ids.encode()).hexdigest(), said[1:] if said[:1] == " " else said
 
 
 @functools.lru_cache(1)
