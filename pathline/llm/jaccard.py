@@ -34,7 +34,7 @@ from pathline.llm.words import hashes, mix, pieces, windows, words_of
 
 WIDTH, PERCENT = 5, 80
 #: A block has at most about so many sets and shingles; the work in it is sets x shingles at worst.
-BLOCK_SETS, BLOCK_SHINGLES = 128, 500_000
+BLOCK_SETS, BLOCK_SHINGLES = 256, 500_000
 #: Members that all blocks of a group have.
 SHARED = 4
 
@@ -267,8 +267,12 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     main = counts.groupBy("component").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     apart = mine.join(main, "component").filter("label <> main").select("component", "node", "label")
     tokens = prefix.withColumnRenamed("class_id", "node")
-    there = tokens.join(mine, "node").select("token", "component", "part", F.col("label").alias("other")).distinct()
-    asked = tokens.join(apart, "node").join(there, ["token", "component"]).filter("label <> other").select("component", "node", "part").distinct()
+    # a row for each token: the blocks that it leads to, with the least and largest label there; so no pair of sets is a row
+    blocks = tokens.join(mine, "node").groupBy("token", "component", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+    there = blocks.groupBy("token", "component").agg(F.collect_list(F.struct("part", "lo", "hi")).alias("parts"))
+    other = F.transform(F.filter("parts", lambda p: (p["lo"] != F.col("label")) | (p["hi"] != F.col("label"))), lambda p: p["part"])
+    asked = tokens.join(apart, "node").join(there, ["token", "component"]).select("component", "node", other.alias("parts")).filter("size(parts) > 0")
+    asked = asked.groupBy("component", "node").agg(F.array_distinct(F.flatten(F.collect_set("parts"))).alias("parts")).select("component", "node", F.explode("parts").alias("part"))
     # so many may be asked of one block that they are dealt into runs, each beside the block's own members
     asked = settle(asked, "asked")
     runs = asked.groupBy("component", "part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("runs"))
