@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS = 2048
-METRICS = ("sqeuclidean", "euclidean", "cosine", "cosine2")
+METRICS = ("sqeuclidean", "euclidean", "cosine", "cosine2", "jaccard")
 
 
 def matrix(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
@@ -56,6 +56,12 @@ def pairs(queries: DataFrame, gallery: DataFrame, metric: str = "cosine") -> Dat
     """q_id, g_id, dist of all pairs. Only for results that need every pair."""
     if metric not in METRICS:
         raise ValueError(f"no metric {metric!r}; there are {', '.join(METRICS)}")
+    if metric == "jaccard":  # of k-reciprocal sets over both sides; pairs that share no neighbour have distance 1
+        from pathline.operators.rerank import jaccard
+
+        near = jaccard(queries.unionByName(gallery), left=queries, right=gallery).select(F.col("i").alias("q_id"), F.col("k").alias("g_id"), F.col("dist").alias("jd"))
+        every = pairs(queries, gallery, "sqeuclidean").select("q_id", "g_id")
+        return every.join(near, ["q_id", "g_id"], "left").select("q_id", "g_id", F.coalesce("jd", F.lit(1.0)).alias("dist"))
 
     def fn(x, a, y, b):
         n, m = len(x), len(y)

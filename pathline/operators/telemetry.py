@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathline.sources.shared import settle
+
 ORDER = ("iteration", "seq")
 
 
@@ -73,28 +75,41 @@ def due(df: DataFrame, max_iter: int, period: int = 20, epoch_iters: int | None
     return df.filter(at)
 
 
+#: Rows of a series that are joined as one bucket.
+_BUCKET = 1024
+
+
 def progress(df: DataFrame, max_iter: int, period: int = 20) -> DataFrame:
     """Iteration, data_time (mean of 20), time (mean of all), eta_seconds, lr (latest) and a column for each
-    loss (median of 200), as they stand at each iteration that is due. None is due at max_iter or after."""
-    w = lambda n: _last(n)
-    ever = Window.partitionBy("name").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    value = (
-        F.when(F.col("name") == "data_time", F.avg("value").over(w(20)))
-        .when(F.col("name") == "time", F.avg("value").over(ever))
-        .when(F.col("name").contains("loss"), F.percentile("value", 0.5).over(w(200)))
-        .otherwise(F.col("value"))
-    )
-    pace = F.when(F.col("name") == "time", F.percentile("value", 0.5).over(w(1000)))
+    loss (median of 200), as they stand at each iteration that is due. None is due at max_iter or after.
+
+    Means and medians are taken for the iterations that are due alone: each asks for a range
+    of places in its series, which meets the rows by buckets of places, so the work is dealt
+    by name and bucket and falls with the period.
+    """
     rows = df.filter(F.col("name").isin("data_time", "time", "lr") | F.col("name").contains("loss")).filter(F.col("iteration") < max_iter)
-    rows = rows.select("name", "iteration", "seq", value.alias("v"), pace.alias("pace"))
-    names = [r.name for r in rows.select("name").distinct().orderBy("name").collect()]
-    marks = due(rows.select("iteration").distinct(), max_iter, period)
-    marks = marks.select(F.explode(F.array(*map(F.lit, names))).alias("name"), "iteration", F.lit(None).cast("long").alias("seq"), F.lit(None).cast("double").alias("v"), F.lit(None).cast("double").alias("pace"))
-    far = Window.partitionBy("name").orderBy("iteration", F.col("seq").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    filled = rows.union(marks).withColumns({"v": F.last("v", True).over(far), "pace": F.last("pace", True).over(far)}).filter("seq IS NULL")
-    cells = [F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in names]
-    eta = F.max("pace") * (max_iter - F.col("iteration") - 1)
-    return filled.groupBy("iteration").agg(*cells, eta.alias("eta_seconds"))
+    line = Window.partitionBy("name").orderBy(*ORDER)
+    so_far = F.avg("value").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    placed = rows.select("name", "iteration", "value", F.row_number().over(line).alias("place"), so_far.alias("ever"))
+    placed = settle(placed.withColumn("bucket", F.floor(F.col("place") / _BUCKET)), "series")
+    # the iteration at which a row is first seen, and what is newest there
+    due_at = F.least(F.lit(max_iter - 1), F.ceil((F.col("iteration") + 1) / period) * period - 1).cast("long")
+    newest = placed.groupBy("name", due_at.alias("iteration")).agg(F.max(F.struct("place", "ever", "value")).alias("r"))
+    names = [r.name for r in newest.select("name").distinct().orderBy("name").collect()]
+    marks = due(placed.select("iteration").distinct(), max_iter, period).select(F.explode(F.array(*map(F.lit, names))).alias("name"), "iteration")
+    far = Window.partitionBy("name").orderBy("iteration").rowsBetween(Window.unboundedPreceding, 0)
+    at = newest.join(marks.withColumn("asked", F.lit(True)), ["name", "iteration"], "full").withColumn("r", F.last("r", True).over(far))
+    at = at.filter("asked AND r IS NOT NULL").select("name", "iteration", "r.*")
+    name = F.col("name")
+    n = F.when(name == "data_time", 20).when(name == "time", 1000).when(name.contains("loss"), 200)
+    asked = at.withColumn("n", n).filter("n IS NOT NULL").withColumn("low", F.greatest(F.lit(1), F.col("place") - F.col("n") + 1))
+    asked = asked.select("name", "iteration", "low", F.col("place").alias("high"), F.explode(F.sequence(F.floor(F.col("low") / _BUCKET), F.floor(F.col("place") / _BUCKET))).alias("bucket"))
+    inside = asked.join(placed.select("name", "bucket", "place", "value"), ["name", "bucket"]).filter("place BETWEEN low AND high")
+    last = inside.groupBy("name", "iteration").agg(F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"))
+    shown = F.when(name == "data_time", F.col("mean")).when(name == "time", F.col("ever")).when(name.contains("loss"), F.col("median")).otherwise(F.col("value"))
+    all_ = at.join(last, ["name", "iteration"], "left").select("name", "iteration", shown.alias("v"), F.when(name == "time", F.col("median")).alias("pace"))
+    cells = [F.max(F.when(F.col("name") == x, F.col("v"))).alias(x) for x in names]
+    return all_.groupBy("iteration").agg(*cells, (F.max("pace") * (max_iter - F.col("iteration") - 1)).alias("eta_seconds"))
 
 
 def step_time(df: DataFrame, warmup: int = 3) -> DataFrame:

@@ -10,8 +10,9 @@ are folded side by side, and track numbers are put in order afterwards.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -166,12 +167,29 @@ class Tracks:
         return out
 
 
+class Tracker(Protocol):
+    """U4: what folds a camera's frames, here and in the stream. frame: the last one folded; born: tracks so far."""
+
+    frame: int
+    born: int
+
+    def step(self, frame: int, dets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Track numbers and boxes reported for a frame and its boxes (n x 4)."""
+        ...
+
+
+def fold(frames: Iterable[tuple[int, np.ndarray]], state: Tracker) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """U4: frame, numbers and boxes for each frame in order."""
+    for frame, boxes in frames:
+        yield frame, *state.step(frame, boxes)
+
+
 TRACK = "camera_id int, frame int, track_id long, x1 double, y1 double, x2 double, y2 double"
 
 
 def sound(dets: DataFrame) -> DataFrame:
-    """Boxes with a null or NaN side, and rows without keys, are rejected."""
-    ok = F.col("camera_id").isNotNull() & F.col("frame").isNotNull()
+    """Boxes with a null or NaN side, rows without keys, and frames below 1 are rejected."""
+    ok = F.col("camera_id").isNotNull() & (F.col("frame") >= 1)
     for c in ("x1", "y1", "x2", "y2"):
         ok = ok & F.col(c).isNotNull() & ~F.isnan(c)
     return dets.filter(ok)
@@ -184,36 +202,61 @@ def segments(dets: DataFrame, max_age: int = 30) -> DataFrame:
     return dets.withColumn("_new", F.coalesce(gap.cast("int"), F.lit(0))).withColumn("segment", F.sum("_new").over(w)).drop("_new")
 
 
-def track(dets: DataFrame, p: Tracking = Tracking(), cut: bool = True) -> DataFrame:
+def track(dets: DataFrame, p: Tracking = Tracking(), cut: bool = True, tracker: Callable[[Tracking], Tracker] = Tracks) -> DataFrame:
     """T5: camera_id, frame, track_id, box. track_id counts from 1 in each camera, in order of birth; detections of a
-    frame are taken in order of det_id. `cut` folds segments on their own; the result is the same without."""
+    frame are taken in order of det_id. `cut` folds segments on their own; the result is the same without.
+
+    Frames count from 1, as all do from the start of the video: the warm-up is the first
+    min_hits of them, whether a camera has detections there or not; rows of frames below 1
+    are left out, here and in the stream. A task reads sorted frames and holds one at a time.
+    """
     rows = sound(dets).select("camera_id", "frame", "det_id", "x1", "y1", "x2", "y2")
     rows = segments(rows, p.max_age) if cut else rows.withColumn("segment", F.lit(0).cast("long"))
 
-    def run(key, table):
-        table = table.sort_by([("frame", "ascending"), ("det_id", "ascending")])
-        frame = table.column("frame").to_numpy()
-        box = np.stack([table.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1)
-        state, out = Tracks(p), []
-        cuts = np.flatnonzero(np.diff(frame)) + 1
-        for f, b in zip(frame[np.append(0, cuts)].tolist(), np.split(box, cuts), strict=True):
-            ids, shown = state.step(f, b)
-            out.append(np.column_stack([np.full(len(ids), f), ids, shown]))
-        rows = np.concatenate([*out, [[0, state.born, 0, 0, 0, 0]]])  # the last row counts the births
-        n = len(rows)
-        return pa.table(
-            {
-                "camera_id": pa.array([key[0].as_py()] * n, pa.int32()),
-                "segment": pa.array([key[1].as_py()] * n, pa.int64()),
-                "frame": pa.array(rows[:, 0].astype(np.int32)),
-                "track_id": pa.array(rows[:, 1].astype(np.int64)),
-                **{c: rows[:, 2 + k] for k, c in enumerate(("x1", "y1", "x2", "y2"))},
-                "births": pa.array([False] * (n - 1) + [True]),
-            }
-        )
-
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), *[pa.float64()] * 4, pa.bool_()]
+
+    def run(batches):
+        key, state, held, out = None, None, None, []
+
+        def folded(frames):
+            """Frames of whole detections, in order of camera, segment and frame."""
+            nonlocal key, state
+            for camera, segment, frame, box in frames:
+                if (camera, segment) != key:
+                    births()
+                    key, state = (camera, segment), tracker(p)
+                for f, ids, shown in fold([(frame, box)], state):
+                    out.extend((*key, f, i, *b, False) for i, b in zip(ids.tolist(), shown.tolist(), strict=True))
+
+        def births():
+            if key is not None:
+                out.append((*key, 0, state.born, 0.0, 0.0, 0.0, 0.0, True))
+
+        def said():
+            rows = list(zip(*out, strict=True)) or [()] * len(kinds)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(rows, kinds, strict=True)], names)
+
+        for batch in batches:
+            part = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("camera_id", "segment", "frame")]
+            part.append(np.stack([batch.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1))
+            part = part if held is None else [np.concatenate(x) for x in zip(held, part, strict=True)]
+            if not len(part[0]):
+                continue
+            cuts = np.flatnonzero(np.any([np.diff(x) != 0 for x in part[:3]], axis=0)) + 1
+            *whole, last = np.split(np.arange(len(part[0])), cuts)  # the last frame may go on in the next batch
+            folded((int(part[0][k[0]]), int(part[1][k[0]]), int(part[2][k[0]]), part[3][k]) for k in whole)
+            held = [x[last] for x in part]
+            yield said()
+        if held is not None:
+            folded([(int(held[0][0]), int(held[1][0]), int(held[2][0]), held[3])])
+            births()
+            yield said()
+
+    names = ["camera_id", "segment", "frame", "track_id", "x1", "y1", "x2", "y2", "births"]
     schema = "camera_id int, segment long, frame int, track_id long, x1 double, y1 double, x2 double, y2 double, births boolean"
-    out = rows.groupBy("camera_id", "segment").applyInArrow(run, schema)
+    ordered = rows.repartition("camera_id", "segment").sortWithinPartitions("camera_id", "segment", "frame", "det_id")
+    out = ordered.mapInArrow(run, schema)
     # births of the segments before, summed in the same partitioning: rows of a segment follow its count
     w = Window.partitionBy("camera_id").orderBy("segment").rangeBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.when(F.col("births"), F.col("track_id"))).over(w), F.lit(0))
@@ -250,10 +293,3 @@ def summaries(tracks: DataFrame, embeddings: DataFrame | None = None) -> DataFra
         return out
     e = embeddings.groupBy("camera_id", "track_id").agg(F.array_sort(F.collect_list(F.struct("frame", "embedding"))).alias("e"))
     return out.join(e.select("camera_id", "track_id", F.transform("e", lambda x: x["embedding"]).alias("embeddings")), ["camera_id", "track_id"], "left")
-
-
-def fold(batches: Iterator, state: Tracks) -> Iterator:
-    """U4: any object with step(frame, boxes) -> (ids, boxes) folds a camera's frames in order."""
-    for frame, boxes in batches:
-        ids, shown = state.step(frame, boxes)
-        yield from ((frame, int(i), *map(float, b)) for i, b in zip(ids, shown, strict=True))

@@ -70,12 +70,31 @@ def clean_detections(spark, sf_dir):
     return rounded(P.clean(load(spark, sf_dir, "raw_detections"), load(spark, sf_dir, "rois"), p, nms=False), "x1", "y1", "x2", "y2", "score")
 
 
-@query()
+_OVER = "(greatest(0.0, least(b.x2, o.x2) - greatest(b.x1, o.x1)) * greatest(0.0, least(b.y2, o.y2) - greatest(b.y1, o.y1)))"
+#: Greedy suppression box by box, best first: `kept` are the boxes of the frame that stay so far.
+_NMS = f"""
+WITH RECURSIVE {ctes("raw_detections", "rois").removeprefix("WITH ")},
+o AS (SELECT *, row_number() OVER (PARTITION BY camera_id, frame ORDER BY score DESC, det_id) AS r FROM raw_detections WHERE score > 0.3 AND cls = 0),
+g AS (
+  SELECT camera_id, frame, r, det_id, true AS stays, [{{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM o WHERE r = 1
+  UNION ALL
+  SELECT camera_id, frame, r, det_id, stays, CASE WHEN stays THEN list_append(kept, {{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}) ELSE kept END
+  FROM (SELECT o.*, g.kept, len(list_filter(g.kept, lambda b: {_OVER} / ((b.x2 - b.x1) * (b.y2 - b.y1) + (o.x2 - o.x1) * (o.y2 - o.y1) - {_OVER} + 1e-12) > 0.3)) = 0 AS stays
+        FROM g JOIN o ON o.camera_id = g.camera_id AND o.frame = g.frame AND o.r = g.r + 1)),
+n AS (SELECT o.* FROM o JOIN g USING (det_id) WHERE stays)"""
+
+
+@query(_NMS + " SELECT det_id, camera_id, frame FROM n")
 def nms(spark, sf_dir):
     return P.suppress(P.confident(load(spark, sf_dir, "raw_detections"))).select("det_id", "camera_id", "frame")
 
 
-@query()
+@query(
+    _NMS
+    + """ SELECT det_id, camera_id, frame, round(x1 + coalesce(rx1, 0), 6) AS x1, round(y1 + coalesce(ry1, 0), 6) AS y1,
+       round(x2 + coalesce(rx1, 0), 6) AS x2, round(y2 + coalesce(ry1, 0), 6) AS y2, round(score, 6) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY camera_id, frame ORDER BY score DESC, det_id) AS place FROM n) LEFT JOIN rois USING (camera_id) WHERE place <= 32"""
+)
 def clean_chain(spark, sf_dir):
     """The whole chain, suppression included."""
     return rounded(P.clean(load(spark, sf_dir, "raw_detections"), load(spark, sf_dir, "rois")), "x1", "y1", "x2", "y2", "score")
@@ -169,6 +188,54 @@ def pose_scores(spark, sf_dir):
     return rounded(rows.select("det_id", "pos", "p.*"), "score")
 
 
+@query(ctes("raw_detections") + " SELECT det_id, camera_id, frame, round(x1, 6) AS x1, round(score, 6) AS score, cls FROM raw_detections")
+def detections_read(spark, sf_dir):
+    """Detections written as files and read with their schema."""
+    at = new_folder(spark, "detections")
+    load(spark, sf_dir, "raw_detections").write.parquet(at)
+    return rounded(S.read_detections(spark, at).select("det_id", "camera_id", "frame", "x1", "score", "cls"), "x1", "score")
+
+
+@query(ctes("given_tracks") + " SELECT camera_id, track_id, frame, round(x1, 6) AS x1, round(score, 6) AS score FROM given_tracks")
+def tracks_written(spark, sf_dir):
+    """Tracks written by camera and read back."""
+    at = new_folder(spark, "tracks")
+    S.write_tracks(load(spark, sf_dir, "given_tracks"), at)
+    return rounded(spark.read.parquet(at).select("camera_id", "track_id", "frame", "x1", "score"), "x1", "score")
+
+
+def _values_as_boxes():
+    """A stand-in for a detector: the frame's numbers are the boxes."""
+    return lambda image: image.reshape(-1, 6)
+
+
+@query(ctes("raw_detections") + " SELECT camera_id, frame, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2, round(score, 6) AS score, cls FROM raw_detections")
+def detect_hook(spark, sf_dir):
+    """U2 with a stand-in model; a frame's pixels are its detections, two pixels of three channels for each."""
+    one = F.array("x1", "y1", "x2", "y2", "score", F.col("cls").cast("double"))
+    frames = load(spark, sf_dir, "raw_detections").groupBy("camera_id", "frame").agg(F.array_sort(F.collect_list(F.struct("det_id", one.alias("v")))).alias("d"))
+    frames = frames.select("camera_id", "frame", F.flatten(F.transform("d", lambda x: x["v"])).alias("pixels"), F.size("d").alias("h"), F.lit(2).alias("w"))
+    return rounded(U.detect_frames(frames, _values_as_boxes), "x1", "y1", "x2", "y2", "score")
+
+
+def _values_as_points():
+    """A stand-in for a pose model: a pixel's three numbers are a point."""
+    return lambda image: image.reshape(-1, 3)
+
+
+@query(
+    ctes("keypoints")
+    + """, a AS (SELECT *, row_number() OVER (PARTITION BY det_id ORDER BY kp) - 1 AS pos FROM keypoints)
+SELECT det_id, CAST(pos AS INT) AS pos, kx AS x, ky AS y, round(kscore, 6) AS score FROM a"""
+)
+def pose_hook(spark, sf_dir):
+    """U3 with a stand-in model; the pixels of a crop are its points."""
+    points = load(spark, sf_dir, "keypoints").groupBy("det_id").agg(F.array_sort(F.collect_list(F.struct("kp", F.array("kx", "ky", "kscore").alias("v")))).alias("k"))
+    crops = points.select("det_id", F.flatten(F.transform("k", lambda x: x["v"])).alias("pixels"), F.size("k").alias("h"), F.lit(1).alias("w"))
+    rows = U.estimate_poses(crops, _values_as_points).select("det_id", F.posexplode(F.arrays_zip("xs", "ys", "scores")).alias("pos", "p"))
+    return rounded(rows.select("det_id", "pos", F.col("p.xs").alias("x"), F.col("p.ys").alias("y"), F.col("p.scores").alias("score")), "score")
+
+
 # --- embeddings ------------------------------------------------------------------------------
 
 _NORM = "sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))"
@@ -317,10 +384,10 @@ def knn(spark, sf_dir):
 
 
 _KNN = f""", f AS (SELECT vec_id AS id, split, CAST(embedding AS DOUBLE[]) AS e FROM clustered),
-d AS (SELECT a.id AS i, b.id AS j, {_IP}(a.e, a.e) + {_IP}(b.e, b.e) - 2 * {_IP}(a.e, b.e) AS dist FROM f a CROSS JOIN f b),
-k AS (SELECT * FROM (SELECT i, j, dist, row_number() OVER (PARTITION BY i ORDER BY round(dist, 9), j) AS rank FROM d) WHERE rank <= 20),
-r AS (SELECT i, j FROM k WHERE EXISTS (SELECT 1 FROM k o WHERE o.i = k.j AND o.j = k.i)),
-h AS (SELECT i, j FROM k WHERE rank <= 11 AND EXISTS (SELECT 1 FROM k o WHERE o.rank <= 11 AND o.i = k.j AND o.j = k.i)),
+d AS MATERIALIZED (SELECT a.id AS i, b.id AS j, {_IP}(a.e, a.e) + {_IP}(b.e, b.e) - 2 * {_IP}(a.e, b.e) AS dist FROM f a CROSS JOIN f b),
+k AS MATERIALIZED (SELECT * FROM (SELECT i, j, dist, row_number() OVER (PARTITION BY i ORDER BY round(dist, 9), j) AS rank FROM d) WHERE rank <= 20),
+r AS MATERIALIZED (SELECT k.i, k.j FROM k JOIN k o ON o.i = k.j AND o.j = k.i),
+h AS MATERIALIZED (SELECT k.i, k.j FROM k JOIN k o ON o.i = k.j AND o.j = k.i WHERE k.rank <= 11 AND o.rank <= 11),
 n AS (SELECT i, count(*) AS n FROM h GROUP BY i),
 t AS (SELECT r.i, r.j AS c, count(*) AS bo FROM r JOIN h ON h.i = r.j JOIN r s ON s.i = r.i AND s.j = h.j GROUP BY ALL),
 x AS (SELECT i, j FROM r UNION SELECT t.i, h.j FROM t JOIN n ON n.i = t.c JOIN h ON h.i = t.c WHERE 3 * bo > 2 * n.n),
@@ -330,13 +397,23 @@ w AS (SELECT k.i, v.j, sum(v) / 6 AS v FROM k JOIN v ON v.i = k.j WHERE rank <=
 jd AS (SELECT i, k, greatest(0.0, 1 - t / (2 - t)) AS dist FROM (SELECT a.i, b.i AS k, sum(least(a.v, b.v)) AS t FROM w a JOIN w b USING (j) GROUP BY ALL))"""
 
 
-@query(ctes("clustered") + _KNN + " SELECT i, j FROM r")
+@query(ctes("clustered") + _KNN[: _KNN.index(",\nh AS")] + " SELECT i, j FROM r")
 def k_reciprocal(spark, sf_dir):
     f = load(spark, sf_dir, "clustered")
     near = D.nearest(f, f, 20).select(F.col("q_id").alias("i"), F.col("g_id").alias("j"), "rank")
     return J.reciprocal(near, 20)
 
 
+@query(
+    ctes("clustered")
+    + _KNN
+    + """ SELECT q.id AS q_id, g.id AS g_id, round(coalesce(jd.dist, 1), 6) + 0.0 AS dist
+FROM f q CROSS JOIN f g LEFT JOIN jd ON jd.i = q.id AND jd.k = g.id WHERE q.split = 'query' AND g.split = 'gallery'"""
+)
+def dist_jaccard(spark, sf_dir):
+    return rounded(D.pairs(*_split(spark, sf_dir, "clustered"), "jaccard"), "dist")
+
+
 @query(ctes("clustered") + _KNN + " SELECT i, k, round(dist, 6) + 0.0 AS dist FROM jd")
 def jaccard(spark, sf_dir):
     return rounded(J.jaccard(load(spark, sf_dir, "clustered")), "dist")
@@ -420,6 +497,18 @@ def roc(spark, sf_dir):
     return rounded(R.roc(_matched(spark, sf_dir), digits=6), "threshold", "fpr", "tpr")
 
 
+@query(
+    _ROWS
+    + """, c AS (SELECT round(dist, 6) AS threshold, sum(1 - match) AS p, sum(match) AS n FROM m GROUP BY 1)
+SELECT threshold + 0.0 AS threshold, round(sum(n) OVER o / sum(n) OVER (), 6) AS fpr, round(sum(p) OVER o / sum(p) OVER (), 6) AS tpr FROM c WINDOW o AS (ORDER BY threshold DESC)"""
+)
+def roc_saved(spark, sf_dir):
+    """S3: the curve as it is read back, beside its pairs."""
+    at, rows = new_folder(spark, "roc"), _matched(spark, sf_dir)
+    S.save_roc(R.roc(rows, digits=6), rows, at)
+    return rounded(S.load_roc(spark, at)[0], "threshold", "fpr", "tpr")
+
+
 @query(
     _ROWS
     + """, s AS (SELECT match, min(dist) AS lo, max(dist) AS hi, avg(dist) AS mean, stddev_pop(dist) AS std, count(*) AS n FROM m GROUP BY match),
@@ -774,3 +863,34 @@ def track_stream(spark, sf_dir):
 def metric_stream(spark, sf_dir):
     out = finished(W.rolling_stream(streamed(_metrics(spark, sf_dir), 3, "seq", "metrics")), "rolling")
     return rounded(out.select("name", "seq", "median", "mean"), "median", "mean", nudge=1e-9)
+
+
+@query(
+    ctes("metrics")
+    + """, l AS (SELECT iteration, name, value FROM metrics QUALIFY row_number() OVER (PARTITION BY iteration, name ORDER BY seq DESC) = 1),
+c AS (SELECT iteration, name, '"' || name || '": ' || CAST(value AS VARCHAR) AS cell FROM l UNION ALL SELECT DISTINCT iteration, 'iteration', '"iteration": ' || iteration FROM l)
+SELECT iteration, '{' || string_agg(cell, ', ' ORDER BY name) || '}' AS line FROM c GROUP BY iteration"""
+)
+def line_stream(spark, sf_dir):
+    """Metric lines of a stream appended to text files, and read back."""
+    at = new_folder(spark, "lines")
+    W.write_lines(streamed(S.metric_lines(_metrics(spark, sf_dir)), 3, "iteration", "metric-lines").select("line"), at, f"{at}-state").awaitTermination()
+    return spark.read.text(at).select(F.get_json_object("value", "$.iteration").cast("long").alias("iteration"), F.col("value").alias("line"))
+
+
+@query(
+    ctes("features")
+    + f""", n AS (SELECT cam_id AS bank, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM features QUALIFY row_number() OVER (PARTITION BY cam_id ORDER BY vec_id DESC) <= 100),
+u AS (SELECT bank, vec_id, unnest(range(0, len(e))) AS pos, unnest(e) / greatest(sqrt({_IP}(e, e)), 1e-12) AS x FROM n)
+SELECT bank, vec_id, CAST(pos AS INT) AS pos, round(x, 6) + 0.0 AS value FROM u"""
+)
+def bank_stream(spark, sf_dir):
+    """What each bank holds after its last micro-batch."""
+    at = new_folder(spark, "banks")
+    rows = load(spark, sf_dir, "features").select(F.col("cam_id").alias("bank"), "vec_id", F.col("person_id").alias("label"), "embedding")
+    out = W.bank_stream(streamed(rows, 3, "vec_id", "vectors"), 100)
+    each = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(at)
+    out.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start().awaitTermination()
+    held = spark.read.schema(out.withColumn("batch", F.lit(0).cast("long")).schema).parquet(at)
+    last = held.groupBy("bank").agg(F.max("batch").alias("batch"))
+    return rounded(held.join(F.broadcast(last), ["bank", "batch"]).select("bank", "vec_id", F.posexplode("embedding").alias("pos", "value")), "value")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pathline.operators.tracking import TRACK, Tracking, Tracks, sound
+from pathline.operators.tracking import TRACK, Tracker, Tracking, Tracks, fold, sound
 
 BOX = ["x1", "y1", "x2", "y2"]
 
 
-def track_stream(dets: DataFrame, p: Tracking = Tracking()) -> DataFrame:
+def track_stream(dets: DataFrame, p: Tracking = Tracking(), tracker: Callable[[Tracking], Tracker] = Tracks) -> DataFrame:
     """Tracks as frames arrive, with state for each camera; the same rows as `track` gives for all at once.
 
     A frame is folded when a later one of its camera has come, as its detections may be
@@ -29,7 +29,7 @@ def track_stream(dets: DataFrame, p: Tracking = Tracking()) -> DataFrame:
         if state.exists:
             tracks, held, late = pickle.loads(state.get[0])
         else:
-            tracks, held, late = Tracks(p), [], 0
+            tracks, held, late = tracker(p), [], 0
         rows = pd.concat([held, *frames] if len(held) else list(frames))
         flush = bool(rows["flush"].any())
         rows = rows[~rows["flush"]].drop_duplicates("det_id")
@@ -40,8 +40,8 @@ def track_stream(dets: DataFrame, p: Tracking = Tracking()) -> DataFrame:
         ready = rows if flush else rows[rows["frame"] < newest]
         held = rows.iloc[:0] if flush else rows[rows["frame"] == newest]
         out = []
-        for frame, part in ready.groupby("frame", sort=True):
-            ids, shown = tracks.step(int(frame), part[BOX].to_numpy())
+        whole = ((int(frame), part[BOX].to_numpy()) for frame, part in ready.groupby("frame", sort=True))
+        for frame, ids, shown in fold(whole, tracks):
             out += [(key[0], frame, i, *b) for i, b in zip(ids.tolist(), shown.tolist(), strict=True)]
         if dropped:
             out.append((key[0], -1, late, 0.0, 0.0, 0.0, 0.0))
