@@ -223,6 +223,7 @@ def learn(found: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
     edges = settle(each.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), "edges")
     # a pattern of fewer instances can never have the support
     able = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("total")).filter(F.col("total") >= how.support)
+    able = settle(able, "able")  # a table of its own, so that a pattern of very many instances can be split in the join
     seeds = settle(edges.filter("kind >= 0").groupBy("instance").agg(F.min("kind").alias("of"), F.lit(1.0).alias("worth")), "seeds")
     graph = settle(edges.join(able, "pattern").select("pattern", "instance", "total"), "graph")
     accepted, size = seeds, -1
