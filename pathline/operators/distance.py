@@ -1,12 +1,13 @@
 """Distances between two sets of vectors, a block of each at a time.
 
 Both sides are cut into blocks of a known number of rows; a task multiplies one block by
-another. What follows (all pairs, nearest k, sums for losses) is done on the block's
-matrix, so that no more than is asked for leaves the task.
+another, tile by tile. What follows (all pairs, nearest k, sums for losses) is done on the
+tile's matrix, so that no more than is asked for leaves the task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -14,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS = 2048
+ROWS = 2048  # of a side of a tile
+BLOCK_BYTES = 32 << 20  # of the vectors of a side of a block
 METRICS = ("sqeuclidean", "euclidean", "cosine", "cosine2", "jaccard")
 
 
@@ -34,20 +36,38 @@ def _vectors(table: pa.Table) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def by_blocks(left: DataFrame, right: DataFrame, fn: Callable, schema: str, rows: int = ROWS) -> DataFrame:
-    """fn(left table, its matrix, right table, its matrix) -> Arrow table, for every pair of blocks.
+def _block_rows(n_left: int, n_right: int, size: int, tasks: int, rows: int) -> int:
+    """As many rows as leave four blocks for each task, within a tile and BLOCK_BYTES."""
+    return max(rows, min(math.isqrt(n_left * n_right // (4 * tasks)), BLOCK_BYTES // (8 * max(1, size))))
 
-    Rows with a null vector are left out; both sides need a column `embedding`.
+
+def by_blocks(left: DataFrame, right: DataFrame, fn: Callable, schema: str, rows: int = ROWS, fold: Callable | None = None, wide: bool = True) -> DataFrame:
+    """fn(left table, its matrix, right table, its matrix) -> Arrow table, for every pair of tiles of `rows` rows a side.
+
+    A row is copied once for each block of the other side. A block holds several tiles where
+    the tables are large, unless `wide` is False (for an output of every pair); `fold` makes
+    the rows of a left tile, gathered over right tiles, fewer. Rows with a null vector are
+    left out; both sides need a column `embedding`.
     """
     left, right = (x.filter("embedding IS NOT NULL").withColumn("embedding", F.col("embedding").cast("array<double>")) for x in (left, right))
-    n_left, n_right = (max(1, -(-x.count() // rows)) for x in (left, right))
+    (n_left, size), (n_right, _) = (x.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first() for x in (left, right))
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = _block_rows(n_left, n_right, size or 1, tasks, rows) if wide else rows
+    n_left, n_right = (max(1, -(-n // side)) for n in (n_left, n_right))
     block = lambda df, n: F.pmod(F.xxhash64(*[c for c in df.columns if c != "embedding"]), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     a = left.withColumn("_a", block(left, n_left)).withColumn("_b", every(n_right))
     b = right.withColumn("_b", block(right, n_right)).withColumn("_a", every(n_left))
 
     def run(x, y):
-        return fn(x, _vectors(x), y, _vectors(y))
+        u, v, out = _vectors(x), _vectors(y), []
+        for i in range(0, max(1, len(x)), rows):
+            row = None
+            for j in range(0, max(1, len(y)), rows):
+                tile = fn(x.slice(i, rows), u[i : i + rows], y.slice(j, rows), v[j : j + rows])
+                row = tile if row is None else pa.concat_tables([row, tile]) if fold is None else fold(pa.concat_tables([row, tile]))
+            out.append(row)
+        return pa.concat_tables(out)
 
     return a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInArrow(run, schema)
 
@@ -70,10 +90,10 @@ def pairs(queries: DataFrame, gallery: DataFrame, metric: str = "cosine") -> Dat
 
     q = queries.select(F.col("vec_id").alias("q_id"), "embedding")
     g = gallery.select(F.col("vec_id").alias("g_id"), "embedding")
-    return by_blocks(q, g, fn, "q_id long, g_id long, dist double")
+    return by_blocks(q, g, fn, "q_id long, g_id long, dist double", wide=False)
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "sqeuclidean") -> DataFrame:
+def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "sqeuclidean", rows: int = ROWS) -> DataFrame:
     """q_id, g_id, dist, rank of the exact k nearest, from 1; equal distances by g_id. Fewer rows than k give fewer."""
 
     def fn(x, a, y, b):
@@ -87,8 +107,16 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "sqeuclid
         top = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :k]
         return pa.table({"q_id": np.repeat(x.column("q_id").to_numpy(), top.shape[1]), "g_id": ids[top].ravel(), "dist": np.take_along_axis(d, top, 1).ravel()})
 
+    def best(t):
+        q, g, d = (t.column(c).to_numpy() for c in ("q_id", "g_id", "dist"))
+        order = np.lexsort((g, np.round(d, 9), q))
+        q = q[order]
+        first = np.flatnonzero(np.append(True, q[1:] != q[:-1])[: len(q)])
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        return t.take(order[place < k])
+
     q = queries.select(F.col("vec_id").alias("q_id"), "embedding")
     g = base.select(F.col("vec_id").alias("g_id"), "embedding")
-    found = by_blocks(q, g, fn, "q_id long, g_id long, dist double")
+    found = by_blocks(q, g, fn, "q_id long, g_id long, dist double", rows, best)
     w = Window.partitionBy("q_id").orderBy(F.round("dist", 9), "g_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

@@ -474,9 +474,9 @@ def true_matches(spark, sf_dir):
     return rounded(R.true_matches(_matched(spark, sf_dir)).select("q_id", "g_id", "dist", "place"), "dist")
 
 
-@query(_ROWS + " SELECT q_id, round(ap, 6) + 0.0 AS ap, CAST(first_match AS INT) AS first_match FROM p ORDER BY round(ap, 9), q_id LIMIT 20")
+@query(_ROWS + " SELECT q_id, round(ap, 6) + 0.0 AS ap, CAST(first_match AS INT) AS first_match FROM p ORDER BY round(ap, 9), q_id LIMIT 100")
 def worst_queries(spark, sf_dir):
-    return rounded(R.worst_queries(R.average_precision(_matched(spark, sf_dir)), 20), "ap")
+    return rounded(R.worst_queries(R.average_precision(_matched(spark, sf_dir))), "ap")
 
 
 @query(
@@ -720,12 +720,12 @@ def hint_violations(spark, sf_dir):
 @query(
     ctes("metrics")
     + """, s AS (SELECT name, min(value) AS lo, max(value) AS hi, count(value) AS num, sum(value) AS sum, sum(value * value) AS sum_squares FROM metrics GROUP BY name),
-c AS (SELECT name, CAST(least(99, floor((value - lo) / ((hi - lo) / 100))) AS INT) AS bin, count(*) AS c FROM metrics JOIN s USING (name) GROUP BY ALL)
-SELECT name, bin, round(lo + (bin + 1) * ((hi - lo) / 100), 6) AS "limit", coalesce(c, 0) AS "count", round(lo, 6) AS min, round(hi, 6) AS max, num, round(sum, 4) AS sum, round(sum_squares, 2) AS sum_squares
-FROM (SELECT *, CAST(unnest(range(0, 100)) AS INT) AS bin FROM s) LEFT JOIN c USING (name, bin)"""
+c AS (SELECT name, CAST(least(999, floor((value - lo) / ((hi - lo) / 1000))) AS INT) AS bin, count(*) AS c FROM metrics JOIN s USING (name) GROUP BY ALL)
+SELECT name, bin, round(lo + (bin + 1) * ((hi - lo) / 1000), 6) AS "limit", coalesce(c, 0) AS "count", round(lo, 6) AS min, round(hi, 6) AS max, num, round(sum, 4) AS sum, round(sum_squares, 2) AS sum_squares
+FROM (SELECT *, CAST(unnest(range(0, 1000)) AS INT) AS bin FROM s) LEFT JOIN c USING (name, bin)"""
 )
 def metric_histogram(spark, sf_dir):
-    out = rounded(rounded(H.histogram(_metrics(spark, sf_dir), 100), "limit", "min", "max"), "sum", digits=4)
+    out = rounded(rounded(H.histogram(_metrics(spark, sf_dir)), "limit", "min", "max"), "sum", digits=4)
     return rounded(out, "sum_squares", digits=2)
 
 
@@ -743,14 +743,14 @@ def _as_of(name: str, agg: str, n: int | None) -> str:
 
 @query(
     ctes("metrics")
-    + f""", x AS (SELECT max(iteration) + 1 AS n FROM metrics), i AS (SELECT DISTINCT iteration FROM metrics WHERE (iteration + 1) % 100 = 0 OR iteration = (SELECT n FROM x) - 1)
+    + f""", x AS (SELECT max(iteration) + 1 AS n FROM metrics), i AS (SELECT DISTINCT iteration FROM metrics WHERE (iteration + 1) % 20 = 0 OR iteration = (SELECT n FROM x) - 1)
 SELECT iteration, round({_as_of("data_time", "avg", 20)} + 1e-9, 4) AS data_time, round({_as_of("loss_cls", "median", 200)} + 1e-9, 4) AS loss_cls,
        round({_as_of("loss_triplet", "median", 200)} + 1e-9, 4) AS loss_triplet, round({_as_of("lr", "max", 1)} + 1e-9, 4) AS lr, round({_as_of("time", "avg", None)} + 1e-9, 4) AS "time",
        round({_as_of("time", "median", 1000)} * ((SELECT n FROM x) - iteration - 1) + 1e-9, 4) + 0.0 AS eta_seconds FROM i"""
 )
 def progress(spark, sf_dir):
     m = _metrics(spark, sf_dir)
-    out = H.progress(m, m.agg(F.max("iteration")).first()[0] + 1, 100)
+    out = H.progress(m, m.agg(F.max("iteration")).first()[0] + 1)
     return rounded(out, "data_time", "loss_cls", "loss_triplet", "lr", "time", "eta_seconds", digits=4, nudge=1e-9)
 
 
@@ -832,13 +832,21 @@ def embed_hook(spark, sf_dir):
 # --- streams ---------------------------------------------------------------------------------------------
 
 
+FILE_ROWS = 1_000_000  # of a file that a stream reads at a time, about
+
+
 def streamed(rows: DataFrame, parts: int, order: str, name: str) -> DataFrame:
-    """rows written as `parts` files, in order of a column, and opened as a stream that reads one file at a time."""
+    """rows as files in order of a column, `parts` of them or as many as bound their rows, and opened as a stream that
+    reads one at a time. Rows are computed once, dealt by part; each part is then made a file after the one before."""
     spark, at = rows.sparkSession, new_folder(rows.sparkSession, name)
-    lo, hi = rows.agg(F.min(order), F.max(order)).first()
+    lo, hi, n = rows.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
+    parts = max(parts, -(-n // FILE_ROWS))
     step = ((hi or 0) - (lo or 0)) // parts + 1
+    part = F.floor((F.col(order) - F.lit(lo)) / step).cast("int")
+    rows.withColumn("_part", part).write.partitionBy("_part").parquet(f"{at}-parts")
+    dealt = spark.read.schema(rows.withColumn("_part", part).schema).parquet(f"{at}-parts")
     for k in range(parts):
-        rows.filter(F.floor((F.col(order) - F.lit(lo)) / step) == k).coalesce(1).write.mode("append").parquet(at)
+        dealt.filter(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(at)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
 
 

@@ -210,3 +210,15 @@ def test_lines_are_written_once(spark, tmp_path):
     for _ in range(2):
         W.write_lines(spark.readStream.schema("line string").parquet(at), f"file://{tmp_path}/out", f"file://{tmp_path}/state").awaitTermination()
     assert spark.read.text(f"{tmp_path}/out").count() == 3
+
+
+def test_tiles_change_no_neighbour(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(90, 4)), 1)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = {(r.q_id, r["rank"], r.g_id) for r in D.nearest(df, df, 5).collect()}
+    d = np.round(((x[:, None] - x[None]) ** 2).sum(2), 9)
+    plain = {(i, k + 1, int(j)) for i in range(90) for k, j in enumerate(sorted(range(90), key=lambda j: (d[i, j], j))[:5])}
+    assert whole == plain
+    assert {(r.q_id, r["rank"], r.g_id) for r in D.nearest(df, df, 5, rows=7).collect()} == plain
+    assert D._block_rows(90, 90, 4, 4, 7) == 22 and D._block_rows(10**9, 10**9, 64, 4, 2048) == 65536 and D._block_rows(9, 9, 64, 4, 2048) == 2048
