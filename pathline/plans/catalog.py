@@ -837,7 +837,7 @@ FILE_ROWS = 1_000_000  # of a file that a stream reads at a time, about
 
 def streamed(rows: DataFrame, parts: int, order: str, name: str) -> DataFrame:
     """rows as files in order of a column, `parts` of them or as many as bound their rows, and opened as a stream that
-    reads one at a time. Rows are computed once, dealt by part; each part is then made a file after the one before."""
+    reads one at a time. Rows are read for their range, then written once, dealt by part; each part becomes a file in turn."""
     spark, at = rows.sparkSession, new_folder(rows.sparkSession, name)
     lo, hi, n = rows.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
     parts = max(parts, -(-n // FILE_ROWS))
