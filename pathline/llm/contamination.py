@@ -247,7 +247,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
     """
     small_batches(docs.sparkSession)
     sent = list(passes(benchmark, block_bytes, width))
-    at, n = docs.columns.index("text"), len(docs.columns)
 
     if len(sent) == 1:
 
@@ -255,6 +254,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
             for batch in batches:
                 column = batch.column("text")
                 _, spans, _ = _all_blocks(column, sent[0])
+                at = batch.schema.get_field_index("text")
                 yield batch.set_column(at, "text", pa.array(_cut(column.to_pylist(), spans), type=column.type))
 
         out = docs.mapInArrow(run, docs.schema)
@@ -274,18 +274,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
             part = docs.select("text", F.sha2("text", 256).alias("digest")).mapInArrow(search, f"digest string, spans {_BYTES}")
             hits = part if hits is None else hits.union(part)
         hits = settle(hits.groupBy("digest").agg(F.flatten(F.collect_set("spans")).alias("spans")), "hits")
-        row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.sha2(F.col("text"), 256).alias("digest"))
+        # names of docs may clash with those here: its other columns travel in a struct
+        rest = [c for c in docs.columns if c != "text"]
+        row = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), "text", F.sha2("text", 256).alias("digest"))
         few = hits.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
-        both = row.join(F.broadcast(hits) if few else hits, "digest", "left").select("row.*", F.col("spans").alias("spans_"))
+        both = row.join(F.broadcast(hits) if few else hits, "digest", "left").select("row", "text", "spans")
 
         def cut(batches):
             for batch in batches:
-                spans = [joined([tuple(x.values()) for x in s or ()]) for s in batch.column(n).to_pylist()]
-                whole = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
-                column = whole.column(at)
-                yield whole.set_column(at, "text", pa.array(_cut(column.to_pylist(), spans), type=column.type))
+                spans = [joined([tuple(x.values()) for x in s or ()]) for s in batch.column("spans").to_pylist()]
+                column = batch.column("text")
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(_cut(column.to_pylist(), spans), type=column.type)], ["row", "text"])
 
-        out = both.mapInArrow(cut, docs.schema)
+        whole = both.mapInArrow(cut, both.select("row", "text").schema)
+        out = whole.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
