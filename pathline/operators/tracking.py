@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathline.sources.shared import settle
+
 # Noise of the filter. First of position, then of speed, for x, y and area.
 Q_POSITION, Q_SPEED = np.array([1.0, 1.0, 1.0]), np.array([0.01, 0.01, 0.0001])
 R_POSITION, R_RATIO = np.array([1.0, 1.0, 10.0]), 10.0
@@ -208,7 +210,8 @@ def track(dets: DataFrame, p: Tracking = Tracking(), cut: bool = True, tracker:
 
     Frames count from 1, as all do from the start of the video: the warm-up is the first
     min_hits of them, whether a camera has detections there or not; rows of frames below 1
-    are left out, here and in the stream. A task reads sorted frames and holds one at a time.
+    are left out, here and in the stream. A task reads sorted frames and holds one at a time;
+    what it reports is written to the shared folder, and read for the numbers.
     """
     rows = sound(dets).select("camera_id", "frame", "det_id", "x1", "y1", "x2", "y2")
     rows = segments(rows, p.max_age) if cut else rows.withColumn("segment", F.lit(0).cast("long"))
@@ -256,11 +259,12 @@ def track(dets: DataFrame, p: Tracking = Tracking(), cut: bool = True, tracker:
     names = ["camera_id", "segment", "frame", "track_id", "x1", "y1", "x2", "y2", "births"]
     schema = "camera_id int, segment long, frame int, track_id long, x1 double, y1 double, x2 double, y2 double, births boolean"
     ordered = rows.repartition("camera_id", "segment").sortWithinPartitions("camera_id", "segment", "frame", "det_id")
-    out = ordered.mapInArrow(run, schema)
-    # births of the segments before, summed in the same partitioning: rows of a segment follow its count
+    out = settle(ordered.mapInArrow(run, schema), "folded")
+    # births of the segments before: a row for each segment is summed, so that no camera's tracks meet in one task
     w = Window.partitionBy("camera_id").orderBy("segment").rangeBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.when(F.col("births"), F.col("track_id"))).over(w), F.lit(0))
-    return out.withColumn("track_id", F.col("track_id") + before).filter("NOT births").select("camera_id", "frame", "track_id", "x1", "y1", "x2", "y2")
+    before = out.filter("births").select("camera_id", "segment", F.coalesce(F.sum("track_id").over(w), F.lit(0)).alias("before"))
+    numbered = out.filter("NOT births").join(before, ["camera_id", "segment"]).withColumn("track_id", F.col("track_id") + F.col("before"))
+    return numbered.select("camera_id", "frame", "track_id", "x1", "y1", "x2", "y2")
 
 
 def assign_table(dets: DataFrame, tracks: DataFrame, threshold: float = 0.3) -> DataFrame:

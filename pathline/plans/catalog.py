@@ -308,11 +308,11 @@ def ema_prototype(spark, sf_dir):
 
 @query(
     ctes("clustered")
-    + f""", m AS (SELECT vec_id, person_id, embedding AS e, greatest({_NORM}, 1e-12) AS n FROM clustered ORDER BY vec_id DESC LIMIT 100)
+    + f""", m AS (SELECT vec_id, person_id, embedding AS e, greatest({_NORM}, 1e-12) AS n FROM clustered ORDER BY vec_id DESC LIMIT 8192)
 SELECT vec_id, person_id, CAST(unnest(range(0, 64)) AS INT) AS pos, round(unnest(e) / n, 6) + 0.0 AS value FROM m"""
 )
 def memory_bank(spark, sf_dir):
-    bank = E.memory_bank(load(spark, sf_dir, "clustered"), "vec_id", 100)
+    bank = E.memory_bank(load(spark, sf_dir, "clustered"), "vec_id")
     return rounded(bank.select("vec_id", "person_id", F.posexplode("embedding").alias("pos", "value")), "value")
 
 
@@ -588,10 +588,10 @@ def cosface(spark, sf_dir):
     return rounded(M.cosface(_clustered(spark, sf_dir)), "loss", digits=4)
 
 
-@query(ctes("clustered") + _ALL + ", db AS (SELECT * FROM d WHERE g_id IN (SELECT id FROM a ORDER BY id DESC LIMIT 100))" + _pair_sql("-32 * s", "32 * (s + 0.25)", rows="db"))
+@query(ctes("clustered") + _ALL + ", db AS (SELECT * FROM d WHERE g_id IN (SELECT id FROM a ORDER BY id DESC LIMIT 8192))" + _pair_sql("-32 * s", "32 * (s + 0.25)", rows="db"))
 def cosface_bank(spark, sf_dir):
     f = _clustered(spark, sf_dir)
-    return rounded(M.cosface(f, E.memory_bank(f, "vec_id", 100)), "loss", digits=4)
+    return rounded(M.cosface(f, E.memory_bank(f, "vec_id")), "loss", digits=4)
 
 
 _LOGITS = """, l AS (SELECT vec_id, person_id AS target, [8 * CAST(x AS DOUBLE) FOR x IN embedding[1:10]] AS l, [8 * CAST(x AS DOUBLE) FOR x IN embedding[11:20]] AS t1,
@@ -888,7 +888,7 @@ def line_stream(spark, sf_dir):
 
 @query(
     ctes("features")
-    + f""", n AS (SELECT cam_id AS bank, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM features QUALIFY row_number() OVER (PARTITION BY cam_id ORDER BY vec_id DESC) <= 100),
+    + f""", n AS (SELECT cam_id AS bank, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM features QUALIFY row_number() OVER (PARTITION BY cam_id ORDER BY vec_id DESC) <= 8192),
 u AS (SELECT bank, vec_id, unnest(range(0, len(e))) AS pos, unnest(e) / greatest(sqrt({_IP}(e, e)), 1e-12) AS x FROM n)
 SELECT bank, vec_id, CAST(pos AS INT) AS pos, round(x, 6) + 0.0 AS value FROM u"""
 )
@@ -896,7 +896,7 @@ def bank_stream(spark, sf_dir):
     """What each bank holds after its last micro-batch."""
     at = new_folder(spark, "banks")
     rows = load(spark, sf_dir, "features").select(F.col("cam_id").alias("bank"), "vec_id", F.col("person_id").alias("label"), "embedding")
-    out = W.bank_stream(streamed(rows, 3, "vec_id", "vectors"), 100)
+    out = W.bank_stream(streamed(rows, 3, "vec_id", "vectors"))
     each = lambda df, batch: df.withColumn("batch", F.lit(batch)).write.mode("append").parquet(at)
     out.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start().awaitTermination()
     held = spark.read.schema(out.withColumn("batch", F.lit(0).cast("long")).schema).parquet(at)

@@ -1,6 +1,7 @@
 """Small hand-made cases, and behaviour that the queries do not show."""
 
 import math
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -222,3 +223,20 @@ def test_tiles_change_no_neighbour(spark):
     assert whole == plain
     assert {(r.q_id, r["rank"], r.g_id) for r in D.nearest(df, df, 5, rows=7).collect()} == plain
     assert D._block_rows(90, 90, 4, 4, 7) == 22 and D._block_rows(10**9, 10**9, 64, 4, 2048) == 65536 and D._block_rows(9, 9, 64, 4, 2048) == 2048
+
+
+def test_hub_columns_in_runs(spark, monkeypatch):
+    """A column that many rows share is cut into runs; sums of minima stay the same."""
+    rnd = random.Random(9)
+    rows = [(i, j, rnd.random()) for i in range(40) for j in sorted({0, 1, rnd.randrange(2, 60), rnd.randrange(2, 60)})]
+    v = spark.createDataFrame(rows, "i long, j long, v double")
+    own = {}
+    for i, j, x in rows:
+        own.setdefault(i, {})[j] = x
+    want = {(i, k): max(0.0, 1 - t / (2 - t)) for i in own for k in own if (t := sum(min(x, own[k].get(j, 0.0)) for j, x in own[i].items()))}
+    for most in (4096, 7):
+        monkeypatch.setattr(J, "HUB_ROWS", most)
+        got = {(r.i, r.k): r.dist for r in J.jaccard_of(v).collect()}
+        assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+        few = {(r.i, r.k) for r in J.jaccard_of(v, v.filter("i < 3").selectExpr("i AS vec_id"), v.filter("i > 30").selectExpr("i AS vec_id")).collect()}
+        assert few == {x for x in want if x[0] < 3 and x[1] > 30}
