@@ -3,7 +3,7 @@
 A repeat of 13 words holds a whole block of 7 words wherever blocks are counted off from
 the start of the earlier text. So the non-overlapping blocks of every text are the index,
 and every rolling window of 7 words is a probe. Hits are extended: around each hit the
-13-word windows are compared in full (128 bits), the smallest doc_id that each starts in
+13-word windows are compared (96 bits of two independent hashes, within a bucket), the smallest doc_id that each starts in
 is found, and windows of later documents that touch are one maximal repeat.
 
 Both steps go through `exchange`: some bytes for a probe, no row for each, and no pair of

@@ -83,45 +83,41 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_BASE = 0x9E3779B97F4A7C1B
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-#: Bytes that are hashed at once; a worker keeps the powers up to it.
+#: Bytes that are hashed at once.
 _BLOCK = 1 << 17
-
-
-def _powers(base: int, n: int, held: dict[int, np.ndarray]) -> np.ndarray:
-    got = held.get(base)
-    if got is None or len(got) < n:
-        got = np.full(max(n, _BLOCK + 1), base, dtype=np.uint64)
-        got[0] = 1
-        got = np.multiply.accumulate(got)
-        if n <= _BLOCK + 1:  # those for a single longer word are not kept
-            held[base] = got
-    return got
-
-
-_HELD: dict[int, np.ndarray] = {}
+#: For 0 to 8 bytes of a word that a lane holds, the bits that count.
+_HELD = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
+_PLACE, _SEED = np.uint64(0x9E3779B97F4A7C15), 0xD1B54A32D192ED03
 
 
 def hashes(words: Words, seed: int = 0) -> np.ndarray:
-    """64-bit hash of each word: a polynomial over its bytes, then mixed."""
-    base = (_BASE + 8 * seed) % (1 << 64)
-    back = pow(base, -1, 1 << 64)
+    """64-bit hash of each word: its lanes of 8 bytes are mixed with a key of their place and of the seed, and added up.
+
+    A lane's mixture is one to one, so words of up to 8 bytes and equal length never collide, and
+    each place has a key of its own, so no regularity of longer words cancels out in the sum.
+    Seeds give independent hashes.
+    """
     out = np.empty(len(words.start), dtype=np.uint64)
+    own = np.uint64((seed + 1) * _SEED % (1 << 64))
     i = 0
     while i < len(out):
         at = int(words.start[i])
         j = max(i + 1, int(np.searchsorted(words.end, at + _BLOCK, "right")))
-        data = words.data[at : words.end[j - 1]]
-        up, down = _powers(base, len(data) + 1, _HELD), _powers(back, len(data) + 1, _HELD)
-        total = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-        a, b = words.start[i:j] - at, words.end[i:j] - at
-        out[i:j] = (total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)
+        past = int(words.end[j - 1])
+        data = np.zeros(past - at + 8, dtype=np.uint8)
+        data[: past - at] = words.data[at:past]
+        eight = np.ndarray(past - at + 1, dtype="<u8", buffer=data, strides=(1,))  # the 8 bytes from each place on
+        size = words.end[i:j] - words.start[i:j]
+        lanes = (size + 7) >> 3
+        first = np.cumsum(lanes) - lanes
+        place = np.arange(int(lanes.sum())) - np.repeat(first, lanes)
+        lane = eight[np.repeat(words.start[i:j] - at, lanes) + 8 * place]
+        last = first + lanes - 1
+        lane[last] &= _HELD[size - 8 * (lanes - 1)]
+        key = mix((place + 1).astype(np.uint64) * _PLACE + own)
+        out[i:j] = np.add.reduceat(mix(lane ^ key), first) + size.astype(np.uint64)
         i = j
-    return mix(out)
+    return mix(out ^ own)
 
 
 def windows(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
