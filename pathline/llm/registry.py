@@ -1,7 +1,14 @@
 """Queries of this subpackage, and SQL for those that SQL can express."""
 
-import corpus_pipeline
-from pathline.llm import contamination, counts, jaccard, pieces, pii, quality, secrets, shards, substrings, urls
+from pathline.llm import audit, contamination, counts, jaccard, pieces, pii, quality, secrets, shards, simhash, substrings, urls, whitening
+
+
+def pipeline(spark, sf_dir: str):
+    """`corpus_pipeline.run`, looked up when it is called: the operators stand without it."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -14,6 +21,9 @@ QUERIES = {
     "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op9_benchmark_decontamination": contamination.op9_benchmark_decontamination,
     "op10_sentencepiece": pieces.op10_sentencepiece,
-    "pipeline": corpus_pipeline.run,
+    "op11_filter_audit": audit.op11_filter_audit,
+    "op12_simhash_near_dedup": simhash.op12_simhash_near_dedup,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
+    "pipeline": pipeline,
 }
-ORACLES = {"op6_url_filters": urls.OP6_SQL, "op7_sharding": shards.OP7_SQL, "op1_substring_dedup": substrings.OP1_SQL, "op2_secret_scans": secrets.OP2_SQL, "op4_quality_rules": quality.OP4_SQL, "op8_ngram_jaccard_join": jaccard.OP8_SQL, "op9_benchmark_decontamination": contamination.OP9_SQL}
+ORACLES = {"op6_url_filters": urls.OP6_SQL, "op7_sharding": shards.OP7_SQL, "op1_substring_dedup": substrings.OP1_SQL, "op2_secret_scans": secrets.OP2_SQL, "op4_quality_rules": quality.OP4_SQL, "op8_ngram_jaccard_join": jaccard.OP8_SQL, "op9_benchmark_decontamination": contamination.OP9_SQL, "op11_filter_audit": audit.OP11_SQL}
