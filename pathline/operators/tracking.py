@@ -16,7 +16,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathline.sources.shared import settle
@@ -105,6 +105,22 @@ class Tracks:
     ratio: np.ndarray = _empty(0, 2)  # value and variance
     count: np.ndarray = field(default_factory=lambda: np.zeros((0, 2), dtype=np.int64))  # frames since a match, matches in a row
 
+    #: Schema of a row of `save`.
+    STATE = "id long, pos array<double>, vel array<double>, cov array<double>, ratio array<double>, age long, hits long"
+
+    def save(self) -> list[tuple]:
+        """A row for each live track."""
+        parts = (self.ids, self.pos, self.vel, self.cov.reshape(-1, 9), self.ratio, self.count[:, 0], self.count[:, 1])
+        return list(zip(*(x.tolist() for x in parts), strict=True))
+
+    def restore(self, frame: int, born: int, rows: list[tuple]) -> None:
+        self.frame, self.born = frame, born
+        if rows:
+            ids, pos, vel, cov, ratio, age, hits = zip(*rows, strict=True)
+            self.ids, self.count = np.array(ids, dtype=np.int64), np.stack([age, hits], axis=1).astype(np.int64)
+            self.pos, self.vel, self.ratio = (np.array([list(r) for r in x], dtype=float) for x in (pos, vel, ratio))
+            self.cov = np.array([list(r) for r in cov], dtype=float).reshape(-1, 3, 3)
+
     def _keep(self, rows) -> None:
         for name in ("ids", "pos", "vel", "cov", "ratio", "count"):
             setattr(self, name, getattr(self, name)[rows])
@@ -170,11 +186,17 @@ class Tracks:
 
 
 class Tracker(Protocol):
-    """U4: what folds a camera's frames, here and in the stream. frame: the last one folded; born: tracks so far."""
+    """U4: what folds a camera's frames, here and in the stream. frame: the last one folded; born: tracks so far. The
+    stream keeps both, and the rows of `save`, whose schema is STATE."""
 
+    STATE: str
     frame: int
     born: int
 
+    def save(self) -> list[tuple]: ...
+
+    def restore(self, frame: int, born: int, rows: list[tuple]) -> None: ...
+
     def step(self, frame: int, dets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Track numbers and boxes reported for a frame and its boxes (n x 4)."""
         ...
@@ -189,12 +211,17 @@ def fold(frames: Iterable[tuple[int, np.ndarray]], state: Tracker) -> Iterator[t
 TRACK = "camera_id int, frame int, track_id long, x1 double, y1 double, x2 double, y2 double"
 
 
-def sound(dets: DataFrame) -> DataFrame:
-    """Boxes with a null or NaN side, rows without keys, and frames below 1 are rejected."""
-    ok = F.col("camera_id").isNotNull() & (F.col("frame") >= 1)
+def is_sound() -> Column:
+    """Whether a row has a camera, a frame from 1 on, and a box without a null or NaN side."""
+    ok = F.col("camera_id").isNotNull() & F.coalesce(F.col("frame") >= 1, F.lit(False))
     for c in ("x1", "y1", "x2", "y2"):
         ok = ok & F.col(c).isNotNull() & ~F.isnan(c)
-    return dets.filter(ok)
+    return ok
+
+
+def sound(dets: DataFrame) -> DataFrame:
+    """Boxes with a null or NaN side, rows without keys, and frames below 1 are rejected."""
+    return dets.filter(is_sound())
 
 
 def segments(dets: DataFrame, max_age: int = 30) -> DataFrame:
@@ -206,7 +233,7 @@ def segments(dets: DataFrame, max_age: int = 30) -> DataFrame:
 
 def track(dets: DataFrame, p: Tracking = Tracking(), cut: bool = True, tracker: Callable[[Tracking], Tracker] = Tracks) -> DataFrame:
     """T5: camera_id, frame, track_id, box. track_id counts from 1 in each camera, in order of birth; detections of a
-    frame are taken in order of det_id. `cut` folds segments on their own; the result is the same without.
+    frame are taken in order of det_id (null first), then of the box. `cut` folds segments on their own; the result is the same without.
 
     Frames count from 1, as all do from the start of the video: the warm-up is the first
     min_hits of them, whether a camera has detections there or not; rows of frames below 1
@@ -258,7 +285,7 @@ def track(dets: DataFrame, p: Tracking = Tracking(), cut: bool = True, tracker:
 
     names = ["camera_id", "segment", "frame", "track_id", "x1", "y1", "x2", "y2", "births"]
     schema = "camera_id int, segment long, frame int, track_id long, x1 double, y1 double, x2 double, y2 double, births boolean"
-    ordered = rows.repartition("camera_id", "segment").sortWithinPartitions("camera_id", "segment", "frame", "det_id")
+    ordered = rows.repartition("camera_id", "segment").sortWithinPartitions("camera_id", "segment", "frame", "det_id", "x1", "y1", "x2", "y2")
     out = settle(ordered.mapInArrow(run, schema), "folded")
     # births of the segments before: a row for each segment is summed, so that no camera's tracks meet in one task
     w = Window.partitionBy("camera_id").orderBy("segment").rangeBetween(Window.unboundedPreceding, -1)

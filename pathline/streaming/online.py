@@ -1,91 +1,278 @@
-"""Online forms: tracking (W1, W2), sliding metrics (W3), memory banks (W4) and metric lines."""
+"""Online forms: tracking (W1, W2), sliding metrics (W3), memory banks (W4) and metric lines.
+
+State is typed: each variable has a schema of its own in the session's state store, which is
+RocksDB, so that a changed program reads what an older one wrote, and a micro-batch writes
+only what it changes.
+"""
 
 from __future__ import annotations
 
-import pickle
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from pathline.operators.tracking import TRACK, Tracker, Tracking, Tracks, fold, sound
+from pathline.operators.tracking import TRACK, Tracker, Tracking, Tracks, fold, is_sound
 
 BOX = ["x1", "y1", "x2", "y2"]
+#: What stands for a null among whole numbers on the way: it comes first in order, as a null does.
+_NULL = -(1 << 63)
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _stateful(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, time: str = "None") -> DataFrame:
+    """rows by key through a processor; typed state needs RocksDB, which the session gets here."""
+    rows.sparkSession.conf.set(_STORE, _ROCKS)
+    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "append", time)
+
+
+def _or_null(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("long"), F.lit(_NULL)).alias(column)
+
+
+class _Camera(StatefulProcessor):
+    """Tracks of a camera, and the detections of its newest frame, which may not be whole yet."""
+
+    HELD = ["frame", "ts", "det_id", *BOX]
+
+    def __init__(self, p: Tracking, tracker: Callable[[Tracking], Tracker], timed: bool):
+        self.p, self.tracker, self.timed = p, tracker, timed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.camera = handle.getValueState("camera", "frame int, born long, late long, timer long")
+        self.tracks = handle.getListState("tracks", self.tracker(self.p).STATE)
+        self.held = handle.getListState("held", "frame int, ts long, det_id long, x1 double, y1 double, x2 double, y2 double")
 
+    def _folded(self, camera: int, frame: int, born: int, rows: pd.DataFrame) -> tuple[list[tuple], int, int]:
+        """Rows reported for whole frames, and the last frame and number of tracks after them."""
+        state = self.tracker(self.p)
+        state.restore(frame, born, list(self.tracks.get()) if self.tracks.exists() else [])
+        whole = ((int(f), part[BOX].to_numpy()) for f, part in rows.sort_values(["frame", "det_id", *BOX]).groupby("frame", sort=True))
+        out = [(camera, f, i, *b) for f, ids, shown in fold(whole, state) for i, b in zip(ids.tolist(), shown.tolist(), strict=True)]
+        if left := state.save():
+            self.tracks.put(left)
+        else:
+            self.tracks.clear()
+        return out, state.frame, state.born
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        if pd.isna(key[0]):  # time alone
+            return
+        frame, born, late, timer = self.camera.get() if self.camera.exists() else (0, 0, 0, _NULL)
+        before = pd.DataFrame(list(self.held.get()) if self.held.exists() else [], columns=self.HELD)
+        done = []
+        if timer != _NULL and timerValues.getCurrentWatermarkInMs() > timer:  # due, though new rows come before its timer
+            done, frame, born = self._folded(key[0], frame, born, before)
+            before = before.iloc[:0]
+            self.held.clear()
+            self.handle.deleteTimer(timer)
+            timer = _NULL
+        dropped = int((new["frame"] <= frame).sum())
+        new = new.loc[new["frame"] > frame, self.HELD]
+        out = done + [(key[0], -1, late + dropped, 0.0, 0.0, 0.0, 0.0)] * (dropped > 0)
+        if len(new):
+            every = pd.concat([before, new]) if len(before) else new
+            newest = every["frame"].max()
+            ready, left = every[every["frame"] < newest], every[every["frame"] == newest]
+            if len(ready):
+                shown, frame, born = self._folded(key[0], frame, born, ready)
+                out = shown + out
+            self.held.put([(int(f), int(t), int(d), *map(float, b)) for f, t, d, *b in left.itertuples(index=False)])
+            at = int(left["ts"].max())
+            if self.timed and at != timer:
+                if timer != _NULL:
+                    self.handle.deleteTimer(timer)
+                if at != _NULL:
+                    self.handle.registerTimer(at)
+                timer = at
+        self.camera.update((int(frame), int(born), late + dropped, timer))
+        yield pd.DataFrame(out, columns=["camera_id", "frame", "track_id", *BOX])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The watermark has passed the newest frame: it is whole, whether a later one comes or not."""
+        frame, born, late, _ = self.camera.get()
+        rows = pd.DataFrame(list(self.held.get()) if self.held.exists() else [], columns=self.HELD)
+        out, frame, born = self._folded(key[0], frame, born, rows)
+        self.held.clear()
+        self.camera.update((int(frame), int(born), late, _NULL))
+        yield pd.DataFrame(out, columns=["camera_id", "frame", "track_id", *BOX])
 
-def track_stream(dets: DataFrame, p: Tracking = Tracking(), tracker: Callable[[Tracking], Tracker] = Tracks) -> DataFrame:
+    def close(self) -> None:
+        pass
+
+
+def track_stream(dets: DataFrame, p: Tracking = Tracking(), tracker: Callable[[Tracking], Tracker] = Tracks, delay: str | None = None) -> DataFrame:
     """Tracks as frames arrive, with state for each camera; the same rows as `track` gives for all at once.
 
-    A frame is folded when a later one of its camera has come, as its detections may be
-    spread over micro-batches; a row with `flush` = true folds all that is held. W2: rows
-    are ordered within a micro-batch, and those of a frame that is folded already are
-    dropped and counted: a row with frame -1 has the number so far as track_id.
+    A frame's detections may be spread over micro-batches. It is folded when a later one of its
+    camera has come. W2: with `delay` (such as "10 seconds") the stream's time `ts` has a
+    watermark so far behind the newest row of any camera, and a frame is also folded when the
+    watermark has passed its newest row, so a camera that falls silent has its last frame
+    reported. Rows without a camera only carry time: a source that sends them now and then
+    closes the frames of all cameras. Rows of a frame that is folded already are dropped and
+    counted, however old they are: a row with frame -1 has the number so far as track_id.
+    Unsound rows (see `sound`) are left out; those with a null det_id stay, and come first.
     """
+    ts = F.lit(_NULL) if delay is None else F.coalesce(F.unix_millis("ts"), F.lit(_NULL))
+    rows = dets if delay is None else dets.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    # ts goes on as a number: the store would drop late rows by their watermark, uncounted
+    rows = rows.filter(F.col("camera_id").isNull() | is_sound()).select("camera_id", F.coalesce("frame", F.lit(0)).cast("int").alias("frame"), _or_null("det_id"), *BOX, ts.alias("ts"))
+    return _stateful(rows, "camera_id", _Camera(p, tracker, delay is not None), TRACK, "None" if delay is None else "EventTime")
 
-    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            tracks, held, late = pickle.loads(state.get[0])
-        else:
-            tracks, held, late = tracker(p), [], 0
-        rows = pd.concat([held, *frames] if len(held) else list(frames))
-        flush = bool(rows["flush"].any())
-        rows = rows[~rows["flush"]].drop_duplicates("det_id")
-        dropped = int((rows["frame"] <= tracks.frame).sum())
-        late += dropped
-        rows = rows[rows["frame"] > tracks.frame].sort_values(["frame", "det_id"])
-        newest = rows["frame"].max() if len(rows) else 0
-        ready = rows if flush else rows[rows["frame"] < newest]
-        held = rows.iloc[:0] if flush else rows[rows["frame"] == newest]
+
+class _Series(StatefulProcessor):
+    """The newest rows of a name in order of iteration and seq, in buckets of iterations."""
+
+    SPAN = 256
+
+    def __init__(self, n: int, keep: int):
+        self.n, self.keep = n, max(keep, n)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.about = handle.getValueState("about", "held long, low long, dropped long, revision long")
+        self.buckets = handle.getMapState("buckets", "bucket long", "iteration array<long>, seq array<long>, value array<double>")
+
+    def _bucket(self, k: int) -> list[tuple]:
+        got = self.buckets.getValue((k,))
+        return list(zip(*got, [False] * len(got[0]), strict=True)) if got else []
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows))
+        held, low, dropped, revision = self.about.get() if self.about.exists() else (0, _NULL, 0, 0)
+        fresh: dict[int, list[tuple]] = {}
+        late = 0
+        for i, s, v in zip(new["iteration"].tolist(), new["seq"].tolist(), new["value"].tolist(), strict=True):
+            k = i // self.SPAN
+            if k < low:
+                late += 1
+            else:
+                fresh.setdefault(k, []).append((i, s, v, True))
+        keys = sorted({k for (k,) in self.buckets.keys()} | fresh.keys()) if self.buckets.exists() else sorted(fresh)
+        loaded: dict[int, list[tuple]] = {}
+
+        def load(at: int) -> list[tuple]:
+            k = keys[at]
+            if k not in loaded:
+                loaded[k] = sorted(self._bucket(k) + fresh.get(k, []), key=lambda r: (r[0], r[1], r[2] != r[2], r[2]))
+            return loaded[k]
+
+        # around each changed bucket, so many others that every window of a changed row is there
+        near: list[list[int]] = []
+        for k in sorted(fresh):
+            at = bisect_left(keys, k)
+            load(at)
+            a, n = at, 0
+            while a and n < self.n - 1:
+                a -= 1
+                n += len(load(a))
+            b, n = at + 1, 0
+            while b < len(keys) and n < self.n - 1:
+                n += len(load(b))
+                b += 1
+            if near and a <= near[-1][1]:
+                near[-1][1] = max(near[-1][1], b)
+            else:
+                near.append([a, b])
         out = []
-        whole = ((int(frame), part[BOX].to_numpy()) for frame, part in ready.groupby("frame", sort=True))
-        for frame, ids, shown in fold(whole, tracks):
-            out += [(key[0], frame, i, *b) for i, b in zip(ids.tolist(), shown.tolist(), strict=True)]
-        if dropped:
-            out.append((key[0], -1, late, 0.0, 0.0, 0.0, 0.0))
-        state.update((pickle.dumps((tracks, held, late)),))
-        yield pd.DataFrame(out, columns=["camera_id", "frame", "track_id", *BOX])
+        for a, b in near:
+            line = [r for at in range(a, b) for r in load(at)]
+            values = pd.Series([r[2] for r in line], dtype=float)
+            last = values.rolling(self.n, min_periods=1)
+            median, mean = last.median().to_numpy(), last.mean().to_numpy()
+            since = self.n
+            for r, m, e in zip(line, median.tolist(), mean.tolist(), strict=True):
+                since = 0 if r[3] else since + 1
+                if since < self.n:
+                    out.append((key[0], r[0], r[1], r[2], m, e, revision + 1))
+        for k in fresh:
+            i, s, v, _ = zip(*loaded[k], strict=True)
+            self.buckets.updateValue((k,), (list(i), list(s), [None if x != x else x for x in v]))
+        held += sum(map(len, fresh.values()))
+        while len(keys) > 1 and held - (size := len(load(0))) >= self.keep:
+            self.buckets.removeKey((keys.pop(0),))
+            held, low = held - size, keys[0]
+        if late:
+            out.append((key[0], -1, dropped + late, np.nan, np.nan, np.nan, revision + 1))
+        self.about.update((held, low, dropped + late, revision + 1))
+        yield pd.DataFrame(out, columns=["name", "iteration", "seq", "value", "median", "mean", "revision"])
+
+    def close(self) -> None:
+        pass
 
-    flush = F.col("flush") if "flush" in dets.columns else F.lit(False)
-    rows = dets.select("camera_id", "frame", "det_id", *BOX, flush.alias("flush"))
-    rows = rows.filter("flush").unionByName(sound(rows.filter("NOT flush")))
-    return rows.groupBy("camera_id").applyInPandasWithState(run, TRACK, "state binary", "append", GroupStateTimeout.NoTimeout)
 
+def rolling_stream(metrics: DataFrame, n: int = 20, keep: int = 1_000_000) -> DataFrame:
+    """With each row the median and mean of the last n of its name in order of iteration and seq, as `rolling` has them.
+
+    Rows may come in any order: a late one is put in its place, and it and the up to n - 1 rows
+    after it are given out (again) with a higher `revision`; see `revised`. The newest `keep`
+    rows of a name (at least, in whole buckets of iterations) are state, of which a micro-batch reads and writes what it
+    touches; a row older than those is dropped and counted: a row with iteration -1 has
+    the number so far as seq. Null and NaN values count for nothing; a null name is a series of its own.
+    """
+    rows = metrics.select("name", _or_null("iteration"), _or_null("seq"), F.col("value").cast("double").alias("value"))
+    out = _stateful(rows, "name", _Series(n, keep), "name string, iteration long, seq long, value double, median double, mean double, revision long")
+    real = lambda c: F.when(F.col(c) != _NULL, F.col(c)).alias(c)
+    return out.select("name", real("iteration"), real("seq"), "value", "median", "mean", "revision")
 
-def rolling_stream(metrics: DataFrame, n: int = 20) -> DataFrame:
-    """With each row the median and mean of the last n of its name. State: the last n - 1 values of each name."""
 
-    def run(key, frames, state):
-        past = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["iteration", "seq"])
-        values = pd.Series(past + rows["value"].tolist(), dtype=float)
-        last = values.rolling(n, min_periods=1)
-        rows["median"], rows["mean"] = last.median().to_numpy()[len(past) :], last.mean().to_numpy()[len(past) :]
-        state.update((values.tolist()[-(n - 1) :] if n > 1 else [],))
-        yield rows[["name", "iteration", "seq", "value", "median", "mean"]]
+def revised(out: DataFrame) -> DataFrame:
+    """What `rolling_stream` has given out so far (as a table), the last revision of each row; rows of a name differ in iteration or seq."""
+    rest = F.struct("revision", "value", "median", "mean")
+    rows = out.filter("iteration IS NULL OR iteration <> -1").groupBy("name", "iteration", "seq").agg(F.max(rest).alias("r"))
+    return rows.select("name", "iteration", "seq", "r.value", "r.median", "r.mean")
 
-    rows = metrics.select("name", "iteration", "seq", "value")
-    return rows.groupBy("name").applyInPandasWithState(run, "name string, iteration long, seq long, value double, median double, mean double", "past array<double>", "append", GroupStateTimeout.NoTimeout)
+
+class _Bank(StatefulProcessor):
+    """A ring of vectors: row number `place` of a bank is in slot place % size."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.next = handle.getValueState("next", "place long")
+        self.slots = handle.getMapState("slots", "slot int", "place long, vec_id long, label int, embedding array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values("vec_id", kind="stable")
+        place = self.next.get()[0] if self.next.exists() else 0
+        past = place + len(new)
+        new = new.tail(self.size)  # what a whole turn overwrites is not written
+        new.insert(1, "place", np.arange(past - len(new), past))
+        for p, v, label, e in zip(new["place"].tolist(), new["vec_id"].tolist(), new["label"].tolist(), new["embedding"], strict=True):
+            self.slots.updateValue((p % self.size,), (p, v, label, np.asarray(e, dtype=float).tolist()))
+        self.next.update((past,))
+        yield new[["bank", "place", "vec_id", "label", "embedding"]]
+
+    def close(self) -> None:
+        pass
 
 
 def bank_stream(features: DataFrame, size: int = 8192) -> DataFrame:
-    """The newest `size` vectors (unit length) of each bank, given out whole after each micro-batch (update mode)."""
-
-    def run(key, frames, state):
-        rows = pd.concat(list(frames))
-        vec = np.stack(rows["embedding"].to_numpy()).astype(float)
-        vec = vec / np.maximum(np.linalg.norm(vec, axis=1, keepdims=True), 1e-12)
-        new = pd.DataFrame({"vec_id": rows["vec_id"].to_numpy(), "label": rows["label"].to_numpy(), "embedding": list(vec)})
-        old = pickle.loads(state.get[0]) if state.exists else new.iloc[:0]
-        held = pd.concat([old, new]).sort_values("vec_id").tail(size)
-        state.update((pickle.dumps(held),))
-        held.insert(0, "bank", key[0])
-        yield held
-
-    rows = features.select("bank", "vec_id", "label", "embedding")
-    return rows.groupBy("bank").applyInPandasWithState(run, "bank int, vec_id long, label int, embedding array<double>", "held binary", "update", GroupStateTimeout.NoTimeout)
+    """Bank, place, vec_id, label, embedding (unit length): vectors as they enter their bank, which holds the newest `size`.
+
+    place counts a bank's vectors in order of micro-batches, and of vec_id within one; the bank is what has the last `size`
+    places (see `banked`), and is in the state's variable `slots` too, of which a micro-batch writes its own slots alone.
+    Null vectors, those with a null entry, and rows with a null vec_id or label are left out.
+    """
+    e = F.col("embedding").cast("array<double>")
+    sound = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull()) & F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("bank").isNotNull()
+    norm = F.greatest(F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-12))
+    unit = F.transform(e, lambda x: x / norm).alias("embedding")
+    rows = features.filter(sound).select(F.col("bank").cast("int").alias("bank"), F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("int").alias("label"), unit)
+    return _stateful(rows, "bank", _Bank(size), "bank int, place long, vec_id long, label int, embedding array<double>")
+
+
+def banked(entered: DataFrame, size: int = 8192) -> DataFrame:
+    """What each bank holds after all that `bank_stream` has given out (as a table)."""
+    past = entered.groupBy("bank").agg(F.max("place").alias("last"))
+    return entered.join(past, "bank").filter(F.col("place") > F.col("last") - size).drop("last")
 
 
 def write_lines(lines: DataFrame, path: str, checkpoint: str):

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -196,12 +197,64 @@ def test_tracks_by_camera(spark, sf_dir, tmp_path):
     assert S.read_detections(spark, f"{tmp_path}/dets", stream=True).isStreaming
 
 
+BANK = "bank int, vec_id long, label int, embedding array<double>"
+
+
 def test_bank_stream_keeps_the_newest(spark):
-    df = spark.createDataFrame([(k % 2, k, 0, [float(k + 1), 0.0]) for k in range(20)], "bank int, vec_id long, label int, embedding array<double>")
-    q = W.bank_stream(catalog.streamed(df, 2, "vec_id", "bank"), size=3).writeStream.outputMode("update").format("memory").queryName("bank").trigger(availableNow=True).start()
-    q.awaitTermination()
-    rows = spark.table("bank").collect()
-    assert {r.vec_id for r in rows if r.bank == 1} >= {15, 17, 19} and all(r.embedding[0] == 1.0 for r in rows)
+    df = spark.createDataFrame([(k % 2, k, 0, [float(k + 1), 0.0]) for k in range(20)], BANK)
+    entered = catalog.finished(W.bank_stream(catalog.streamed(df, 2, "vec_id", "bank"), size=3), "bank")
+    rows = W.banked(entered, 3).collect()
+    assert {r.vec_id for r in rows if r.bank == 1} == {15, 17, 19} and {r.vec_id for r in rows if r.bank == 0} == {14, 16, 18}
+    assert all(list(r.embedding) == [1.0, 0.0] for r in rows)
+
+
+def run_parts(spark, stream, parts, schema, checkpoint=None):
+    """All rows that a stream gives for parts, each a micro-batch, as a table; and the checkpoint."""
+    at, checkpoint = catalog.new_folder(spark, "parts"), checkpoint or catalog.new_folder(spark, "state")
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(at)
+        time.sleep(0.02)
+    out = stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at))
+    out.writeStream.format("parquet").option("path", f"{checkpoint}-out").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{checkpoint}-out"), checkpoint
+
+
+def test_bank_stream_leaves_nulls_out_and_writes_its_own_slots(spark):
+    odd = [(0, 100, 1, None), (0, 101, 1, [None, 1.0]), (0, None, 1, [1.0, 1.0]), (None, 102, 1, [1.0, 1.0]), (0, 103, None, [1.0, 1.0])]
+    parts = [[(0, k, k, [3.0, 4.0 + k]) for k in range(10)], odd, [(0, 7, 99, [0.0, 0.0]), *odd], [(0, k, k, [1.0, 1.0]) for k in range(20, 50)]]
+    entered, checkpoint = run_parts(spark, lambda s: W.bank_stream(s, 6), parts, BANK)
+    # all of a part that fits, and of a part of 30 the last 6
+    assert sorted((r.place, r.vec_id) for r in entered.collect()) == [*((k, k) for k in range(4, 10)), (10, 7), *((k + 11 + 24, k + 44) for k in range(6))]
+    slots = spark.read.format("statestore").option("stateVarName", "slots").load(checkpoint).select("user_map_key.slot", "user_map_value.*").collect()
+    assert sorted((r.slot, r.place, r.vec_id) for r in slots) == sorted((p % 6, p, v) for p, v in ((35 + k, 44 + k) for k in range(6)))
+    assert {(r.place, r.vec_id) for r in W.banked(entered, 6).collect()} == {(r.place, r.vec_id) for r in slots}
+
+
+def test_rolling_stream_places_late_rows(spark):
+    rng = random.Random(3)
+    rows = [(n, i, 10 * i + k, float(rng.randrange(50)) if rng.random() > 0.1 else None) for n in ("a", "b", None) for i in range(900) for k in range(rng.randrange(3))]
+    rows += [("a", None, s, 1.0) for s in (2, 1)] + [("b", 4, None, 2.0)]
+    schema = "name string, iteration long, seq long, value double"
+    want = H.rolling(spark.createDataFrame(rows, schema), 5)
+    want = sorted((str(r.name), str(r.iteration), str(r.seq), str(r.value), str(r["median"]), f"{r['mean'] or 0:.9f}") for r in want.collect())
+    for seed in (1, 2):
+        mixed = list(rows)
+        random.Random(seed).shuffle(mixed)
+        cuts = [0, 40, 45, 1200, len(mixed)]
+        out, _ = run_parts(spark, lambda s: W.rolling_stream(s, 5), [mixed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)], schema)
+        got = W.revised(out).collect()
+        assert sorted((str(r.name), str(r.iteration), str(r.seq), str(r.value), str(r["median"]), f"{r['mean'] or 0:.9f}") for r in got) == want
+
+
+def test_rolling_stream_is_bounded(spark):
+    schema = "name string, iteration long, seq long, value double"
+    parts = [[("a", i, 0, float(i)) for i in range(a, a + 1000)] for a in range(0, 5000, 1000)]
+    out, checkpoint = run_parts(spark, lambda s: W.rolling_stream(s, 5, keep=600), [*parts, [("a", 10, 1, 9.0), ("a", 4990, 1, 9.0)]], schema)
+    held = spark.read.format("statestore").option("stateVarName", "buckets").load(checkpoint).select(F.size("user_map_value.seq").alias("n")).collect()
+    assert 600 <= sum(r.n for r in held) < 600 + W._Series.SPAN + 2
+    assert [r.seq for r in out.filter("iteration = -1").collect()] == [1]
+    # of the last part the late row and the rows whose windows hold it are given out
+    assert sorted((r.iteration, r.seq) for r in out.filter("revision = 6 AND iteration >= 0").collect()) == [(4990, 0 + 1), *((i, 0) for i in range(4991, 4995))]
 
 
 def test_lines_are_written_once(spark, tmp_path):

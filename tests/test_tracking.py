@@ -2,6 +2,8 @@
 
 import itertools
 import random
+import time
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from pathline.operators import detections as P
 from pathline.operators import tracking as T
 from pathline.plans import catalog
+from pathline.streaming.online import track_stream
 
 DET = "det_id long, camera_id int, frame int, x1 double, y1 double, x2 double, y2 double"
 
@@ -163,18 +166,114 @@ def test_stream_gives_the_same(spark, sf_dir):
 
 
 def test_stream_drops_late_frames(spark):
-    from pathline.streaming.online import track_stream
-
     rows = [(1, 0, 1, 0.0, 0.0, 9.0, 9.0), (2, 0, 2, 0.0, 0.0, 9.0, 9.0), (3, 0, 3, 0.0, 0.0, 9.0, 9.0)]
-    first, late = spark.createDataFrame(rows, DET), spark.createDataFrame([(9, 0, 1, 5.0, 5.0, 8.0, 8.0), (10, 0, 5, 0.0, 0.0, 9.0, 9.0)], DET)
-    at = catalog.new_folder(spark, "late")
-    for part in (first, late):
-        part.coalesce(1).write.mode("append").parquet(at)
-    out = catalog.finished(track_stream(spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(at)), "late-out").collect()
+    late = [(9, 0, 1, 5.0, 5.0, 8.0, 8.0), (10, 0, 5, 0.0, 0.0, 9.0, 9.0)]
+    out = online(spark, [rows, late], DET)
     assert [r.track_id for r in out if r.frame == -1] == [1]
     assert {r.frame for r in out if r.frame > 0} == {1, 2, 3}
 
 
+TIMED = DET + ", ts timestamp"
+
+
+def moved(n=40, cameras=(0, 1), stop=None, start=1):
+    """Two boxes of each camera over n frames, one a second; camera `stop[0]` falls silent after frame `stop[1]`."""
+    at = lambda f: datetime(2024, 1, 1) + timedelta(seconds=f)
+    rows = []
+    for f in range(start, n + 1):
+        for c in cameras:
+            if stop is None or c != stop[0] or f <= stop[1]:
+                rows += [(1000 * c + 10 * f + k, c, f, 30.0 * k + f, 5.0, 30.0 * k + f + 20, 40.0, at(f)) for k in (0, 1)]
+    return rows
+
+
+def clock(frame, seconds):
+    return (None, None, frame, None, None, None, None, datetime(2024, 1, 1) + timedelta(seconds=seconds))
+
+
+def parts_of(spark, parts, schema, at=None):
+    """Each part as a file, in order of time."""
+    at = at or catalog.new_folder(spark, "parts")
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(at)
+        time.sleep(0.02)
+    return at
+
+
+def online(spark, parts, schema, delay=None, at=None, checkpoint=None):
+    """All rows that the stream gives for parts, each a micro-batch; a checkpoint goes on where it stopped."""
+    at = parts_of(spark, parts, schema, at)
+    stream = track_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(at), delay=delay)
+    checkpoint = checkpoint or catalog.new_folder(spark, "state")
+    out = f"{checkpoint}-out"
+    q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out).collect()
+
+
+def key(rows):
+    return sorted(tuple(r) for r in rows)
+
+
+def test_idle_camera_is_closed_by_the_watermark(spark):
+    rows = moved(stop=(1, 12))
+    want = key(T.track(spark.createDataFrame(rows, TIMED)).collect())
+    cut = [[r for r in rows if a <= r[2] < b] for a, b in ((1, 12), (12, 25), (25, 41))]
+    # camera 0 goes on and moves the time, so the last frame of camera 1 comes; its own last one waits
+    out = key(online(spark, cut, TIMED, delay="5 seconds"))
+    assert out == [r for r in want if not (r[0] == 0 and r[1] == 40)]
+    assert any(r[0] == 1 and r[1] == 12 for r in out)
+    # time alone closes the rest: no flush
+    assert key(online(spark, [*cut, [clock(0, 100)]], TIMED, delay="5 seconds")) == want
+    # without a delay the silent camera waits
+    assert not any(r[0] == 1 and r[1] == 12 for r in key(online(spark, cut, TIMED)))
+
+
+def test_rows_behind_the_watermark_are_counted(spark):
+    rows = moved(20)
+    late = [(1, 0, 3, 0.0, 0.0, 9.0, 9.0, datetime(2024, 1, 1)), (2, 0, 4, 0.0, 0.0, 9.0, 9.0, None), (3, 1, 20, 0.0, 0.0, 9.0, 9.0, datetime(2024, 1, 1))]
+    out = online(spark, [rows, [clock(0, 500)], late], TIMED, delay="1 second")
+    assert {(r.camera_id, r.track_id) for r in out if r.frame == -1} == {(0, 2), (1, 1)}
+    assert key(r for r in out if r.frame > 0) == key(T.track(spark.createDataFrame(rows, TIMED)).collect())
+
+
+def test_stream_goes_on_from_its_checkpoint(spark):
+    rows = moved(30, stop=(1, 20))
+    at, checkpoint = catalog.new_folder(spark, "parts"), catalog.new_folder(spark, "state")
+    for a, b in ((1, 9), (9, 10), (10, 31)):  # each a query of its own
+        online(spark, [[r for r in rows if a <= r[2] < b]], TIMED, "3 seconds", at, checkpoint)
+    out = online(spark, [[clock(0, 900)]], TIMED, "3 seconds", at, checkpoint)
+    assert key(out) == key(T.track(spark.createDataFrame(rows, TIMED)).collect())
+    state = spark.read.format("statestore").option("stateVarName", "tracks").load(checkpoint)
+    assert {"pos", "vel", "cov", "hits"} <= set(state.select("list_element.*").columns) and state.count() > 0
+
+
+def test_stream_with_null_ids_and_unsound_rows_as_in_batch(spark):
+    nan = float("nan")
+    rows = [(None, 0, f, 20.0 * k, 0.0, 20.0 * k + 15, 30.0) for f in range(1, 7) for k in range(6)]
+    odd = [(5, None, 2, 0.0, 0.0, 9.0, 9.0), (6, 0, None, 0.0, 0.0, 9.0, 9.0), (7, 0, 0, 0.0, 0.0, 9.0, 9.0), (8, 0, 3, nan, 0.0, 9.0, 9.0), (9, 0, 3, None, 0.0, 9.0, 9.0)]
+    every = rows + odd
+    want = key(T.track(spark.createDataFrame(every, DET)).collect())
+    assert len(want) == 36
+    out = online(spark, [every[::2], every[1::2], [(1, 0, 99, 0.0, 0.0, 1.0, 1.0)]], DET)
+    # frames that a later one has closed are late in the second part; the newest is still open
+    assert [r.track_id for r in out if r.frame == -1] == [15]
+    whole = online(spark, [[r for r in every if r[2] != 6], [r for r in every if r[2] == 6], [(1, 0, 99, 0.0, 0.0, 1.0, 1.0)]], DET)
+    assert key(r for r in whole if r.frame > 0) == want
+
+
+def test_saved_tracks_go_on_alike():
+    rng = np.random.default_rng(4)
+    a, b = T.Tracks(T.Tracking()), None
+    for f in range(1, 25):
+        boxes = np.stack([[x, 0, x + 20, 40 + k] for k, x in enumerate(rng.normal(size=5) * 2 + np.arange(5) * 30 + f)])
+        b_before = T.Tracks(T.Tracking())
+        b_before.restore(a.frame, a.born, a.save())
+        ids, shown = a.step(f, boxes)
+        b_ids, b_shown = b_before.step(f, boxes)
+        assert (ids == b_ids).all() and (shown == b_shown).all() and a.save() == b_before.save()
+
+
 def test_summary_and_assignment_tables(spark):
     d = spark.createDataFrame([(1, 0, 1, 0.0, 0.0, 9.0, 9.0), (2, 0, 1, 50.0, 0.0, 59.0, 9.0)], DET)
     t = spark.createDataFrame([(0, 1, 7, 1.0, 0.0, 10.0, 9.0), (0, 1, 8, 90.0, 0.0, 99.0, 9.0), (1, 1, 9, 0.0, 0.0, 1.0, 1.0)], "camera_id int, frame int, track_id long, x1 double, y1 double, x2 double, y2 double")
