@@ -1,19 +1,21 @@
 """Benchmark decontamination: an FM-index for each training shard, searched for test phrases.
 
-A shard is some megabytes of documents in one task. Its words are numbered by the
-vocabulary of the phrases; stretches of such words, long enough for a phrase, make up the
-indexed sequence, and anything else is a separator. Each phrase is searched backwards
-through wavelet ranks, places come from sampled suffix positions, and the places of a
-document are merged into removal spans. Shards are independent: no shuffle.
+A shard is some megabytes of documents in one task. Words that some phrase of the pass has are
+numbered; stretches of such words, long enough for a phrase, make up the indexed sequence, and
+anything else is a separator. The shard is indexed once; the phrases of every block of the
+benchmark are put into its numbers (one with a word, or two words side by side, that the shard
+lacks cannot occur) and searched backwards through wavelet ranks. Places come from sampled suffix positions, and the
+places of a document are merged into removal spans. Shards are independent: no shuffle.
 
 Phrases travel in blocks of checked size. A pass over the documents searches for so many
-blocks that their tables fit in a worker; a benchmark beyond one pass takes further ones,
-and the spans of all are merged.
+blocks that their tables fit in a worker; a benchmark beyond one pass takes further ones, each
+of which writes what it hits before its blocks are given up, and the spans of all are merged.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pathline.llm.fmindex import FMIndex
 from pathline.llm.words import LETTERS, Words, hashes, pieces, words_of
 
 WIDTH = 10
-#: Benchmark text of a block. A window takes 40 bytes and 16 for each of its items, so a block has some 20 MB.
+#: Benchmark text of a block. A word takes 12 bytes, a window 5 and 12 for each of its items, so a block has some 8 MB.
 BLOCK_BYTES = 2 << 20
 #: Blocks that go to all executors for one pass.
 PASS_BLOCKS = 12
@@ -34,43 +36,62 @@ PASS_BLOCKS = 12
 BROADCAST_TEXTS = 100_000
 
 
+@dataclass
 class Phrases:
-    """Windows of the items: rows of word numbers (from 1), their sizes, and the items of each."""
-
-    def __init__(self, items: list[tuple[int, str]], width: int = WIDTH):
-        self.width = width
-        w = words_of(pa.array([t for _, t in items], type=pa.large_string()), LETTERS, lower=True)
-        self.words, numbers = np.unique(hashes(w), return_inverse=True)
-        n = np.diff(w.first)
-        windows = np.where(n > 0, np.maximum(1, n - width + 1), 0)
-        item = np.repeat(np.arange(len(items)), windows)
-        start = w.first[item] + np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
-        size = np.minimum(width, n[item])
-        rows = np.zeros((len(item), width), dtype=np.int32)
-        for k in range(width):
-            has = k < size
-            rows[has, k] = numbers[start[has] + k] + 1
-        self.rows, phrase = np.unique(rows, axis=0, return_inverse=True)
-        self.sizes = np.count_nonzero(self.rows, axis=1)
-        ids = np.array([i for i, _ in items], dtype=np.int64)
-        pairs = np.unique(np.stack([phrase.ravel(), ids[item]], axis=1), axis=0) if len(item) else np.zeros((0, 2), dtype=np.int64)
-        self.items = pairs[:, 1]
-        self.first = np.searchsorted(pairs[:, 0], np.arange(len(self.rows) + 1))
-
-
-def stretches(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
+    """A block: distinct windows of its items as places in the block's sequence of word numbers (from 1)."""
+
+    words: np.ndarray  # hashes of its distinct words, sorted
+    numbers: np.ndarray  # of its words, in order
+    start: np.ndarray  # of each window, in numbers
+    sizes: np.ndarray
+    items: np.ndarray  # ids of window p: items[first[p] : first[p + 1]]
+    first: np.ndarray
+
+
+def phrases_of(items: list[tuple[int, str]], width: int = WIDTH) -> Phrases:
+    w = words_of(pa.array([t for _, t in items], type=pa.large_string()), LETTERS, lower=True)
+    words, numbers = np.unique(hashes(w), return_inverse=True)
+    n = np.diff(w.first)
+    windows = np.where(n > 0, np.maximum(1, n - width + 1), 0)
+    item = np.repeat(np.arange(len(items)), windows)
+    start = w.first[item] + np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
+    size = np.minimum(width, n[item])
+    rows = np.zeros((len(item), width), dtype=np.int32)
+    for k in range(width):
+        has = k < size
+        rows[has, k] = numbers[start[has] + k] + 1
+    _, at, phrase = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+    ids = np.array([i for i, _ in items], dtype=np.int64)
+    pairs = np.unique(np.stack([phrase.ravel(), ids[item]], axis=1), axis=0) if len(item) else np.zeros((0, 2), dtype=np.int64)
+    first = np.searchsorted(pairs[:, 0], np.arange(len(at) + 1)).astype(np.int32)
+    return Phrases(words, (numbers + 1).astype(np.int32), start[at].astype(np.int32), size[at].astype(np.int8), pairs[:, 1], first)
+
+
+class Pass:
+    """Blocks that are searched for together: their words are numbered in common."""
+
+    def __init__(self, blocks: list[Phrases]):
+        self.words = np.unique(np.concatenate([b.words for b in blocks])) if blocks else np.zeros(0, dtype=np.uint64)
+        self.blocks = blocks
+        for b in blocks:
+            common = np.append(0, np.searchsorted(self.words, b.words) + 1).astype(np.int32)
+            b.numbers, b.words = common[b.numbers], b.words[:0]
+        self.shortest = min((int(b.sizes.min()) for b in blocks if len(b.sizes)), default=0)
+
+
+def stretches(words: Words, known_words: np.ndarray, shortest: int) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, number of the word of each): runs of known words of one text, each followed by a separator."""
     h = hashes(words)
-    at = np.searchsorted(phrases.words, h)
-    at[at == len(phrases.words)] = 0
-    known = np.flatnonzero(phrases.words[at] == h) if len(phrases.words) else np.zeros(0, dtype=np.int64)
+    at = np.searchsorted(known_words, h)
+    at[at == len(known_words)] = 0
+    known = np.flatnonzero(known_words[at] == h) if len(known_words) else np.zeros(0, dtype=np.int64)
     if not len(known):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     text = np.searchsorted(words.first, known, "right")
     begins = np.concatenate([[True], (np.diff(known) > 1) | (np.diff(text) > 0)])
     run = np.cumsum(begins) - 1
     size = np.bincount(run)
-    long = size[run] >= phrases.sizes.min()
+    long = size[run] >= shortest
     known, run = known[long], run[long]
     if not len(known):
         return known, known
@@ -81,42 +102,64 @@ def stretches(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
     return symbols, number
 
 
-def find(words: Words, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, number of words, phrase) of every occurrence of every phrase."""
-    nothing = np.zeros(0, dtype=np.int64)
-    symbols, number = stretches(words, phrases) if len(phrases.sizes) else (nothing, nothing)
-    if not len(symbols):
-        return nothing, nothing, nothing
-    index = FMIndex(symbols)
-    lo, hi = index.search(phrases.rows, phrases.sizes)
-    n = np.maximum(hi - lo, 0)
-    phrase = np.repeat(np.arange(len(n)), n)
-    rows = np.arange(len(phrase)) - np.repeat(np.cumsum(n) - n, n) + lo[phrase]
-    return number[index.locate(rows)], phrases.sizes[phrase], phrase
+#: Places of a table that says which words stand side by side in a shard.
+_PAIRS = 1 << 22
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(42)
 
 
-def search_texts(texts: pa.Array, phrases: Phrases) -> Iterator[tuple[int, list[list[int]], list[list[int]], list[int]]]:
+def find(words: Words, sent: Pass) -> Iterator[tuple[Phrases, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block with occurrences (block, first word, number of words, phrase) of every one of them."""
+    if not sent.shortest:
+        return
+    symbols, number = stretches(words, sent.words, sent.shortest)
+    if not len(symbols):
+        return
+    here, symbols = np.unique(np.append(0, symbols), return_inverse=True)  # the shard's own numbers; 0 stays 0
+    index = FMIndex(symbols[1:])
+    seen = np.zeros(_PAIRS, dtype=bool)
+    seen[_pair(symbols[1:-1], symbols[2:])] = True
+    own = np.zeros(len(sent.words) + 1, dtype=np.int32)
+    own[here] = np.arange(len(here))
+    for block in sent.blocks:
+        flat = own[block.numbers]
+        lacking = np.concatenate([[0], np.cumsum(flat == 0)])
+        apart = np.concatenate([[0], np.cumsum(~seen[_pair(flat[:-1], flat[1:])])])
+        able = (lacking[block.start + block.sizes] == lacking[block.start]) & (apart[block.start + block.sizes - 1] == apart[block.start])
+        able = np.flatnonzero(able)
+        lo, hi = index.search(flat, block.start[able], block.sizes[able])
+        n = np.maximum(hi - lo, 0)
+        if n.any():
+            some = np.repeat(np.arange(len(n)), n)
+            rows = np.arange(len(some)) - np.repeat(np.cumsum(n) - n, n) + lo[some]
+            phrase = able[some]
+            yield block, number[index.locate(rows)], block.sizes[phrase].astype(np.int64), phrase
+
+
+def search_texts(texts: pa.Array, sent: Pass) -> Iterator[tuple[int, list[list[int]], list[list[int]], list[int]]]:
     """For each text (number of words, merged spans of words, the same in bytes of UTF-8, item ids)."""
     for i, j in pieces(texts):
         w = words_of(texts.slice(i, j - i), LETTERS, lower=True)
-        start, size, phrase = find(w, phrases)
         counts = np.diff(w.first).tolist()
         spans: dict[int, list] = {}
         items: dict[int, set] = {}
-        if len(start):
-            depth = np.zeros(len(w.start) + 1, dtype=np.int64)
+        text_of = lambda k, w=w: np.searchsorted(w.first, k, "right") - 1
+        depth = np.zeros(len(w.start) + 1, dtype=np.int64)
+        for block, start, size, phrase in find(w, sent):
             np.add.at(depth, start, 1)
             np.add.at(depth, start + size, -1)
+            for t, p in set(zip(text_of(start).tolist(), phrase.tolist(), strict=True)):
+                items.setdefault(t, set()).update(block.items[block.first[p] : block.first[p + 1]].tolist())
+        if items:
             inside = np.concatenate([[0], np.cumsum(depth)[:-1] > 0, [0]]).astype(np.int8)
-            text_of = lambda k: np.searchsorted(w.first, k, "right") - 1
             edge = np.zeros(len(w.start) + 1, dtype=bool)
             edge[w.first] = True
             a = np.flatnonzero((inside[1:] == 1) & ((inside[:-1] == 0) | edge[: len(inside) - 1]))
             b = np.flatnonzero((inside[:-1] == 1) & ((inside[1:] == 0) | edge[: len(inside) - 1]))
             for t, x, y in zip(text_of(a).tolist(), a.tolist(), b.tolist(), strict=True):
                 spans.setdefault(t, []).append((x, y))
-            for t, p in set(zip(text_of(start).tolist(), phrase.tolist(), strict=True)):
-                items.setdefault(t, set()).update(phrases.items[phrases.first[p] : phrases.first[p + 1]].tolist())
         sizes = np.asarray(pc.fill_null(pc.binary_length(texts.slice(i, j - i)), 0))
         offset = np.cumsum(sizes) - sizes
         for t, n in enumerate(counts):
@@ -134,30 +177,77 @@ def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, width: int =
     n = max(1, -(-total // block_bytes))
     for k in range(n):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        yield Phrases([(r.item_id, r.text) for r in part.collect()], width)
+        yield phrases_of([(r.item_id, r.text) for r in part.collect()], width)
 
 
-def passes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, width: int = WIDTH) -> Iterator[list]:
-    """Blocks of the benchmark at all executors, so many at a time as one pass over documents searches for."""
+def passes(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, width: int = WIDTH) -> Iterator[Pass]:
+    """Blocks of the benchmark, so many at a time as one pass over documents searches for; a pass is made when it is asked for."""
     held = []
     for phrases in blocks_of(benchmark, block_bytes, width):
-        held.append(benchmark.sparkSession.sparkContext.broadcast(phrases))
+        held.append(phrases)
         if len(held) == PASS_BLOCKS:
-            yield held
+            yield Pass(held)
             held = []
     if held:
-        yield held
+        yield Pass(held)
+
 
+_SPAN = pa.list_(pa.struct([(c, pa.int64()) for c in ("first", "past", "start", "end")]))
+_HITS = "spans array<struct<first:long,past:long,start:long,end:long>>, items array<long>"
 
-def _all_blocks(texts: pa.Array, blocks: list) -> tuple[list[int], list[list], list[set]]:
+
+def _found(texts: pa.Array, sent) -> tuple[list[int], list[list], list[list]]:
     """For each text its number of words, merged spans (first word, past the last, first byte, past the last) and items."""
-    counts, spans, items = [0] * len(texts), [[] for _ in range(len(texts))], [set() for _ in range(len(texts))]
-    for phrases in blocks:
-        for k, (n, of_words, of_bytes, ids) in enumerate(search_texts(texts, phrases.value)):
-            counts[k] = n
-            spans[k] += [(*x, *y) for x, y in zip(of_words, of_bytes, strict=True)]
-            items[k].update(ids)
-    return counts, [joined(s) for s in spans], items
+    n, of_words, of_bytes, items = zip(*search_texts(texts, sent.value), strict=True) if len(texts) else ([],) * 4
+    return list(n), [[(*x, *y) for x, y in zip(a, b, strict=True)] for a, b in zip(of_words, of_bytes, strict=True)], list(items)
+
+
+def _as_rows(spans: list[list]) -> pa.Array:
+    return pa.array([[dict(zip(("first", "past", "start", "end"), x, strict=True)) for x in s] for s in spans], type=_SPAN)
+
+
+def _hits(docs: DataFrame, every: Iterator[Pass]) -> DataFrame:
+    """digest (of the text), spans, items of all passes, for texts that are hit: equal texts have equal hits.
+
+    A pass writes its hits alone, and its blocks leave the executors before the next one's come.
+    """
+    texts = docs.select(F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").withColumn("digest", F.sha2("text", 256))
+    hits = None
+    for sent in every:
+        at_all = docs.sparkSession.sparkContext.broadcast(sent)
+
+        def search(batches, sent=at_all):
+            for batch in batches:
+                _, spans, items = _found(batch.column("text"), sent)
+                some = [k for k, s in enumerate(spans) if s]
+                digests = batch.column("digest").take(pa.array(some, type=pa.int64()))
+                yield pa.RecordBatch.from_arrays([digests, _as_rows([spans[k] for k in some]), pa.array([items[k] for k in some], type=pa.list_(pa.int64()))], ["digest", "spans", "items"])
+
+        part = settle(texts.mapInArrow(search, f"digest string, {_HITS}"), "pass")
+        at_all.destroy()
+        hits = part if hits is None else hits.union(part)
+    return settle(hits.groupBy("digest").agg(F.flatten(F.collect_set("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")), "hits")
+
+
+def _with_hits(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """docs (text and others) with spans and items, null where nothing is hit."""
+    few = hits.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
+    return docs.withColumn("digest", F.sha2("text", 256)).join(F.broadcast(hits) if few else hits, "digest", "left").drop("digest")
+
+
+def _first_passes(benchmark: DataFrame, block_bytes: int, width: int) -> tuple[Pass | None, Iterator[Pass]]:
+    """(the only pass, all) or (None, all) where there are several, of which no two are held at a time."""
+    every = passes(benchmark, block_bytes, width)
+    first = next(every)
+    second = next(every, None)
+
+    def all_passes():
+        yield first
+        if second is not None:
+            yield second
+        yield from every
+
+    return (first if second is None else None), all_passes()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES, width: int = WIDTH) -> DataFrame:
@@ -165,50 +255,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
 
     A null text has no words. Repeated rows are searched one by one.
     """
+    texts = texts_of(docs)
+    only, every = _first_passes(benchmark, block_bytes, width)
     span = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))
-    texts = texts_of(docs).withColumn("key", F.xxhash64("text"))
-    parts = []
-    for blocks in passes(benchmark, block_bytes, width):
 
-        def run(batches, blocks=blocks):
+    def answer(batch, counts, spans, items):
+        words = pa.array([[{"first": s[0], "past": s[1]} for s in one] for one in spans], type=span)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, type=pa.int64()), words, pa.array(items, type=pa.list_(pa.int64()))], ["doc_id", "n_words", "spans", "items"])
+
+    schema = "doc_id long, n_words long, spans array<struct<first:long,past:long>>, items array<long>"
+    if only is not None:
+        sent = docs.sparkSession.sparkContext.broadcast(only)
+
+        def run(batches):
             for batch in batches:
-                counts, spans, items = _all_blocks(batch.column("text"), blocks)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"),
-                        batch.column("key"),
-                        pa.array(counts, type=pa.int64()),
-                        pa.array([[{"first": a, "past": b} for a, b, _, _ in s] for s in spans], type=span),
-                        pa.array([sorted(i) for i in items], type=pa.list_(pa.int64())),
-                    ],
-                    ["doc_id", "key", "n_words", "spans", "items"],
-                )
-
-        parts.append(texts.mapInArrow(run, "doc_id long, key long, n_words long, spans array<struct<first:long,past:long>>, items array<long>"))
-    if len(parts) == 1:
-        return parts[0].drop("key")
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.union(p)
-    n = len(parts)
-    whole = whole.groupBy("doc_id", "key", "n_words").agg(
-        F.sort_array(F.flatten(F.collect_set("spans"))).alias("s"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        (F.count(F.lit(1)) / n).cast("int").alias("rows"),
-    )
-    whole = whole.select("doc_id", "n_words", merged("s").alias("spans"), "items", "rows")
-    return whole.withColumn("_", F.explode(F.sequence(F.lit(1), "rows"))).drop("rows", "_")
-
-
-def merged(column: str):
-    """Sorted spans, those that overlap or meet joined."""
-    kind = "array<struct<first:bigint,past:bigint>>"
-    return F.expr(
-        f"""aggregate({column}, cast(array() as {kind}), (acc, s) -> CASE
-            WHEN size(acc) > 0 AND element_at(acc, -1).past >= s.first
-            THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('first', element_at(acc, -1).first, 'past', greatest(element_at(acc, -1).past, s.past))))
-            ELSE concat(acc, array(s)) END)"""
-    )
+                yield answer(batch, *_found(batch.column("text"), sent))
+
+        return texts.mapInArrow(run, schema)
+
+    def merge(batches):
+        for batch in batches:
+            spans = [joined([tuple(x.values()) for x in s or ()]) for s in batch.column("spans").to_pylist()]
+            counts = [n for i, j in pieces(batch.column("text")) for n in np.diff(words_of(batch.column("text").slice(i, j - i), LETTERS, lower=True).first).tolist()]
+            yield answer(batch, counts, spans, [sorted(i or ()) for i in batch.column("items").to_pylist()])
+
+    return _with_hits(texts, _hits(texts, every)).mapInArrow(merge, schema)
 
 
 def joined(spans: list[tuple[int, int, int, int]]) -> list[list[int]]:
@@ -236,9 +307,6 @@ def _cut(texts: list, spans: list[list]) -> list:
     return out
 
 
-_BYTES = "array<struct<first:long,past:long,start:long,end:long>>"
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with every hit span cut out of text (from its first word to the end of its last); n_chars follows.
 
@@ -246,39 +314,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
     All blocks of the benchmark are searched for in the uncut text, and their spans are cut at once.
     """
     small_batches(docs.sparkSession)
-    sent = list(passes(benchmark, block_bytes, width))
-
-    if len(sent) == 1:
+    only, every = _first_passes(benchmark, block_bytes, width)
+    if only is not None:
+        sent = docs.sparkSession.sparkContext.broadcast(only)
 
         def run(batches):
             for batch in batches:
                 column = batch.column("text")
-                _, spans, _ = _all_blocks(column, sent[0])
+                _, spans, _ = _found(column, sent)
                 at = batch.schema.get_field_index("text")
                 yield batch.set_column(at, "text", pa.array(_cut(column.to_pylist(), spans), type=column.type))
 
         out = docs.mapInArrow(run, docs.schema)
     else:
-        # spans of each pass, by text: equal texts have equal spans
-        hits = None
-        for blocks in sent:
-
-            def search(batches, blocks=blocks):
-                kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("first", "past", "start", "end")]))
-                for batch in batches:
-                    _, spans, _ = _all_blocks(batch.column("text"), blocks)
-                    some = [k for k, s in enumerate(spans) if s]
-                    rows = [[dict(zip(("first", "past", "start", "end"), x, strict=True)) for x in spans[k]] for k in some]
-                    yield pa.RecordBatch.from_arrays([batch.column("digest").take(pa.array(some, type=pa.int64())), pa.array(rows, type=kind)], ["digest", "spans"])
-
-            part = docs.select("text", F.sha2("text", 256).alias("digest")).mapInArrow(search, f"digest string, spans {_BYTES}")
-            hits = part if hits is None else hits.union(part)
-        hits = settle(hits.groupBy("digest").agg(F.flatten(F.collect_set("spans")).alias("spans")), "hits")
         # names of docs may clash with those here: its other columns travel in a struct
         rest = [c for c in docs.columns if c != "text"]
-        row = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), "text", F.sha2("text", 256).alias("digest"))
-        few = hits.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
-        both = row.join(F.broadcast(hits) if few else hits, "digest", "left").select("row", "text", "spans")
+        row = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), "text")
+        both = _with_hits(row, _hits(docs, every)).select("row", "text", "spans")
 
         def cut(batches):
             for batch in batches:

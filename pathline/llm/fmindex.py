@@ -61,15 +61,15 @@ class FMIndex:
         kept = (order % rate == 0) | (self.bwt == 0)
         self.kept, self.number, self.place = kept, np.cumsum(kept) - 1, order[kept]
 
-    def search(self, phrases: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ranges of suffixes that begin with each phrase (rows, filled up at the right), by backward search."""
-        rows = np.arange(len(phrases))
-        lo, hi = np.zeros(len(phrases), dtype=np.int64), np.full(len(phrases), self.n, dtype=np.int64)
+    def search(self, flat: np.ndarray, start: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges of suffixes that begin with each phrase, flat[start : start + size], by backward search."""
+        rows = np.arange(len(start))
+        lo, hi = np.zeros(len(start), dtype=np.int64), np.full(len(start), self.n, dtype=np.int64)
         hi[sizes == 0] = 0
         for back in range(1, int(sizes.max(initial=0)) + 1):
             live = rows[(sizes >= back) & (lo < hi)]
-            c = phrases[live, sizes[live] - back]
-            known = c <= self.most
+            c = flat[start[live] + sizes[live] - back]
+            known = (c > 0) & (c <= self.most)
             lo[live[~known]] = hi[live[~known]] = 0
             live, c = live[known], c[known]
             if not len(live):

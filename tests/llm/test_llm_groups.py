@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -156,12 +157,26 @@ def test_index_finds_every_place():
         phrases = np.zeros((12, 6), dtype=np.int64)
         for k, n in enumerate(sizes):
             phrases[k, :n] = rnd.integers(1, 5, n)
-        lo, hi = index.search(phrases, sizes)
+        lo, hi = index.search(phrases.ravel(), np.arange(12) * 6, sizes)
         for k, n in enumerate(sizes):
             want = [i for i in range(len(s) - n + 1) if (s[i : i + n] == phrases[k, :n]).all()]
             assert sorted(index.locate(np.arange(lo[k], max(lo[k], hi[k]))).tolist()) == want
 
 
+def test_a_shard_is_indexed_once_for_all_blocks(monkeypatch):
+    rnd = np.random.default_rng(5)
+    said = lambda n: " ".join(f"w{k}" for k in rnd.integers(0, 30, n))
+    items = [(k, said(int(n))) for k, n in enumerate(rnd.integers(1, 40, 60))] + [(60, "never said")]
+    texts = pa.array([said(400) + " " + items[k][1] for k in range(0, 60, 3)] + [None, "", "never"])
+    made = []
+    real = contamination.FMIndex
+    monkeypatch.setattr(contamination, "FMIndex", lambda s: made.append(1) or real(s))
+    one = list(contamination.search_texts(texts, contamination.Pass([contamination.phrases_of(items)])))
+    assert len(made) == 1 and any(x[3] for x in one) and not any(60 in x[3] for x in one)
+    many = list(contamination.search_texts(texts, contamination.Pass([contamination.phrases_of(items[k : k + 4]) for k in range(0, 61, 4)])))
+    assert len(made) == 2 and many == one
+
+
 @pytest.mark.parametrize("at_once", [12, 3])
 def test_blocks_of_phrases_change_nothing(spark, sf_dir, monkeypatch, at_once):
     monkeypatch.setattr(contamination, "PASS_BLOCKS", at_once)
@@ -277,8 +292,6 @@ def test_places_are_packed():
 
 
 def test_words_of_a_column():
-    import pyarrow as pa
-
     texts = [" a bb\tccc", None, "", "é中 x", "word", "word two", "\n"]
     column = pa.array(["skip", *texts]).slice(1)
     w = words.words_of(column)
