@@ -867,182 +867,6 @@ def track_stream(spark, sf_dir):
     return rounded(out, "x1", "y1", "x2", "y2", digits=4)
 
 
-@query(ctes("metrics") + f" SELECT name, seq, round(median(value) {_W.format(19)} + 1e-9, 6) AS median, round(avg(value) {_W.format(19)} + 1e-9, 6) AS mean, round(avg(value) {_W.format('UNBOUNDED')} + 1e-9, 6) AS global_mean FROM metrics")
-def metric_smooth(spark, sf_dir):
-    return rounded(H.rolling(_metrics(spark, sf_dir), 20).select("name", "seq", "median", "mean", "global_mean"), "median", "mean", "global_mean", nudge=1e-9)
-
-
-@query(ctes("metrics") + " SELECT name, seq FROM metrics QUALIFY row_number() OVER (PARTITION BY name ORDER BY iteration DESC, seq DESC) <= 50")
-def metric_bounded(spark, sf_dir):
-    return H.bounded(_metrics(spark, sf_dir), 50).select("name", "seq")
-
-
-@query(
-    ctes("metrics")
-    + """, r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY iteration DESC, seq DESC) AS r FROM metrics)
-SELECT name, max(iteration) FILTER (WHERE r = 1) AS iteration, round(CASE WHEN bool_or(smoothing_hint AND r = 1) THEN median(value) ELSE max(value) FILTER (WHERE r = 1) END + 1e-9, 6) AS value
-FROM r WHERE r <= 20 GROUP BY name"""
-)
-def metric_latest_smoothed(spark, sf_dir):
-    return rounded(H.latest_smoothed(_metrics(spark, sf_dir)), "value", nudge=1e-9)
-
-
-@query(ctes("metrics") + ", o AS (SELECT CASE WHEN seq % 97 = 0 THEN 'time' ELSE name END AS name, smoothing_hint FROM metrics) SELECT name, count(DISTINCT smoothing_hint) AS hints FROM o GROUP BY name HAVING count(DISTINCT smoothing_hint) > 1")
-def hint_violations(spark, sf_dir):
-    # some rows under another name: the table itself has no violation
-    return H.hint_violations(_metrics(spark, sf_dir).withColumn("name", F.expr("CASE WHEN seq % 97 = 0 THEN 'time' ELSE name END")))
-
-
-@query(
-    ctes("metrics")
-    + """, s AS (SELECT name, min(value) AS lo, max(value) AS hi, count(value) AS num, sum(value) AS sum, sum(value * value) AS sum_squares FROM metrics GROUP BY name),
-c AS (SELECT name, CAST(least(999, floor((value - lo) / ((hi - lo) / 1000))) AS INT) AS bin, count(*) AS c FROM metrics JOIN s USING (name) GROUP BY ALL)
-SELECT name, bin, round(lo + (bin + 1) * ((hi - lo) / 1000), 6) AS "limit", coalesce(c, 0) AS "count", round(lo, 6) AS min, round(hi, 6) AS max, num, round(sum, 4) AS sum, round(sum_squares, 2) AS sum_squares
-FROM (SELECT *, CAST(unnest(range(0, 1000)) AS INT) AS bin FROM s) LEFT JOIN c USING (name, bin)"""
-)
-def metric_histogram(spark, sf_dir):
-    out = rounded(rounded(H.histogram(_metrics(spark, sf_dir)), "limit", "min", "max"), "sum", digits=4)
-    return rounded(out, "sum_squares", digits=2)
-
-
-@query(ctes("metrics") + " SELECT name, seq, iteration FROM metrics WHERE iteration > 50 AND ((iteration + 1) % 20 = 0 OR (iteration + 1) % 150 = 0 OR iteration = (SELECT max(iteration) FROM metrics))")
-def metric_due(spark, sf_dir):
-    m = _metrics(spark, sf_dir)
-    last = m.agg(F.max("iteration")).first()[0]
-    return H.due(H.newer(m, 50), last + 1, 20, 150).select("name", "seq", "iteration")
-
-
-def _as_of(name: str, agg: str, n: int | None) -> str:
-    rows = f"SELECT value FROM metrics m WHERE m.name = '{name}' AND m.iteration <= i.iteration ORDER BY m.iteration DESC, seq DESC" + (f" LIMIT {n}" if n else "")
-    return f"(SELECT {agg}(value) FROM ({rows}))"
-
-
-@query(
-    ctes("metrics")
-    + f""", x AS (SELECT max(iteration) + 1 AS n FROM metrics), i AS (SELECT DISTINCT iteration FROM metrics WHERE (iteration + 1) % 20 = 0 OR iteration = (SELECT n FROM x) - 1)
-SELECT iteration, round({_as_of("data_time", "avg", 20)} + 1e-9, 4) AS data_time, round({_as_of("loss_cls", "median", 200)} + 1e-9, 4) AS loss_cls,
-       round({_as_of("loss_triplet", "median", 200)} + 1e-9, 4) AS loss_triplet, round({_as_of("lr", "max", 1)} + 1e-9, 4) AS lr, round({_as_of("time", "avg", None)} + 1e-9, 4) AS "time",
-       round({_as_of("time", "median", 1000)} * ((SELECT n FROM x) - iteration - 1) + 1e-9, 4) + 0.0 AS eta_seconds FROM i"""
-)
-def progress(spark, sf_dir):
-    m = _metrics(spark, sf_dir)
-    out = H.progress(m, m.agg(F.max("iteration")).first()[0] + 1)
-    return rounded(out, "data_time", "loss_cls", "loss_triplet", "lr", "time", "eta_seconds", digits=4, nudge=1e-9)
-
-
-@query(
-    ctes("metrics")
-    + """, r AS (SELECT value, row_number() OVER (ORDER BY iteration, seq) AS r FROM metrics WHERE name = 'time')
-SELECT count(*) AS n, round(sum(value) FILTER (WHERE r >= 3) + 1e-9, 4) AS total, round(sum(value) FILTER (WHERE r >= 3) / (count(*) - 3) + 1e-9, 4) AS mean, round(avg(value) FILTER (WHERE r >= 3) + 1e-9, 4) AS plain_mean FROM r"""
-)
-def step_time(spark, sf_dir):
-    return rounded(H.step_time(_metrics(spark, sf_dir).filter("name = 'time'")), "total", "mean", "plain_mean", digits=4, nudge=1e-9)
-
-
-@query(ctes("metrics") + " SELECT iteration, name, round(avg(value) + 1e-9, 6) AS value FROM metrics GROUP BY ALL")
-def worker_reduce(spark, sf_dir):
-    return rounded(H.over_workers(_metrics(spark, sf_dir)), "value", nudge=1e-9)
-
-
-@query(
-    ctes("epochs")
-    + """, k AS (SELECT * FROM epochs WHERE (epoch + 1) % 3 = 0 OR epoch >= 29)
-SELECT epoch, round(metric, 6) AS metric, metric > coalesce(max(metric) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS best, epoch < 29 AS periodic, epoch >= 29 AS final FROM k"""
-)
-def best_epochs(spark, sf_dir):
-    return rounded(H.best_epochs(load(spark, sf_dir, "epochs"), 3, 30), "metric")
-
-
-@query(ctes("logs") + " SELECT seq, caller, message FROM logs QUALIFY row_number() OVER (PARTITION BY caller, message ORDER BY seq) <= 2")
-def log_first_n(spark, sf_dir):
-    return H.first_n(load(spark, sf_dir, "logs"), 2, ("caller", "message")).select("seq", "caller", "message")
-
-
-@query(ctes("logs") + " SELECT seq, caller FROM logs QUALIFY row_number() OVER (PARTITION BY caller ORDER BY seq) % 7 = 1")
-def log_every_n(spark, sf_dir):
-    return H.every_n(load(spark, sf_dir, "logs"), 7).select("seq", "caller")
-
-
-@query(
-    "WITH RECURSIVE "
-    + ctes("logs")[5:]
-    + """, k AS (SELECT caller, min(ts) AS ts FROM logs GROUP BY caller
-       UNION ALL SELECT k.caller, (SELECT min(l.ts) FROM logs l WHERE l.caller = k.caller AND l.ts >= k.ts + INTERVAL 20000 SECOND) FROM k WHERE k.ts IS NOT NULL)
-SELECT min(seq) AS seq, caller, ts FROM logs JOIN k USING (caller, ts) GROUP BY caller, ts"""
-)
-def log_throttle(spark, sf_dir):
-    return H.every_n_seconds(load(spark, sf_dir, "logs").select("seq", "caller", "ts"), 20000)
-
-
-@query(
-    ctes("metrics")
-    + """, l AS (SELECT iteration, name, value FROM metrics QUALIFY row_number() OVER (PARTITION BY iteration, name ORDER BY seq DESC) = 1),
-c AS (SELECT iteration, name, '"' || name || '": ' || CAST(value AS VARCHAR) AS cell FROM l UNION ALL SELECT DISTINCT iteration, 'iteration', '"iteration": ' || iteration FROM l)
-SELECT iteration, '{' || string_agg(cell, ', ' ORDER BY name) || '}' AS line FROM c GROUP BY iteration"""
-)
-def metrics_json(spark, sf_dir):
-    return S.metric_lines(_metrics(spark, sf_dir))
-
-
-# --- hooks ---------------------------------------------------------------------------------------------
-
-
-class _ChannelMeans:
-    """A model that stands in for a user's: the mean of each channel."""
-
-    def __call__(self, images):
-        return images.mean(axis=(2, 3))
-
-
-@query(
-    ctes("features")
-    + """, p AS (SELECT vec_id AS id, [100 * CAST(x AS DOUBLE) FOR x IN embedding[1:12]] AS p FROM features),
-c AS (SELECT id, unnest([0, 1, 2]) AS pos, p FROM p)
-SELECT id, CAST(pos AS INT) AS pos, round(((p[3 - pos] + p[6 - pos] + p[9 - pos] + p[12 - pos]) / 4 - 127.5) / 127.5, 6) + 0.0 AS value FROM c"""
-)
-def embed_hook(spark, sf_dir):
-    crops = load(spark, sf_dir, "features").select(F.col("vec_id").alias("id"), F.transform(F.slice(doubles("embedding"), 1, 12), lambda x: x * 100).alias("pixels"), F.lit(2).alias("h"), F.lit(2).alias("w"))
-    return rounded(_long(U.embed_crops(crops, _ChannelMeans), "id"), "value")
-
-
-# --- streams ---------------------------------------------------------------------------------------------
-
-
-FILE_ROWS = 1_000_000  # of a file that a stream reads at a time, about
-
-
-def streamed(rows: DataFrame, parts: int, order: str, name: str) -> DataFrame:
-    """rows as files in order of a column, `parts` of them or as many as bound their rows, and opened as a stream that
-    reads one at a time. Rows are read for their range, then written once, dealt by part; each part becomes a file in turn."""
-    spark, at = rows.sparkSession, new_folder(rows.sparkSession, name)
-    lo, hi, n = rows.agg(F.min(order), F.max(order), F.count(F.lit(1))).first()
-    parts = max(parts, -(-n // FILE_ROWS))
-    step = ((hi or 0) - (lo or 0)) // parts + 1
-    part = F.floor((F.col(order) - F.lit(lo)) / step).cast("int")
-    rows.withColumn("_part", part).write.partitionBy("_part").parquet(f"{at}-parts")
-    dealt = spark.read.schema(rows.withColumn("_part", part).schema).parquet(f"{at}-parts")
-    for k in range(parts):
-        dealt.filter(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(at)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at)
-
-
-def finished(out: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a stream gives for what is there now, as a table."""
-    spark, at = out.sparkSession, new_folder(out.sparkSession, name)
-    (out.writeStream.outputMode(mode).format("parquet").option("path", at).option("checkpointLocation", f"{at}-state").trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema(out.schema).parquet(at)
-
-
-@query()
-def track_stream(spark, sf_dir):
-    """The same rows as track_batch, from a stream of files with a flush at its end."""
-    dets = _cleaned(spark, sf_dir).select("camera_id", "frame", "det_id", "x1", "y1", "x2", "y2", F.lit(False).alias("flush"))
-    last = dets.agg(F.max("frame")).first()[0]
-    end = dets.select("camera_id").distinct().select("camera_id", F.lit(last + 1).alias("frame"), F.lit(-1).cast("long").alias("det_id"), *[F.lit(0.0).alias(c) for c in ("x1", "y1", "x2", "y2")], F.lit(True).alias("flush"))
-    out = finished(W.track_stream(streamed(dets.union(end), 4, "frame", "frames")), "tracks")
-    return rounded(out, "x1", "y1", "x2", "y2", digits=4)
-
-
 @query(ctes("metrics") + f" SELECT name, seq, round(median(value) {_W.format(19)} + 1e-9, 6) AS median, round(avg(value) {_W.format(19)} + 1e-9, 6) AS mean FROM metrics")
 def metric_stream(spark, sf_dir):
     rows = _metrics(spark, sf_dir).withColumn("arrival", F.pmod(F.xxhash64("seq"), F.lit(1000)))  # in no order
