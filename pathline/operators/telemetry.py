@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
-from datetime import timedelta
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathline.functions.order import along, in_ranges, with_halo
 from pathline.sources.shared import settle
 
 ORDER = ("iteration", "seq")
 
 
-def _last(n: int):
-    return Window.partitionBy("name").orderBy(*ORDER).rowsBetween(-(n - 1), 0)
-
-
 def scoped(df: DataFrame, scope: str) -> DataFrame:
     """H1: names under a scope, values as doubles."""
     return df.withColumns({"name": F.concat(F.lit(scope.rstrip("/") + "/"), F.col("name")), "value": F.col("value").cast("double")})
@@ -28,10 +26,21 @@ def latest(df: DataFrame) -> DataFrame:
     return df.groupBy("name").agg(F.max_by(F.struct("value", "iteration"), F.struct(*ORDER)).alias("r")).select("name", "r.value", "r.iteration")
 
 
+def _series(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`along` for the series of names, with running `_sum` and `_count` of the values."""
+    return along(df, "name", ORDER, {"sum": F.col("value").cast("double"), "count": F.col("value").isNotNull().cast("long")})
+
+
 def rolling(df: DataFrame, n: int = 20) -> DataFrame:
-    """H3, H4, H5: with each row the median and mean of the last n and the mean of all so far."""
-    ever = Window.partitionBy("name").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({"median": F.percentile("value", 0.5).over(_last(n)), "mean": F.avg("value").over(_last(n)), "global_mean": F.avg("value").over(ever)})
+    """H3, H4, H5: with each row the median and mean of the last n and the mean of all so far. Null values count for nothing.
+
+    A series is dealt by range; each range gets the n - 1 rows before it, and running sums go over from range to range.
+    """
+    rows, ends = _series(df)
+    last = Window.partitionBy("_part", "name").orderBy(*ORDER, "_place").rowsBetween(-(n - 1), 0)
+    both = with_halo(rows, ends, "name", ORDER, n)
+    out = both.withColumns({"median": F.percentile("value", 0.5).over(last), "mean": F.avg("value").over(last)}).filter("_own")
+    return out.withColumn("global_mean", F.when(F.col("_count") > 0, F.col("_sum") / F.col("_count"))).select(*df.columns, "median", "mean", "global_mean")
 
 
 def bounded(df: DataFrame, most: int) -> DataFrame:
@@ -88,9 +97,8 @@ def progress(df: DataFrame, max_iter: int, period: int = 20) -> DataFrame:
     by name and bucket and falls with the period.
     """
     rows = df.filter(F.col("name").isin("data_time", "time", "lr") | F.col("name").contains("loss")).filter(F.col("iteration") < max_iter)
-    line = Window.partitionBy("name").orderBy(*ORDER)
-    so_far = F.avg("value").over(line.rowsBetween(Window.unboundedPreceding, 0))
-    placed = rows.select("name", "iteration", "value", F.row_number().over(line).alias("place"), so_far.alias("ever"))
+    placed, _ = _series(rows)
+    placed = placed.select("name", "iteration", "value", F.col("_place").alias("place"), F.when(F.col("_count") > 0, F.col("_sum") / F.col("_count")).alias("ever"))
     placed = settle(placed.withColumn("bucket", F.floor(F.col("place") / _BUCKET)), "series")
     # the iteration at which a row is first seen, and what is newest there
     due_at = F.least(F.lit(max_iter - 1), F.ceil((F.col("iteration") + 1) / period) * period - 1).cast("long")
@@ -147,25 +155,73 @@ def every_n(df: DataFrame, n: int) -> DataFrame:
     return df if n == 1 else df.withColumn("_rank", F.row_number().over(w)).filter(F.pmod("_rank", F.lit(n)) == 1).drop("_rank")
 
 
+def _passage(t: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """What sorted times do to the last kept time that comes in: (bounds, exits); one that allows a record from time x on
+    leaves as the exit of the first bound that is not below x, and as it came where there is none.
+
+    Each record's jump to the next one that is kept after it is found by binary search; jumps are doubled until they leave.
+    """
+    n = len(t)
+    jump = np.append(np.searchsorted(t, t + least), n)
+    at = np.where(jump < n, jump, np.arange(n + 1))
+    while (at[at] != at).any():
+        at = at[at]
+    # a time that comes in is not after the first here, so no record after `least` more is the first that it allows
+    m = min(n, int(np.searchsorted(t, t[0] + least)) + 1)
+    exits = t[at[:m]]
+    last = np.append(exits[1:] != exits[:-1], True)
+    return t[:m][last], exits[last]
+
+
+def _entries(spread: DataFrame, least: int) -> DataFrame:
+    """_part, caller, entry: the last kept time (microseconds) before a range, for callers whose records are in several."""
+    timed = spread.filter("ts IS NOT NULL").select("_part", "caller", "ts")
+    ranges = timed.select("_part", "caller").distinct().groupBy("caller").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("caller")
+    long = timed.join(ranges, timed.caller.eqNullSafe(ranges.caller), "left_semi")
+
+    def passage(key, table):
+        bounds, exits = _passage(np.sort(table.column("ts").cast(pa.int64()).to_numpy()), least)
+        return pa.table({"_part": pa.array([key[0].as_py()], pa.int32()), "caller": pa.array([key[1].as_py()], pa.string()), "bounds": pa.array([bounds]), "exits": pa.array([exits])})
+
+    def chain(key, table):
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("_part", "bounds", "exits")), strict=True))
+        last, entries = None, []
+        for _, bounds, exits in rows:
+            entries.append(last)
+            at = 0 if last is None else bisect_left(bounds, last + least)
+            last = exits[at] if at < len(bounds) else last
+        return pa.table({"_part": pa.array([r[0] for r in rows], pa.int32()), "caller": pa.array([key[0].as_py()] * len(rows), pa.string()), "entry": pa.array(entries, pa.int64())})
+
+    passages = long.groupBy("_part", "caller").applyInArrow(passage, "_part int, caller string, bounds array<long>, exits array<long>")
+    return passages.groupBy("caller").applyInArrow(chain, "_part int, caller string, entry long")
+
+
 def every_n_seconds(df: DataFrame, seconds: float) -> DataFrame:
-    """A record is kept if the caller's last kept one is at least so many seconds older.
+    """A record is kept if the caller's last kept one is at least so many seconds older. A record without a time is kept
+    and counts for nothing.
 
-    Callers are dealt to tasks and read in order; a task holds the last kept time of the
-    caller at hand, whatever the number of its records.
+    Records are dealt by range, so that a caller with very many is in several tasks. What a range of its records does to the last
+    kept time is a step function of few steps; these are composed range by range, which gives
+    each range the time that comes in, and then all ranges are read side by side.
     """
-    least = timedelta(seconds=seconds)
+    least = round(seconds * 1_000_000)
+    spread = in_ranges(df.withColumn("caller", F.col("caller").cast("string")), "caller", "ts", "seq")
+    entries = settle(_entries(spread, least), "entries")
+    entries = entries.select(F.col("_part").alias("_in"), F.col("caller").alias("_caller"), "entry")
+    rows = spread.join(entries, (F.col("_part") == F.col("_in")) & F.col("caller").eqNullSafe(F.col("_caller")), "left").drop("_in", "_caller")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        caller, last = None, None
+        at, last = None, None
         for batch in batches:
             keep = []
-            for c, t in zip(batch.column("caller").to_pylist(), batch.column("ts").to_pylist(), strict=True):
-                if c != caller or last is None or t - last >= least:
-                    caller, last = c, t
-                    keep.append(True)
-                else:
-                    keep.append(False)
-            yield batch.filter(pa.array(keep, type=pa.bool_()))
-
-    rows = df.repartition("caller").sortWithinPartitions("caller", "ts", "seq")
-    return rows.mapInArrow(run, df.schema)
+            for p, c, t, e in zip(batch.column("_part").to_pylist(), batch.column("caller").to_pylist(), batch.column("ts").cast(pa.int64()).to_pylist(), batch.column("entry").to_pylist(), strict=True):
+                if (p, c) != at:
+                    at, last = (p, c), e
+                ok = t is None or last is None or t - last >= least
+                if ok and t is not None:
+                    last = t
+                keep.append(ok)
+            yield batch.filter(pa.array(keep, type=pa.bool_())).select(names)
+
+    names = df.columns
+    return rows.repartition("_part", "caller").sortWithinPartitions("_part", "caller", "ts", "seq").mapInArrow(run, df.schema)

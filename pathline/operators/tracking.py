@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathline.functions.order import in_ranges
 from pathline.sources.shared import settle
 
 # Noise of the filter. First of position, then of speed, for x, y and area.
@@ -225,10 +226,24 @@ def sound(dets: DataFrame) -> DataFrame:
 
 
 def segments(dets: DataFrame, max_age: int = 30) -> DataFrame:
-    """`segment` counts up where a camera has no detection for so long that no track is left."""
-    w = Window.partitionBy("camera_id").orderBy("frame")
-    gap = F.col("frame") - F.lag("frame").over(w) >= max_age + 2
-    return dets.withColumn("_new", F.coalesce(gap.cast("int"), F.lit(0))).withColumn("segment", F.sum("_new").over(w)).drop("_new")
+    """`segment` counts up where a camera has no detection for so long that no track is left.
+
+    The distinct frames alone are looked at. They are dealt by range of camera and frame: gaps are
+    found within a range, and the last frame and the number of gaps so far go over from
+    range to range, so a camera of very many frames is in many tasks. Detections are joined by camera and frame.
+    """
+    frames = in_ranges(dets.select(F.col("camera_id").alias("_camera"), F.col("frame").alias("_frame")).distinct(), "_camera", "_frame")
+    here = Window.partitionBy("_part", "_camera").orderBy("_frame")
+    wide = lambda a, b: F.coalesce((a - b >= max_age + 2).cast("long"), F.lit(0))
+    gaps = frames.withColumn("_gap", wide(F.col("_frame"), F.lag("_frame").over(here)))
+    ends = gaps.groupBy("_camera", "_part").agg(F.min("_frame").alias("first"), F.max("_frame").alias("last"), F.sum("_gap").alias("gaps"))
+    line = Window.partitionBy("_camera").orderBy("_part")  # a row for each range
+    ends = ends.withColumn("_enter", wide(F.col("first"), F.lag("last").over(line)))
+    so_far = F.sum(F.col("gaps") + F.col("_enter")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(F.col("_camera").alias("_of"), F.col("_part").alias("_in"), (F.coalesce(so_far, F.lit(0)) + F.col("_enter")).alias("_before"))
+    placed = gaps.join(ends, (F.col("_part") == F.col("_in")) & F.col("_camera").eqNullSafe(F.col("_of")))
+    placed = placed.select("_camera", "_frame", (F.col("_before") + F.sum("_gap").over(here)).alias("segment"))
+    return dets.join(placed, dets.camera_id.eqNullSafe(placed._camera) & dets.frame.eqNullSafe(placed._frame)).drop("_camera", "_frame")
 
 
 def track(dets: DataFrame, p: Tracking = Tracking(), cut: bool = True, tracker: Callable[[Tracking], Tracker] = Tracks) -> DataFrame:

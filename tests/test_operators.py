@@ -293,3 +293,90 @@ def test_hub_columns_in_runs(spark, monkeypatch):
         assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
         few = {(r.i, r.k) for r in J.jaccard_of(v, v.filter("i < 3").selectExpr("i AS vec_id"), v.filter("i > 30").selectExpr("i AS vec_id")).collect()}
         assert few == {x for x in want if x[0] < 3 and x[1] > 30}
+
+
+SERIES = "name string, iteration long, seq long, value double"
+
+
+def in_many_ranges(spark, parts=7):
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+
+
+@pytest.fixture
+def ranges(spark):
+    """Sorts are dealt to many ranges, so that one series is in several tasks."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    in_many_ranges(spark)
+    yield 7
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+
+
+def plain_rolling(rows, n):
+    out = {}
+    for name in {r[0] for r in rows}:
+        line = sorted((r for r in rows if r[0] == name), key=lambda r: (r[1] if r[1] is not None else -1, r[2]))
+        for k, r in enumerate(line):
+            last = [x[3] for x in line[max(0, k - n + 1) : k + 1] if x[3] is not None]
+            ever = [x[3] for x in line[: k + 1] if x[3] is not None]
+            out[r] = tuple(f(v) if v else None for f, v in ((np.median, last), (np.mean, last), (np.mean, ever)))
+    return out
+
+
+@pytest.mark.parametrize("n", [1, 2, 20, 200])
+def test_one_series_in_many_ranges(spark, ranges, n):
+    rng = random.Random(n)
+    rows = [("a", i // 3, i, float(rng.randrange(90)) if rng.random() > 0.1 else None) for i in range(300)]
+    rows += [(None, 1, 1, 5.0), (None, None, 2, 6.0), ("b", 0, 0, None), *[("c", i, 0, float(i)) for i in range(5)]]
+    df = spark.createDataFrame(rows, SERIES)
+    assert H.in_ranges(df, "name", "iteration", "seq").filter("name = 'a'").select("_part").distinct().count() > 3
+    got = {(r.name, r.iteration, r.seq, r.value): (r["median"], r["mean"], r.global_mean) for r in H.rolling(df, n).collect()}
+    want = plain_rolling(rows, n)
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        assert all((a is None) == (b is None) and (a is None or math.isclose(a, b, abs_tol=1e-9)) for a, b in zip(got[k], v, strict=True)), k
+
+
+def test_rolling_has_no_window_over_a_whole_name(spark):
+    df = spark.createDataFrame([("a", 1, 1, 1.0)], SERIES)
+    plan = H.rolling(df)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [x for x in plan.splitlines() if "Window [" in x]
+    assert windows and all("_part" in x or "_n_of" in x or "collect_list" in x for x in windows)
+
+
+def plain_throttle(rows, seconds):
+    last, kept = {}, []
+    for seq, caller, ts in sorted(rows, key=lambda r: (str(r[1]), r[2] is not None, r[2] or 0, r[0])):
+        if ts is None or caller not in last or ts - last[caller] >= timedelta(seconds=seconds):
+            kept.append(seq)
+            if ts is not None:
+                last[caller] = ts
+    return sorted(kept)
+
+
+@pytest.mark.parametrize("seconds", [0.5, 3, 40, 10_000])
+def test_one_caller_in_many_ranges(spark, ranges, seconds):
+    rng = random.Random(int(seconds))
+    start = datetime(2024, 1, 1)
+    rows = [(i, "hot", start + timedelta(seconds=rng.choice([0.1, 1, 2, 3, 17]) * rng.randrange(100))) for i in range(500)]
+    rows += [(600 + i, rng.choice(["x", "y", None]), start + timedelta(seconds=rng.randrange(99))) for i in range(60)] + [(900, "hot", None), (901, "x", None)]
+    df = spark.createDataFrame(rows, "seq long, caller string, ts timestamp_ntz")
+    assert H.in_ranges(df, "caller", "ts", "seq").filter("caller = 'hot'").select("_part").distinct().count() > 3
+    out = H.every_n_seconds(df, seconds)
+    assert out.columns == df.columns and sorted(r.seq for r in out.collect()) == plain_throttle(rows, seconds)
+
+
+def test_passage_composes_as_a_loop():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        t = np.sort(rng.integers(0, 300, rng.integers(1, 80)))
+        least = int(rng.integers(1, 120))
+        bounds, exits = H._passage(t, least)
+        for entry in [None, *range(int(t[0]) - 130, int(t[0]) + 1)]:
+            last = entry
+            for x in t.tolist():
+                if last is None or x - last >= least:
+                    last = x
+            at = 0 if entry is None else int(np.searchsorted(bounds, entry + least))
+            assert (int(exits[at]) if at < len(bounds) else entry) == last

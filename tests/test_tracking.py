@@ -282,3 +282,27 @@ def test_summary_and_assignment_tables(spark):
     e = t.select("camera_id", "track_id", "frame", F.array(F.lit(1.0)).alias("embedding"))
     s = t.withColumns({"ts": F.lit("2024-01-01").cast("timestamp"), "score": F.lit(1.0)})
     assert all(len(r.embeddings) == 1 for r in T.summaries(s, e).collect())
+
+
+def test_one_camera_in_many_ranges(spark):
+    rng = random.Random(2)
+    frames, f = [], 0
+    for _ in range(400):
+        f += rng.choice([0, 1, 1, 1, 2, 31, 32, 33, 60])
+        frames.append(f)
+    rows = [(k, c, f) for c in (0, 1, None) for k, f in enumerate(frames if c == 0 else frames[:20])] + [(7, 0, None)]
+    df = spark.createDataFrame(rows, "det_id long, camera_id int, frame int")
+    want = []
+    for c in (0, 1, None):
+        seen = sorted({f for _, d, f in rows if d == c and f is not None})
+        at = {f: sum(b - a >= 32 for a, b in zip(seen, seen[1:], strict=False) if b <= f) for f in seen}
+        want += [(k, str(c), str(f), at.get(f, 0)) for k, d, f in rows if d == c]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 9)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        got = [(r.det_id, str(r.camera_id), str(r.frame), r.segment) for r in T.segments(df).collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", True)
+    assert sorted(got) == sorted(want)
