@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathline.sources.shared import settle
+
 ROWS = 2048  # of a side of a tile
 BLOCK_BYTES = 32 << 20  # of the vectors of a side of a block
 METRICS = ("sqeuclidean", "euclidean", "cosine", "cosine2", "jaccard")
@@ -93,30 +95,130 @@ def pairs(queries: DataFrame, gallery: DataFrame, metric: str = "cosine") -> Dat
     return by_blocks(q, g, fn, "q_id long, g_id long, dist double", wide=False)
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "sqeuclidean", rows: int = ROWS) -> DataFrame:
-    """q_id, g_id, dist, rank of the exact k nearest, from 1; equal distances by g_id. Fewer rows than k give fewer."""
+def _top(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k least of each row, of equals the smaller ids; what lies beyond the k-th is not sorted."""
+    near = np.round(d, 9)  # distances that differ by rounding alone count as equal, so that ids decide
+    if d.shape[1] > k:
+        r, c = np.nonzero(near <= np.partition(near, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        r, c = (x.ravel() for x in np.indices(d.shape))
+    order = np.lexsort((ids[c], near[r, c], r))
+    r, c = r[order], c[order]
+    first = np.searchsorted(r, np.arange(len(d)))
+    keep = np.arange(len(r)) - first[r] < k
+    return r[keep], c[keep]
 
-    def fn(x, a, y, b):
-        n, m = len(x), len(y)
-        if not n or not m:
-            return pa.table({"q_id": pa.array([], pa.int64()), "g_id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
-        d, ids = matrix(a, b, metric), y.column("g_id").to_numpy()
-        by_id = np.argsort(ids, kind="stable")
-        d, ids = d[:, by_id], ids[by_id]
-        # distances that differ by rounding alone count as equal, so that ids decide
-        top = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :k]
-        return pa.table({"q_id": np.repeat(x.column("q_id").to_numpy(), top.shape[1]), "g_id": ids[top].ravel(), "dist": np.take_along_axis(d, top, 1).ravel()})
-
-    def best(t):
-        q, g, d = (t.column(c).to_numpy() for c in ("q_id", "g_id", "dist"))
-        order = np.lexsort((g, np.round(d, 9), q))
-        q = q[order]
-        first = np.flatnonzero(np.append(True, q[1:] != q[:-1])[: len(q)])
-        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-        return t.take(order[place < k])
 
-    q = queries.select(F.col("vec_id").alias("q_id"), "embedding")
-    g = base.select(F.col("vec_id").alias("g_id"), "embedding")
-    found = by_blocks(q, g, fn, "q_id long, g_id long, dist double", rows, best)
+def _nearest_of(x: pa.Table, a: np.ndarray, y: pa.Table, b: np.ndarray, k: int, metric: str) -> pa.Table:
+    if not len(x) or not len(y):
+        return pa.table({"q_id": pa.array([], pa.int64()), "g_id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
+    d, ids = matrix(a, b, metric), y.column("g_id").to_numpy()
+    r, c = _top(d, ids, k)
+    return pa.table({"q_id": x.column("q_id").to_numpy()[r], "g_id": ids[c], "dist": d[r, c]})
+
+
+def _best_of(t: pa.Table, k: int) -> pa.Table:
+    q, g, d = (t.column(c).to_numpy() for c in ("q_id", "g_id", "dist"))
+    order = np.lexsort((g, np.round(d, 9), q))
+    q = q[order]
+    first = np.flatnonzero(np.append(True, q[1:] != q[:-1])[: len(q)])
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return t.take(order[place < k])
+
+
+#: Cells at most, whose pivots go to all tasks and whose sizes come to the driver; rows of a cell for which another is worth it.
+CELLS, CELL_ROWS = 1024, 4096
+#: Share of pairs that must be skipped for cells to be used.
+WORTH = 0.2
+
+
+class Cells:
+    """Vectors in cells around pivots, and which cells a query's cell must see for its k nearest.
+
+    Any two vectors of cells are apart by the distance of the pivots less both radii at least, and plus
+    both radii at most. The k-th nearest of a query is no farther than the bound within which cells
+    hold k vectors; cells that begin beyond it are skipped. Cosine distances go by vectors
+    of unit length, for which they are half the squared distance.
+    """
+
+    def __init__(self, queries: DataFrame, base: DataFrame, k: int, metric: str, cells: int | None, n_base: int):
+        self.unit = metric in ("cosine", "cosine2")
+        many = cells or min(CELLS, n_base // CELL_ROWS)
+        rows = base.orderBy(F.xxhash64("g_id"), "g_id").limit(many).select("embedding").toArrow() if many > 1 else None
+        self.pivots = self._points(_vectors(rows)) if rows is not None and len(rows) else None
+        self.skipped = 0.0
+        if self.pivots is None:
+            return
+        self.queries, self.base = self._placed(queries), self._placed(base)
+        p = len(self.pivots)
+        self.n, self.far = np.zeros((2, p), dtype=np.int64), np.zeros((2, p))
+        for side, df in enumerate((self.queries, self.base)):
+            for r in df.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_off").alias("far")).collect():  # a row for each cell
+                self.n[side, r["_cell"]], self.far[side, r["_cell"]] = r.n, r.far
+        apart = np.sqrt(np.maximum(matrix(self.pivots, self.pivots, "sqeuclidean"), 0.0))
+        both = self.far[0][:, None] + self.far[1][None]
+        most = np.where(self.n[1] > 0, apart + both, np.inf)
+        order = np.argsort(most, axis=1)
+        enough = (np.cumsum(self.n[1][order], axis=1) >= k).argmax(axis=1)
+        within = np.where(self.n[1].sum() >= k, np.take_along_axis(most, order, 1)[np.arange(p), enough], np.inf)
+        slack = 1e-6 * (1 + np.abs(within))  # more than rounding of distances can hide
+        self.seen = (apart - both <= (within + slack)[:, None]) & (self.n[0] > 0)[:, None] & (self.n[1] > 0)[None]
+        every = self.n[0][:, None] * self.n[1][None]
+        self.skipped = 1 - float((every * self.seen).sum()) / max(1, int(every.sum()))
+
+    def _points(self, v: np.ndarray) -> np.ndarray:
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12) if self.unit else v
+
+    def _placed(self, df: DataFrame) -> DataFrame:
+        """df with the number of the nearest pivot and the distance from it; written, as it is read for sizes and for pairs."""
+        pivots, points = self.pivots, self._points
+
+        def run(batches):
+            for batch in batches:
+                v = points(_vectors(pa.Table.from_batches([batch])))
+                d = matrix(v, pivots, "sqeuclidean") if len(v) else np.zeros((0, len(pivots)))
+                cell = d.argmin(axis=1)
+                off = np.linalg.norm(v - pivots[cell], axis=1) if len(v) else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(off)], [*batch.schema.names, "_cell", "_off"])
+
+        return settle(df.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema) + ", _cell int, _off double"), "cells")
+
+    def pairs_of(self, rows: int) -> tuple[DataFrame, DataFrame]:
+        """Both sides, each row once for every block of the other side that it meets; keys _a, _b number blocks."""
+        spark = self.queries.sparkSession
+        parts = np.maximum(1, -(-self.n // rows))  # a cell of many rows is several blocks
+        first = np.concatenate([np.zeros((2, 1), dtype=np.int64), np.cumsum(parts, axis=1)], axis=1)
+        out = []
+        for side, df in enumerate((self.queries, self.base)):
+            meets = self.seen if side == 0 else self.seen.T
+            blocks = [(c, int(parts[side, c]), int(first[side, c]), [b for o in np.flatnonzero(meets[c]).tolist() for b in range(int(first[1 - side, o]), int(first[1 - side, o + 1]))]) for c in range(len(self.pivots)) if meets[c].any()]
+            table = spark.createDataFrame(blocks, "_cell int, _parts int, _first int, _others array<int>")  # a row for each cell
+            key = "q_id" if side == 0 else "g_id"
+            own = (F.col("_first") + F.pmod(F.xxhash64(key), F.col("_parts"))).cast("int")
+            mine, other = ("_a", "_b") if side == 0 else ("_b", "_a")
+            both = df.join(F.broadcast(table), "_cell")
+            out.append(both.select(key, "embedding", own.alias(mine), F.explode("_others").alias(other)))
+        return out[0], out[1]
+
+
+def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "sqeuclidean", rows: int = ROWS, cells: int | None = None) -> DataFrame:
+    """q_id, g_id, dist, rank of the exact k nearest, from 1; equal distances by g_id. Fewer rows than k give fewer.
+
+    Where the triangle inequality lets a fair share of the pairs of cells be skipped (see `Cells`), only the others are
+    compared; else every block meets every block. The result is the same.
+    """
+    q, g = (x.filter("embedding IS NOT NULL").select(F.col("vec_id").alias(c), F.col("embedding").cast("array<double>").alias("embedding")) for x, c in ((queries, "q_id"), (base, "g_id")))
+    n_base = g.count() if cells is None else 0
+    made = Cells(q, g, k, metric, cells, n_base) if cells or n_base >= 2 * CELL_ROWS else None
+    schema = "q_id long, g_id long, dist double"
+    if made is not None and made.skipped >= WORTH:
+        a, b = made.pairs_of(rows)
+
+        def run(x, y):
+            return _nearest_of(x, _vectors(x), y, _vectors(y), k, metric)
+
+        found = a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInArrow(run, schema)
+    else:
+        found = by_blocks(q, g, lambda x, a, y, b: _nearest_of(x, a, y, b, k, metric), schema, rows, lambda t: _best_of(t, k))
     w = Window.partitionBy("q_id").orderBy(F.round("dist", 9), "g_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

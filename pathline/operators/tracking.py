@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathline.functions.order import in_ranges
+from pathline.operators.assignment import associate
 from pathline.sources.shared import settle
 
 # Noise of the filter. First of position, then of speed, for x, y and area.
@@ -35,59 +36,6 @@ class Tracking:
     iou: float = 0.3
 
 
-def iou_matrix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    w = np.maximum(0.0, np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0]))
-    h = np.maximum(0.0, np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1]))
-    area = lambda x: (x[:, 2] - x[:, 0]) * (x[:, 3] - x[:, 1])
-    return w * h / (area(a)[:, None] + area(b)[None] - w * h + 1e-12)
-
-
-def assignment(gain: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs (row, column) of the largest total gain, each used once: shortest augmenting paths with potentials."""
-    if gain.shape[0] > gain.shape[1]:
-        return sorted((r, c) for c, r in assignment(gain.T))
-    n, m = gain.shape
-    cost = np.zeros((n + 1, m + 1))
-    cost[1:, 1:] = -gain
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    row_of = np.zeros(m + 1, dtype=int)
-    for r in range(1, n + 1):
-        row_of[0], col = r, 0
-        least, came, done = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=int), np.zeros(m + 1, dtype=bool)
-        while True:
-            done[col] = True
-            now = cost[row_of[col]] - u[row_of[col]] - v
-            better = ~done & (now < least)
-            better[0] = False
-            least[better], came[better] = now[better], col
-            free = np.where(done, np.inf, least)
-            free[0] = np.inf
-            nxt = int(np.argmin(free))
-            step = free[nxt]
-            u[row_of[done]] += step
-            v[done] -= step
-            least[~done] -= step
-            col = nxt
-            if row_of[col] == 0:
-                break
-        while col:
-            row_of[col] = row_of[came[col]]
-            col = came[col]
-    return sorted((int(row_of[c]) - 1, c - 1) for c in range(1, m + 1) if row_of[c])
-
-
-def associate(dets: np.ndarray, tracks: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """Matched (detection, track). Where no box has two partners above the threshold they are taken as they are;
-    else the best total overlap decides, and pairs below the threshold fall out (one equal to it stays)."""
-    if not len(dets) or not len(tracks):
-        return []
-    overlap = iou_matrix(dets, tracks)
-    above = overlap > threshold
-    if above.sum(1).max() == 1 and above.sum(0).max() == 1:
-        return list(zip(*(x.tolist() for x in np.nonzero(above)), strict=True))
-    return [(d, t) for d, t in assignment(overlap) if overlap[d, t] >= threshold]
-
-
 def _empty(*shape):
     return field(default_factory=lambda: np.zeros(shape))
 
@@ -318,8 +266,9 @@ def assign_table(dets: DataFrame, tracks: DataFrame, threshold: float = 0.3) ->
         found = associate(d, t, threshold)
         det, trk = x.column("det_id").to_pylist(), y.column("track_id").to_pylist()
         pairs = [(det[a], trk[b]) for a, b in found]
-        pairs += [(v, None) for k, v in enumerate(det) if k not in {a for a, _ in found}]
-        pairs += [(None, v) for k, v in enumerate(trk) if k not in {b for _, b in found}]
+        met = {a for a, _ in found}, {b for _, b in found}
+        pairs += [(v, None) for k, v in enumerate(det) if k not in met[0]]
+        pairs += [(None, v) for k, v in enumerate(trk) if k not in met[1]]
         n = len(pairs)
         return pa.table({"camera_id": pa.array([key[0].as_py()] * n, pa.int32()), "frame": pa.array([key[1].as_py()] * n, pa.int32()), "det_id": pa.array([a for a, _ in pairs], pa.int64()), "track_id": pa.array([b for _, b in pairs], pa.int64())})
 

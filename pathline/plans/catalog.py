@@ -146,7 +146,41 @@ def track_segments(spark, sf_dir):
     return T.segments(load(spark, sf_dir, "raw_detections").select("camera_id", "frame").distinct())
 
 
-@query()
+# tracks of a frame are connected if they overlap with one detection; in each component every choice of detections is
+# tried, track by track, and the one with the largest total counts
+@query(
+    "WITH RECURSIVE "
+    + ctes("raw_detections", "given_tracks")[5:]
+    + """, d AS (SELECT camera_id, frame, det_id, x1, y1, x2, y2 FROM raw_detections WHERE score > 0.3 AND cls = 0),
+t AS (SELECT camera_id, frame, track_id, x1, y1, x2, y2 FROM given_tracks),
+w AS (SELECT camera_id, frame, det_id, track_id, greatest(0, least(d.x2, t.x2) - greatest(d.x1, t.x1)) * greatest(0, least(d.y2, t.y2) - greatest(d.y1, t.y1)) AS i,
+       (d.x2 - d.x1) * (d.y2 - d.y1) + (t.x2 - t.x1) * (t.y2 - t.y1) AS areas FROM d JOIN t USING (camera_id, frame)),
+p AS MATERIALIZED (SELECT camera_id, frame, det_id, track_id, i / (areas - i + 1e-12) AS o FROM w WHERE i > 0),
+f AS (SELECT camera_id, frame, max(n) = 1 AS plain FROM (
+        SELECT camera_id, frame, count(*) AS n FROM p WHERE o > 0.3 GROUP BY camera_id, frame, det_id
+        UNION ALL SELECT camera_id, frame, count(*) AS n FROM p WHERE o > 0.3 GROUP BY camera_id, frame, track_id) GROUP BY camera_id, frame),
+q AS MATERIALIZED (SELECT p.* FROM p LEFT JOIN f USING (camera_id, frame) WHERE NOT coalesce(plain, false)),
+e AS MATERIALIZED (SELECT DISTINCT a.camera_id, a.frame, a.track_id AS a, b.track_id AS b FROM q a JOIN q b USING (camera_id, frame, det_id)),
+r AS (SELECT camera_id, frame, a AS node, a AS seen FROM e UNION SELECT r.camera_id, r.frame, r.node, e.b FROM r JOIN e ON e.camera_id = r.camera_id AND e.frame = r.frame AND e.a = r.seen),
+c AS MATERIALIZED (SELECT camera_id, frame, node AS track_id, min(seen) AS comp FROM r GROUP BY ALL),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY camera_id, frame, comp ORDER BY track_id) AS k FROM c),
+x AS MATERIALIZED (
+  SELECT camera_id, frame, comp, k, track_id, det_id, o FROM n JOIN q USING (camera_id, frame, track_id)
+  UNION ALL SELECT camera_id, frame, comp, k, track_id, NULL, 0 FROM n),
+s AS (
+  SELECT camera_id, frame, comp, 0 AS k, [0::BIGINT] AS used, 0::DOUBLE AS total, []::STRUCT(track_id BIGINT, det_id BIGINT, o DOUBLE)[] AS chosen FROM n WHERE k = 1
+  UNION ALL
+  SELECT s.camera_id, s.frame, s.comp, s.k + 1, list_append(s.used, coalesce(x.det_id, -1)), s.total + x.o, list_append(s.chosen, {'track_id': x.track_id::BIGINT, 'det_id': x.det_id, 'o': x.o::DOUBLE})
+  FROM s JOIN x ON x.camera_id = s.camera_id AND x.frame = s.frame AND x.comp = s.comp AND x.k = s.k + 1 WHERE x.det_id IS NULL OR NOT list_contains(s.used, x.det_id)),
+z AS (SELECT camera_id, frame, comp, max(k) AS k FROM n GROUP BY ALL),
+b AS (SELECT s.camera_id, s.frame, unnest(arg_max(chosen, total)) AS m FROM s JOIN z USING (camera_id, frame, comp, k) GROUP BY s.camera_id, s.frame, comp),
+m AS (
+  SELECT camera_id, frame, m.det_id AS det_id, m.track_id AS track_id FROM b WHERE m.det_id IS NOT NULL AND m.o >= 0.3
+  UNION ALL SELECT camera_id, frame, det_id, track_id FROM p JOIN f USING (camera_id, frame) WHERE plain AND o > 0.3)
+SELECT camera_id, frame, det_id, track_id FROM m
+UNION ALL SELECT camera_id, frame, det_id, NULL FROM d WHERE (camera_id, frame, det_id) NOT IN (SELECT (camera_id, frame, det_id) FROM m)
+UNION ALL SELECT camera_id, frame, NULL, track_id FROM t WHERE (camera_id, frame, track_id) NOT IN (SELECT (camera_id, frame, track_id) FROM m)"""
+)
 def assign_detections(spark, sf_dir):
     dets, tracks = P.confident(load(spark, sf_dir, "raw_detections")), load(spark, sf_dir, "given_tracks")
     return T.assign_table(dets, tracks)

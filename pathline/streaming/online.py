@@ -21,6 +21,8 @@ from pathline.operators.tracking import TRACK, Tracker, Tracking, Tracks, fold,
 BOX = ["x1", "y1", "x2", "y2"]
 #: What stands for a null among whole numbers on the way: it comes first in order, as a null does.
 _NULL = -(1 << 63)
+#: Key of rows without a camera: a null key would take in the rows of another key beside it.
+_NO_CAMERA = -(1 << 31)
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -63,7 +65,7 @@ class _Camera(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         new = pd.concat(list(rows))
-        if pd.isna(key[0]):  # time alone
+        if key[0] == _NO_CAMERA:  # time alone
             return
         frame, born, late, timer = self.camera.get() if self.camera.exists() else (0, 0, 0, _NULL)
         before = pd.DataFrame(list(self.held.get()) if self.held.exists() else [], columns=self.HELD)
@@ -123,7 +125,7 @@ def track_stream(dets: DataFrame, p: Tracking = Tracking(), tracker: Callable[[T
     ts = F.lit(_NULL) if delay is None else F.coalesce(F.unix_millis("ts"), F.lit(_NULL))
     rows = dets if delay is None else dets.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     # ts goes on as a number: the store would drop late rows by their watermark, uncounted
-    rows = rows.filter(F.col("camera_id").isNull() | is_sound()).select("camera_id", F.coalesce("frame", F.lit(0)).cast("int").alias("frame"), _or_null("det_id"), *BOX, ts.alias("ts"))
+    rows = rows.filter(F.col("camera_id").isNull() | is_sound()).select(F.coalesce("camera_id", F.lit(_NO_CAMERA)).alias("camera_id"), F.coalesce("frame", F.lit(0)).cast("int").alias("frame"), _or_null("det_id"), *BOX, ts.alias("ts"))
     return _stateful(rows, "camera_id", _Camera(p, tracker, delay is not None), TRACK, "None" if delay is None else "EventTime")
 
 
@@ -216,10 +218,12 @@ def rolling_stream(metrics: DataFrame, n: int = 20, keep: int = 1_000_000) -> Da
     touches; a row older than those is dropped and counted: a row with iteration -1 has
     the number so far as seq. Null and NaN values count for nothing; a null name is a series of its own.
     """
-    rows = metrics.select("name", _or_null("iteration"), _or_null("seq"), F.col("value").cast("double").alias("value"))
+    # a null key would take in the rows of another key beside it, so names are told by a mark before them
+    name = F.coalesce(F.concat(F.lit("="), F.col("name")), F.lit("")).alias("name")
+    rows = metrics.select(name, _or_null("iteration"), _or_null("seq"), F.col("value").cast("double").alias("value"))
     out = _stateful(rows, "name", _Series(n, keep), "name string, iteration long, seq long, value double, median double, mean double, revision long")
     real = lambda c: F.when(F.col(c) != _NULL, F.col(c)).alias(c)
-    return out.select("name", real("iteration"), real("seq"), "value", "median", "mean", "revision")
+    return out.select(F.when(F.col("name") != "", F.substring("name", 2, 1 << 30)).alias("name"), real("iteration"), real("seq"), "value", "median", "mean", "revision")
 
 
 def revised(out: DataFrame) -> DataFrame:

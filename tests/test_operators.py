@@ -380,3 +380,33 @@ def test_passage_composes_as_a_loop():
                     last = x
             at = 0 if entry is None else int(np.searchsorted(bounds, entry + least))
             assert (int(exits[at]) if at < len(bounds) else entry) == last
+
+
+def plain_nearest(x, y, k, metric):
+    d = np.round(D.matrix(x, y, metric), 9)
+    return {(i, r + 1, int(j)) for i in range(len(x)) for r, j in enumerate(sorted(range(len(y)), key=lambda j: (d[i, j], j))[:k])}
+
+
+@pytest.mark.parametrize("metric", ["sqeuclidean", "euclidean", "cosine", "cosine2"])
+def test_cells_skip_pairs_and_change_nothing(spark, metric):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(12, 6)) * 8
+    x = np.round(centres[rng.integers(0, 12, 260)] + rng.normal(size=(260, 6)) * 0.2, 2)
+    y = np.round(centres[rng.integers(0, 12, 300)] + rng.normal(size=(300, 6)) * 0.2, 2)
+    y[40] = y[7]  # a tie
+    q, g = (spark.createDataFrame([*((i, [float(v) for v in r]) for i, r in enumerate(z)), (999, None)], "vec_id long, embedding array<double>") for z in (x, y))
+    made = D.Cells(*(df.filter("embedding IS NOT NULL").withColumnRenamed("vec_id", c) for df, c in ((q, "q_id"), (g, "g_id"))), 5, metric, 30, 0)
+    assert made.skipped > 0.5
+    got = {(r.q_id, r["rank"], r.g_id) for r in D.nearest(q, g, 5, metric, rows=16, cells=30).collect()}
+    assert got == plain_nearest(x, y, 5, metric)
+    assert {(r.q_id, r["rank"], r.g_id) for r in D.nearest(q, g, 5, metric).collect()} == got
+
+
+def test_cells_on_clustered_vectors_and_where_nothing_can_be_skipped(spark, sf_dir):
+    from pathline.sources.views import load
+
+    f = load(spark, sf_dir, "clustered").select("vec_id", "embedding")
+    plain = {(r.q_id, r["rank"], r.g_id) for r in D.nearest(f, f, 20).collect()}
+    assert {(r.q_id, r["rank"], r.g_id) for r in D.nearest(f, f, 20, cells=40).collect()} == plain
+    few = f.limit(4)
+    assert D.nearest(few, few, 9, cells=3).count() == 16 and D.nearest(f.limit(0), f, 3, cells=4).count() == 0 and D.nearest(f, f.limit(0), 3, cells=4).count() == 0

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pathline.operators import assignment as A
 from pathline.operators import detections as P
 from pathline.operators import tracking as T
 from pathline.plans import catalog
@@ -65,7 +66,7 @@ def plain_track(frames, last, p=T.Tracking()):
         for t in live:
             t.predict()
         boxes = np.array([t.box() for t in live]).reshape(-1, 4)
-        found = T.associate(np.array(dets).reshape(-1, 4), boxes, p.iou)
+        found = A.associate(np.array(dets).reshape(-1, 4), boxes, p.iou)
         for d, t in found:
             live[t].update(dets[d])
         for d in range(len(dets)):
@@ -119,17 +120,73 @@ def test_assignment_is_best():
         small, large = min(n, m), max(n, m)
         h = g if n <= m else g.T
         best = max(sum(h[i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(large), small))
-        pairs = T.assignment(g)
+        pairs = A.assignment(g)
         assert len(pairs) == small and len({a for a, _ in pairs}) == len({b for _, b in pairs}) == small
         assert abs(sum(g[a, b] for a, b in pairs) - best) < 1e-9
 
 
+def proven(rows):
+    """The pairs of the largest total, whose potentials prove it."""
+    column, u, v = A.best_pairs(rows)
+    gain = [dict(r) for r in rows]
+    used = [c for c in column if c >= 0]
+    assert len(used) == len(set(used))
+    total = sum(gain[r][c] for r, c in enumerate(column) if c >= 0)
+    assert min([0.0, *u, *v.values()]) >= 0
+    assert all(u[r] + v.get(c, 0.0) >= g - 1e-9 for r, row in enumerate(rows) for c, g in row)
+    assert abs(sum(u) + sum(v.values()) - total) < 1e-6 * max(1, total)
+    return total
+
+
+def test_potentials_prove_the_best_total():
+    rnd = random.Random(6)
+    for _ in range(300):
+        n, m = rnd.randrange(1, 6), rnd.randrange(1, 6)
+        rows = [[(c, rnd.choice([0.25, 0.5, rnd.random()])) for c in range(m) if rnd.random() < 0.6] for _ in range(n)]
+        gain = [dict(r) for r in rows]
+        best = max(sum(gain[r].get(c, 0.0) for r, c in enumerate(p) if c >= 0) for p in itertools.product(range(-1, m), repeat=n) if len([c for c in p if c >= 0]) == len({c for c in p if c >= 0}))
+        assert abs(proven(rows) - best) < 1e-9
+    for n in (40, 300):  # chains, where paths are long
+        rows = [[(k, 1 + rnd.random()), (k + 1, 1 + rnd.random())] for k in range(n)]
+        rnd.shuffle(rows)
+        proven(rows)
+
+
+def test_sweep_finds_all_overlaps():
+    rng = np.random.default_rng(8)
+    for n, m in ((1, 1), (30, 50), (200, 7)):
+        a, b = (np.concatenate([x := rng.uniform(0, 200, (k, 2)), x + rng.uniform(0, 40, (k, 2)) ** rng.choice([1, 1.2])], axis=1) for k in (n, m))
+        i, j, o = A.overlapping(a, b, together=9)
+        full = A.iou_matrix(a, b)
+        want = np.nonzero(full > 0)
+        assert (i == want[0]).all() and (j == want[1]).all() and (o == full[want]).all()
+
+
+def test_a_frame_of_5000_boxes_needs_no_matrix(monkeypatch):
+    rng = np.random.default_rng(9)
+    at = rng.uniform(0, 20_000, (5000, 2))
+    tracks = np.concatenate([at, at + rng.uniform(20, 60, (5000, 2))], axis=1)
+    dets = (tracks + rng.normal(size=(5000, 4)) * 3)[rng.permutation(5000)]
+    sizes = []
+    real = A._overlap
+    monkeypatch.setattr(A, "_overlap", lambda a, b: sizes.append(np.broadcast(a[..., 0], b[..., 0]).size) or real(a, b))
+    began = time.time()
+    found = A.associate(dets, tracks, 0.3)
+    assert len(found) > 4000 and max(sizes) <= A._TOGETHER and sum(sizes) < 5000 * 5000 / 20 and time.time() - began < 20
+    i, j, o = A.overlapping(dets, tracks)
+    rows = [[] for _ in range(5000)]
+    for r, c, g in zip(i.tolist(), j.tolist(), o.tolist(), strict=True):
+        rows[r].append((c, g))
+    gain = [dict(r) for r in rows]
+    assert abs(proven(rows) - sum(gain[r][c] for r, c in A.solved(i, j, o, 5000, 5000))) < 1e-6
+
+
 def test_threshold_of_both_paths():
     a = np.array([[0.0, 0, 10, 10]])
     b = np.array([[0.0, 0, 10, 5]])  # half of it
-    thr = float(T.iou_matrix(a, b)[0, 0])
-    assert T.associate(a, b, thr) == [(0, 0)]  # not above it, but the best pairs may equal it
-    assert T.associate(a, b, thr + 1e-9) == []
+    thr = float(A.iou_matrix(a, b)[0, 0])
+    assert A.associate(a, b, thr) == [(0, 0)]  # not above it, but the best pairs may equal it
+    assert A.associate(a, b, thr + 1e-9) == []
 
 
 def test_warm_up_and_late_birth(spark):
@@ -153,7 +210,7 @@ def test_greedy_suppression(spark):
     for f in range(3):
         left, kept = sorted((r for r in rows if r[2] == f), key=lambda r: (-r[7], r[0])), []
         for r in left:
-            if all(k[8] != r[8] or T.iou_matrix(np.array([k[3:7]]), np.array([r[3:7]]))[0, 0] <= 0.3 for k in kept):
+            if all(k[8] != r[8] or A.iou_matrix(np.array([k[3:7]]), np.array([r[3:7]]))[0, 0] <= 0.3 for k in kept):
                 kept.append(r)
         want |= {r[0] for r in kept}
     assert {r.det_id for r in P.suppress(df).collect()} == want
