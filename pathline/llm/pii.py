@@ -1,9 +1,11 @@
 """Personal data by bootstrapped contextual extraction.
 
 1. Regular forms (addresses of mail and network, card and phone numbers) are the seeds.
-   The same pass notes every other identifier-like mention: up to four tokens in a row that
-   have a digit or an @, four digits or an @ in all.
-2. Lexical patterns: the word before a token or entity, the two before, the word after, the
+   The same pass notes every other identifier-like mention: the longest run of tokens, one blank
+   apart, that each have two digits, an @, or a digit and no more letters, and touch no regular form. What stands inside a
+   longer run and looks like a regular form counts by its shape alone, so that parts of a run
+   do not stand beside it in a context.
+2. Lexical patterns: the word before a run or entity, the two before, the word after, the
    words on both sides, and the shape of a mention (letters and digits as such). Digits
    within context words are one digit, so that numbers before it are a pattern too.
 3. The graph has a row for each distinct pair of pattern and instance (what a mention says).
@@ -12,17 +14,22 @@
    bound of the share, so that few instances do not make a high score). Patterns with
    enough support and a score above the bar are accepted; so are the instances that they
    introduce, worth more the more of them agree (1 - product of 1 - score); these induce
-   further patterns in the next round. Seeds stay at 1. Rounds end when nothing is added.
+   further patterns in the next round. Seeds stay at 1. Rounds end when a round accepts the same instances.
 4. Accepted patterns mark the mentions they introduce, by the kind of the seeds they share.
 
-Pairs are made distinct before they are counted, sums are taken before the shuffle, and
-joins meet on one row for each pattern or instance, so a pattern of very many mentions is
-split like any other large group.
+A text is cut into tokens once, and a context is looked up by the number of a token, so the
+work is linear in a text, blanks or not. Mentions are not stored: texts are read once for
+the pairs, which are made distinct before they are dealt, and once to be marked. Sums are taken
+before the shuffle, and joins meet on one row for each pattern or instance, so a pattern of
+very many mentions is split like any other large group.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,25 +43,27 @@ from pathline.llm.batches import settle, texts_of
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of what the method adds, by the seeds that its patterns share.
 FOUND = tuple(f"like_{k}" for k in KINDS)
+#: Sorts of patterns that hold the words before a mention.
+INTRODUCING = ("left", "left2", "both")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: What makes a token part of an identifier-like mention.
+#: What a token of an identifier-like mention has; with a single digit it has no more letters than digits (B7, not room7).
 _MARKED = re.compile(r"[0-9@]")
-#: Tokens of a mention at most.
-_TOKENS = 4
 
 
 @dataclass(frozen=True)
 class Bootstrap:
-    """support: accepted instances of one kind that a pattern needs; bar: score of patterns that are accepted; rounds
-    at most; block: patterns that go to all executors at once (24 bytes each)."""
+    """support: accepted instances of one kind that a pattern needs; bar: score of patterns with the words before that are
+    accepted; weak_bar: of shapes and words after, which say less (a number that fails the check of a regular form has
+    its shape too, and anything can be followed by the same word); rounds at most; block: patterns that go to all executors at once (24 bytes each)."""
 
     support: int = 5
-    bar: float = 0.6
-    rounds: int = 6
+    bar: float = 0.4
+    weak_bar: float = 0.6
+    rounds: int = 12
     block: int = 1_000_000
 
 
@@ -98,89 +107,148 @@ def regular_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def mentions(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Identifier-like mentions that touch no span, without punctuation at their ends (a + before a digit stays)."""
-    out, row, at = [], [], 0
-
-    def close() -> None:
-        for i in range(len(row)):
-            for j in range(i, min(len(row), i + _TOKENS)):
-                a, b = row[i][0], row[j][1]
-                while a < b and not (text[a].isalnum() or text[a] == "+" and text[a + 1 : a + 2].isdigit()):
-                    a += 1
-                while b > a and not text[b - 1].isalnum():
-                    b -= 1
-                said = text[a:b]
-                if "@" in said or sum(map(said.count, "0123456789")) >= 4:
-                    out.append((a, b))
-        row.clear()
-
-    while m := _MARKED.search(text, at):
-        a, b = m.start(), m.end()
-        while a > at and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and not text[b].isspace():
-            b += 1
-        if row and text[row[-1][1] : a] != " ":
-            close()
-        row.append((a, b))
-        at = b
-    close()
-    out = sorted(set(out))
-    if not spans:
-        return out
-    # spans of several kinds can overlap: an end is compared with the last end of those before it
-    start, past = [s for s, _, _ in spans], []
-    for _, _, e in spans:
-        past.append(max(e, past[-1]) if past else e)
-    k = np.searchsorted(start, [b for _, b in out]) if out else []
-    return [x for x, n in zip(out, k, strict=True) if not n or past[n - 1] <= x[0]]
-
-
+_TOKEN = re.compile(r"\S+")
+#: What in a longer run looks like a regular form: a row of digits, or numbers with dots between them.
+_ROW = re.compile(r"\+?[0-9(][\x20().0-9-]*[0-9]")
+_ROW_START = re.compile(r"\+?[0-9(][\x20().0-9-]*")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_ROW_DIGITS = range(9, 20)
+#: Shapes of rows of digits that go to all tasks.
+SHAPES = 100_000
+_DIGIT = re.compile(r"[0-9]")
 _ZERO = str.maketrans("123456789", "000000000")
 _SHAPE = re.compile(r"[^\W\d_]")
 
 
-def _word(text: str, at: int, step: int) -> tuple[str, int]:
-    """The word next to place `at` going back (step -1) or on (1), in lower case with one digit for all, and its far end."""
-    i = at
-    if step < 0:
-        while i > 0 and text[i - 1].isspace():
-            i -= 1
-        j = i
-        while i > 0 and not text[i - 1].isspace():
-            i -= 1
-        return text[i:j].lower().translate(_ZERO), i
-    while i < len(text) and text[i].isspace():
-        i += 1
-    j = i
-    while j < len(text) and not text[j].isspace():
-        j += 1
-    return text[i:j].lower().translate(_ZERO), j
+def shape_of(said: str) -> str:
+    return _SHAPE.sub("a", said).translate(_ZERO)
+
+
+class Text:
+    """A text cut into tokens (runs of what is no blank), with its entities."""
+
+    def __init__(self, text: str, spans: list[tuple[int, int, int]] | None = None):
+        self.text = text
+        self.spans = regular_spans(text) if spans is None else spans
+        self.start, self.end = [], []
+        for m in _TOKEN.finditer(text):
+            self.start.append(m.start())
+            self.end.append(m.end())
+        self._word: dict[int, str] = {}
+        self._starts = [a for a, _, _ in self.spans]
+        self._ends = sorted(b for _, _, b in self.spans)
+        self._past: list[int] = []  # the last end of the entities up to each
+        for _, _, b in self.spans:
+            self._past.append(max(b, self._past[-1]) if self._past else b)
+
+    def word(self, k: int) -> str:
+        """Token k in lower case with one digit for all; none beyond the ends."""
+        if not 0 <= k < len(self.start):
+            return ""
+        if k not in self._word:
+            self._word[k] = self.text[self.start[k] : self.end[k]].lower().translate(_ZERO)
+        return self._word[k]
+
+    def _free(self, a: int, b: int) -> bool:
+        k = bisect_left(self._starts, b)
+        return k == 0 or self._past[k - 1] <= a
+
+    def _bare(self, a: int, b: int) -> tuple[int, int]:
+        """Without punctuation at the ends (a + before a digit stays)."""
+        t = self.text
+        while a < b and not (t[a].isalnum() or t[a] == "+" and t[a + 1 : a + 2].isdigit()):
+            a += 1
+        while b > a and not t[b - 1].isalnum():
+            b -= 1
+        return a, b
+
+    def _like(self, a: int, b: int) -> bool:
+        digits = _DIGIT.finditer(self.text, a, b)
+        next(digits, None)
+        return next(digits, None) is not None or self.text.find("@", a, b) >= 0 or sum(map(str.isalpha, self.text[a : min(b, a + 99)])) <= 1
+
+    def runs(self) -> Iterator[list[int]]:
+        """Numbers of the tokens of each longest run."""
+        run, at = [], 0
+        while m := _MARKED.search(self.text, at):
+            k = bisect_right(self.start, m.start()) - 1
+            at = self.end[k]
+            free = self._free(self.start[k], at) and self._like(self.start[k], at)
+            if run and not (free and run[-1] == k - 1 and self.text[self.end[k - 1] : self.start[k]] == " "):
+                yield run
+                run = []
+            if free:
+                run.append(k)
+        if run:
+            yield run
+
+    def mentions(self, shapes: frozenset[str] | None = None) -> list[tuple[int, int, bool]]:
+        """(start, end, whether it is a longest run) of identifier-like mentions, in order; of a run's parts that are rows of
+        digits only those of the given shapes, if there are any."""
+        out = []
+        for run in self.runs():
+            a, b = self._bare(self.start[run[0]], self.end[run[-1]])
+            if _MARKED.search(self.text, a, b):
+                out.append((a, b, True))
+            if len(run) > 1:
+                parts = (p for p in self._forms(run) if p != (a, b))
+                out += [(x, y, False) for x, y in parts if shapes is None or "@" in self.text[x:y] or shape_of(self.text[x:y]) in shapes]
+        return sorted(set(out))
+
+    def _forms(self, run: list[int]) -> Iterator[tuple[int, int]]:
+        """Parts of a run that look like a regular form; as such has few digits, a token begins few of them."""
+        digits = [len(_DIGIT.findall(self.text, self.start[k], self.end[k])) for k in run]
+        for i, k in enumerate(run):
+            n = 0
+            for j in range(i, len(run)):
+                n += digits[j]
+                if n >= _ROW_DIGITS.stop:
+                    break
+                a, b = self._bare(self.start[k], self.end[run[j]])
+                if n in _ROW_DIGITS and _ROW.fullmatch(self.text, a, b) or i == j and _DOTTED.fullmatch(self.text, a, b):
+                    yield a, b
+                elif not digits[j] or not _ROW_START.fullmatch(self.text, a, b):
+                    break  # nothing longer that begins here is a row of digits
+            if "@" in self.word(k):
+                yield self._bare(self.start[k], self.end[k])
+
+    def context(self, a: int, b: int) -> tuple[str, str, str]:
+        """The words before a, before those, and after b. What else a token holds is a word of its own, up to the next entity."""
+        k = bisect_right(self.start, a) - 1
+        e = bisect_right(self._ends, a)
+        lo = max(self.start[k], self._ends[e - 1]) if e else self.start[k]
+        first = lo == self.start[k]
+        if lo < a:
+            one, two = self.text[lo:a].lower().translate(_ZERO), self.word(k - 1) if first else ""
+        else:
+            one, two = (self.word(k - 1), self.word(k - 2)) if first else ("", "")
+        k = bisect_right(self.start, b - 1) - 1
+        e = bisect_left(self._starts, b)
+        hi = min(self.end[k], self._starts[e]) if e < len(self._starts) else self.end[k]
+        after = self.text[b:hi].lower().translate(_ZERO) if b < hi else self.word(k + 1) if hi == self.end[k] else ""
+        return one, two, after
+
+    def patterns(self, a: int, b: int, whole: bool = True) -> list[tuple[str, str]]:
+        """Lexical patterns: (sort, words); of a part of a run the shape alone."""
+        out = [("shape", shape_of(self.text[a:b]))]
+        if not whole:
+            return out
+        one, two, after = self.context(a, b)
+        if one:
+            out.append(("left", one))
+            if two:
+                out.append(("left2", f"{two} {one}"))
+        if after:
+            out.append(("right", after))
+            if one:
+                out.append(("both", f"{one} {after}"))
+        return out
 
 
 def _hash(kind: str, said: str) -> int:
-    return xxhash.xxh3_64_intdigest(f"{kind} {said}".encode()) - (1 << 63)
-
-
-def patterns_of(text: str, a: int, b: int, alone: bool = True) -> list[tuple[str, str]]:
-    """Lexical patterns: (sort, words); of several tokens that are no entity the shape alone, as any of them may be
-    what the words around them introduce."""
-    out = [("shape", _SHAPE.sub("a", text[a:b]).translate(_ZERO))]
-    if not alone:
-        return out
-    one, at = _word(text, a, -1)
-    after = _word(text, b, 1)[0]
-    if one:
-        out.append(("left", one))
-        two = _word(text, at, -1)[0]
-        if two:
-            out.append(("left2", f"{two} {one}"))
-    if after:
-        out.append(("right", after))
-        if one:
-            out.append(("both", f"{one} {after}"))
-    return out
+    """64 bits; the last one tells what has the words before (1) from shapes and words after (0)."""
+    h = xxhash.xxh3_64_intdigest(f"{kind} {said}".encode())
+    return (h & ~1 | (kind in INTRODUCING)) - (1 << 63)
 
 
 def instance_of(text: str, a: int, b: int) -> int:
@@ -191,17 +259,31 @@ _MENTION = [("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("
 _FOUND_SCHEMA = "doc_id long, found array<struct<kind:int,start:long,end:long,instance:long,patterns:array<long>>>"
 
 
-def candidates(docs: DataFrame) -> DataFrame:
+def row_shapes(docs: DataFrame, support: int) -> frozenset[str] | None:
+    """Shapes that at least `support` different seeds other than mail addresses have. They are few, as such seeds have at most 19
+    digits; if they are more than SHAPES all the same, None: then any shape may be looked for."""
+
+    def read(text: str) -> list[tuple[str, int]]:
+        return [(shape_of(text[a:b]), instance_of(text, a, b)) for a, k, b in regular_spans(text) if k]
+
+    def run(batches):
+        for batch in batches:
+            rows = list({x for t in batch.column("text").to_pylist() if t for x in read(t)})
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], type=pa.string()), pa.array([x[1] for x in rows], type=pa.int64())], ["shape", "instance"])
+
+    each = texts_of(docs).mapInArrow(run, "shape string, instance long").distinct()
+    shapes = each.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= support).select("shape").limit(SHAPES + 1).collect()
+    return frozenset(r["shape"] for r in shapes) if len(shapes) <= SHAPES else None
+
+
+def candidates(docs: DataFrame, shapes: frozenset[str] | None = None) -> DataFrame:
     """doc_id and found: entities (kinds 0 to 3) and other mentions (kind -1) with hashes of what they say and of
-    their patterns, in order, for each row of docs. A null text has none."""
+    their patterns, in order, for each row of docs. A null text has none. shapes: see `Text.mentions`."""
 
-    def read(text: str) -> list[dict]:
-        spans = regular_spans(text)
-        every = sorted([*spans, *((a, -1, b) for a, b in mentions(text, spans))])
-        return [
-            {"kind": k, "start": a, "end": b, "instance": instance_of(text, a, b), "patterns": [_hash(*p) for p in patterns_of(text, a, b, k >= 0 or " " not in text[a:b])]}
-            for a, k, b in every
-        ]
+    def read(said: str) -> list[dict]:
+        text = Text(said)
+        every = sorted([*((a, k, b, True) for a, k, b in text.spans), *((a, -1, b, whole) for a, b, whole in text.mentions(shapes))])
+        return [{"kind": k, "start": a, "end": b, "instance": instance_of(said, a, b), "patterns": [_hash(*p) for p in text.patterns(a, b, whole)]} for a, k, b, whole in every]
 
     def run(batches):
         for batch in batches:
@@ -226,21 +308,23 @@ def learn(found: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
     able = settle(able, "able")  # a table of its own, so that a pattern of very many instances can be split in the join
     seeds = settle(edges.filter("kind >= 0").groupBy("instance").agg(F.min("kind").alias("of"), F.lit(1.0).alias("worth")), "seeds")
     graph = settle(edges.join(able, "pattern").select("pattern", "instance", "total"), "graph")
-    accepted, size = seeds, -1
+    accepted, last = seeds, None
     best = None
     for _ in range(how.rounds):
         held = graph.join(accepted, "instance").groupBy("pattern", "total", "of").agg(F.count(F.lit(1)).alias("support"), F.sum("worth").alias("s"))
         scored = held.filter(F.col("support") >= how.support).withColumn("score", lower_share(F.col("s"), F.col("total").cast("double")))
-        top = scored.filter(F.col("score") >= how.bar).groupBy("pattern").agg(F.max(F.struct("score", -F.col("of"))).alias("x"))
+        bar = F.when(F.col("pattern").bitwiseAND(F.lit(1)) == 0, how.weak_bar).otherwise(how.bar)
+        top = scored.filter(F.col("score") >= bar).groupBy("pattern").agg(F.max(F.struct("score", -F.col("of"))).alias("x"))
         best = settle(top.select("pattern", (-F.col("x.col2")).cast("int").alias("of"), F.col("x.score").alias("score")), "accepted")
         agreed = graph.join(best, "pattern").groupBy("instance", "of").agg((1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("score"))
         new = agreed.groupBy("instance").agg(F.max(F.struct("score", -F.col("of"))).alias("x"))
         new = new.join(seeds.select("instance"), "instance", "left_anti").select("instance", (-F.col("x.col2")).cast("int").alias("of"), F.col("x.score").alias("worth"))
         new = settle(new, "instances")
-        was, size = size, new.count()
-        if size == was:
+        if last is not None and last.select("instance").exceptAll(new.select("instance")).isEmpty() and new.select("instance").exceptAll(last.select("instance")).isEmpty():
             break
-        accepted = seeds.unionByName(new)
+        last, accepted = new, seeds.unionByName(new)
+    else:
+        warnings.warn(f"after {how.rounds} rounds other instances are still accepted", stacklevel=2)
     return best.select("pattern", F.col("of").alias("kind"), "score")
 
 
@@ -295,7 +379,7 @@ def extract(docs: DataFrame, how: Bootstrap = Bootstrap()) -> DataFrame:
     kind like_email, like_ip, like_card or like_phone with the score of its best pattern.
     A null or empty text has none; repeated rows are read one by one.
     """
-    found = settle(candidates(docs), "candidates")
+    found = candidates(docs, row_shapes(docs, how.support))
     learned = settle(learn(found, how), "learned")
     n = learned.count()
     blocks = max(1, -(-n // how.block))

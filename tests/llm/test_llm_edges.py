@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pathline.llm import batches, contamination, counts, jaccard, pieces, quality, secrets, substrings
+from pathline.llm import batches, contamination, counts, jaccard, pieces, pii, quality, secrets, substrings
 from test_llm_groups import corpus, plain_groups
 from test_llm_queries import DOC, clashing, odd_rows
 
@@ -119,6 +119,8 @@ def test_long_texts_elsewhere(spark, long_texts):
     items = spark.createDataFrame([(7, " ".join(part))], BENCH)
     hit = {r.doc_id: [tuple(s) for s in r.spans] for r in contamination.contamination(df, items).collect()}
     assert hit == {1: [(700_000, 700_020)], 2: [(700_000, 700_020)], 3: [(0, 20)], 4: [], 5: []}
+    read = {r.doc_id: r.spans for r in pii.extract(df.withColumn("text", F.concat("text", F.lit(" me@x.org")))).collect()}
+    assert all([(s.kind, s.end - s.start) for s in read[i]] == [("email", 8)] for i in read) and len(read) == 5
     short = df.filter("doc_id > 3")
     assert {r.doc_id for r in counts.count_tokens(short, public_tokenizers.path("word_bpe_49k.json")).collect()} == {4, 5}
     assert {r.doc_id for r in pieces.encode_decode(short, public_tokenizers.path("piece_bpe_32k.model")).collect()} == {4, 5}
