@@ -842,6 +842,17 @@ def metrics_json(spark, sf_dir):
     return S.metric_lines(_metrics(spark, sf_dir))
 
 
+@query(
+    ctes("metrics")
+    + """, l AS (SELECT iteration, name, value FROM metrics QUALIFY row_number() OVER (PARTITION BY iteration, name ORDER BY seq DESC) = 1)
+SELECT iteration, max(CASE WHEN name = 'loss_cls' THEN value END) AS loss_cls, max(CASE WHEN name = 'loss_triplet' THEN value END) AS loss_triplet,
+       max(CASE WHEN name = 'time' THEN value END) AS time, max(CASE WHEN name = 'data_time' THEN value END) AS data_time, max(CASE WHEN name = 'lr' THEN value END) AS lr
+FROM l GROUP BY iteration"""
+)
+def metrics_wide(spark, sf_dir):
+    return S.metric_table(_metrics(spark, sf_dir))
+
+
 # --- hooks ---------------------------------------------------------------------------------------------
 
 

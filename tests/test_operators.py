@@ -410,3 +410,15 @@ def test_cells_on_clustered_vectors_and_where_nothing_can_be_skipped(spark, sf_d
     assert {(r.q_id, r["rank"], r.g_id) for r in D.nearest(f, f, 20, cells=40).collect()} == plain
     few = f.limit(4)
     assert D.nearest(few, few, 9, cells=3).count() == 16 and D.nearest(f.limit(0), f, 3, cells=4).count() == 0 and D.nearest(f, f.limit(0), 3, cells=4).count() == 0
+
+
+def test_metric_lines_and_table_with_odd_names(spark):
+    import json
+
+    names = ['a"b', "back\\slash", "tab\there", "line\nbreak", "plain", "é中"]
+    rows = [(n, 1, k, float(k)) for k, n in enumerate(names)] + [("plain", 1, 99, 7.0), ("plain", 2, 0, 1.0), (None, 1, 5, 5.0), ("none", 2, 1, None)]
+    df = spark.createDataFrame(rows, SERIES)
+    lines = {json.loads(r.line)["iteration"]: json.loads(r.line) for r in S.metric_lines(df).collect()}
+    assert lines == {1: {"iteration": 1, **{n: float(k) for k, n in enumerate(names)}, "plain": 7.0}, 2: {"iteration": 2, "plain": 1.0}}
+    table = {r.iteration: r.asDict() for r in S.metric_table(df).collect()}
+    assert table[1] == {**lines[1], "none": None} and table[2]["plain"] == 1.0 and table[2]["é中"] is None
