@@ -42,10 +42,11 @@ def intervals(entries: DataFrame) -> DataFrame:
     """entries (key, listed_on date, action 'add' or 'remove') -> key and spans: since and until (exclusive, null:
     still holds) of the times at which it is on the list, in order.
 
-    Of several entries of one key and day 'remove' counts. Entries with a null field are
-    left out, and keys that are never on the list.
+    Of several entries of one key and day 'remove' counts. Entries with a null field or another
+    action are left out, and keys that are never on the list.
     """
-    days = entries.select("key", "listed_on", "action").dropna().groupBy("key", "listed_on").agg(F.max("action").alias("action"))
+    known = entries.select("key", "listed_on", "action").dropna().filter(F.col("action").isin("add", "remove"))
+    days = known.groupBy("key", "listed_on").agg(F.max("action").alias("action"))
     history = days.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("listed_on", "action"))).alias("h"))
     each = F.transform("h", lambda e, i: F.struct(e["action"].alias("action"), e["listed_on"].alias("since"), F.get("h", i + 1)["listed_on"].alias("until")))
     held = F.transform(F.filter(each, lambda e: e["action"] == "add"), lambda e: F.struct(e["since"].alias("since"), e["until"].alias("until")))

@@ -403,7 +403,7 @@ def test_index_of_segments(spark):
 
 
 def test_list_entries_hold_for_their_time(spark):
-    rows = [("bad.org", "2024-01-10", "add"), ("bad.org", "2024-03-01", "remove"), ("bad.org", "2025-01-01", "add"), ("x.net/ads", "2024-01-01", "add"), ("bad.org", "2024-03-01", "add"), (None, "2024-01-01", "add")]
+    rows = [("bad.org", "2024-01-10", "add"), ("bad.org", "2024-03-01", "remove"), ("bad.org", "2025-01-01", "add"), ("x.net/ads", "2024-01-01", "add"), ("bad.org", "2024-03-01", "add"), ("bad.org", "2024-02-01", "delist"), (None, "2024-01-01", "add")]
     entries = spark.createDataFrame(rows, "key string, listed_on string, action string").withColumn("listed_on", F.to_date("listed_on"))
     days = [(1, "http://a.bad.org/", "2024-01-09"), (2, "http://a.bad.org:80/x", "2024-01-10"), (3, "https://u@BAD.org./", "2024-02-29"), (4, "http://bad.org", "2024-03-01"), (5, "http://bad.org", "2026-01-01"), (6, "http://x.net/ads/1", "2024-06-01"), (7, "http://x.net/", "2024-06-01"), (8, None, "2024-06-01"), (9, "http://bad.org", None), (2, "http://a.bad.org:80/x", "2024-01-10")]
     got = sorted((r.page_id, r.blocked) for r in urls.judge(spark.createDataFrame(days, "page_id long, url string, fetched_on string"), entries).collect())
