@@ -91,6 +91,8 @@ def luhn(digits: str) -> bool:
 
 def regular_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end) of every entity of a regular form, in order."""
+    if not _MARKED.search(text):
+        return []  # each has a digit or an @
     out = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
     for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
@@ -107,7 +109,8 @@ def regular_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-_TOKEN = re.compile(r"\S+")
+#: Whether a code point is a blank, up to the last one that is.
+_BLANK = np.array([chr(c).isspace() for c in range(0x3001)] + [False])
 #: What in a longer run looks like a regular form: a row of digits, or numbers with dots between them.
 _ROW = re.compile(r"\+?[0-9(][\x20().0-9-]*[0-9]")
 _ROW_START = re.compile(r"\+?[0-9(][\x20().0-9-]*")
@@ -124,16 +127,22 @@ def shape_of(said: str) -> str:
     return _SHAPE.sub("a", said).translate(_ZERO)
 
 
+def tokens_of(text: str) -> tuple[list[int], list[int]]:
+    """Starts and ends of all runs of what is no blank."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    word = np.zeros(len(codes) + 2, dtype=np.int8)
+    word[1:-1] = ~_BLANK[np.minimum(codes, len(_BLANK) - 1)]
+    edge = np.diff(word)
+    return np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()
+
+
 class Text:
     """A text cut into tokens (runs of what is no blank), with its entities."""
 
     def __init__(self, text: str, spans: list[tuple[int, int, int]] | None = None):
         self.text = text
         self.spans = regular_spans(text) if spans is None else spans
-        self.start, self.end = [], []
-        for m in _TOKEN.finditer(text):
-            self.start.append(m.start())
-            self.end.append(m.end())
+        self.start, self.end = tokens_of(text) if self.spans or _MARKED.search(text) else ([], [])
         self._word: dict[int, str] = {}
         self._starts = [a for a, _, _ in self.spans]
         self._ends = sorted(b for _, _, b in self.spans)
@@ -169,7 +178,7 @@ class Text:
 
     def runs(self) -> Iterator[list[int]]:
         """Numbers of the tokens of each longest run."""
-        run, at = [], 0
+        run, at = [], 0 if self.start else len(self.text)
         while m := _MARKED.search(self.text, at):
             k = bisect_right(self.start, m.start()) - 1
             at = self.end[k]
