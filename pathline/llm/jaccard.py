@@ -2,15 +2,19 @@
 
 1. `signatures` counts for each document how many of its shingles come up in another
    document (see `exchange`). Fewer than the threshold asks for: it has no partner.
-2. Equal sets become one class. Classes that share one of their rarest shingles (a prefix
-   of each set that two similar sets must share) form loose groups.
+2. Equal sets become one class. Of two similar sets the larger has one of its rarest shingles
+   (a prefix as long as `percent` leaves) among those of a shorter prefix of the smaller,
+   whose partner must have more in common with it; and their sizes lie in one range or in
+   two beside each other. Classes that this connects form loose groups. So sets that share
+   a template, but not enough of it, and have shingles of their own, meet nowhere.
 3. Groups are cut into blocks of bounded size; in a block a T-occurrence search with
    DivideSkip finds partners: the short postings of rare shingles are heap-merged, the long
    ones only probed, the shorter first, for what can still reach the needed overlap. A
-   document that is connected to all it could find is not searched for again.
+   document that is connected to all it could find is not searched for again. Shingles that
+   all sets of a block have count for every pair alike and are not searched.
 4. A group of several blocks shares some members among all of them; what is then still
-   apart from the group's main part is searched for in every block where a shared rare
-   shingle says that a partner can be.
+   apart from the group's main part is searched for in every block where a rare shingle and
+   the sizes, as in 2, say that a partner can be.
 
 No pair is listed for a group of copies; the work follows the number of documents.
 """
@@ -116,9 +120,9 @@ def signatures(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     return back.groupBy("chunk").applyInArrow(gather, "doc_id long, n long, key1 long, key2 long, shared long")
 
 
-def _needed(n: int, percent: int) -> int:
-    """Shingles of a set of n that a similar set has at least."""
-    return -(-percent * n // 100)
+def _common(n, m, percent: int):
+    """Shingles that similar sets of n and m have in common at least."""
+    return -(-percent * (n + m) // (100 + percent))
 
 
 def _counted(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -151,6 +155,7 @@ def t_occurrence(sets: list[np.ndarray], asked: list[int], percent: int = PERCEN
     values, owner = values[order], owner[order]
     distinct, first = np.unique(values, return_index=True)
     last = np.append(first[1:], len(values))
+    everywhere = int(np.count_nonzero(last - first == m))  # these separate nothing
     del values, order
     group, links = np.arange(m), []
     for q in asked:
@@ -162,16 +167,20 @@ def t_occurrence(sets: list[np.ndarray], asked: list[int], percent: int = PERCEN
             continue
         lists = np.searchsorted(distinct, sets[q])
         length = last[lists] - first[lists]
-        lists, length = lists[length > 1], length[length > 1]
-        need = _needed(n, percent)
+        some = (length > 1) & (length < m)
+        lists, length = lists[some], length[some]
+        need = int(_common(n, sizes[fit].min(), percent)) - everywhere
         if len(lists) < need:
             continue
         lists = lists[np.argsort(length, kind="stable")]
-        n_long = _divide(length, need)
+        n_long = _divide(length, need) if need > 0 else len(lists)
         rare, long = lists[: len(lists) - n_long].tolist(), lists[len(lists) - n_long :].tolist()
-        found, count = _counted([owner[first[k] : last[k]].tolist() for k in rare])
-        # the overlap that a pair of these sizes must have
-        least = -(-percent * (n + sizes[found]) // (100 + percent))
+        if need > 0:
+            found, count = _counted([owner[first[k] : last[k]].tolist() for k in rare])
+        else:
+            found, count = np.flatnonzero(fit), np.zeros(np.count_nonzero(fit), dtype=np.int64)
+        # the overlap that a pair of these sizes must have, beside what all have
+        least = _common(n, sizes[found], percent) - everywhere
         left = n_long
         able = fit[found] & (count + left >= least)
         found, count, least = found[able], count[able], least[able]
@@ -229,21 +238,33 @@ def _class_sets(texts: DataFrame, classes: DataFrame, width: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """class_id, token: of each set the rarest shingles, so many that a similar set has one of them in its own."""
+    """class_id, band, token, indexed: of each set the rarest shingles, so many that a similar set has one of them
+    in its own. If that set is no smaller, it has one of the `indexed`: fewer, as more must be common then.
+
+    band is a range of sizes; those of similar sets are the same or side by side.
+    """
     rows = sets.select("class_id", "n", F.explode("tokens").alias("token"))
     held = rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    need = F.ceil(F.col("n") * percent / 100)
+    need, more = F.ceil(F.col("n") * percent / 100), F.ceil(F.col("n") * 2 * percent / (100 + percent))
+    band = F.floor(F.log("n") / (math.log(100 / percent) + 1e-9)).alias("band")
     ranked = rows.join(held, "token").groupBy("class_id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    some = ranked.filter(F.size("t") >= need)
-    return some.select("class_id", F.explode(F.slice("t", F.lit(1), (F.size("t") - need + 1).cast("int"))).alias("x")).select("class_id", F.col("x.token").alias("token"))
+    # shingles of one set alone come before all others; so `t` is the end of a set in order of rarity
+    some = ranked.filter(F.size("t") >= need).withColumns({"first": F.size("t") - need + 1, "short": F.size("t") - more + 1})
+    each = some.select("class_id", band, "short", F.posexplode(F.slice("t", F.lit(1), F.col("first").cast("int"))).alias("at", "x"))
+    return each.select("class_id", "band", F.col("x.token").alias("token"), (F.col("at") < F.col("short")).alias("indexed"))
+
+
+def _loose(prefix: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that connect whatever a prefix of the larger and the indexed one of the smaller share."""
+    least = prefix.filter("indexed").groupBy("token", "band").agg(F.min("class_id").alias("b"))
+    near = least.select("token", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), "b")
+    return prefix.join(near, ["token", "band"]).filter("class_id <> b").select(F.col("class_id").alias("a"), "b").distinct()
 
 
 def _links(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes (a, b) that connect all that similar sets connect."""
     prefix = settle(_prefixes(sets, percent), "prefixes")
-    least = prefix.groupBy("token").agg(F.min("class_id").alias("b"))
-    loose = prefix.join(least, "token").filter("class_id <> b").select(F.col("class_id").alias("a"), "b").distinct()
-    group = components(loose, "loose")
+    group = components(_loose(prefix), "loose")
     sized = group.join(sets.select(F.col("class_id").alias("node"), "n").distinct(), "node")
     total = sized.groupBy("component").agg(
         F.count(F.lit(1)).alias("sets"),
@@ -267,11 +288,20 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     main = counts.groupBy("component").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     apart = mine.join(main, "component").filter("label <> main").select("component", "node", "label")
     tokens = prefix.withColumnRenamed("class_id", "node")
-    # a row for each token: the blocks that it leads to, with the least and largest label there; so no pair of sets is a row
-    blocks = tokens.join(mine, "node").groupBy("token", "component", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-    there = blocks.groupBy("token", "component").agg(F.collect_list(F.struct("part", "lo", "hi")).alias("parts"))
-    other = F.transform(F.filter("parts", lambda p: (p["lo"] != F.col("label")) | (p["hi"] != F.col("label"))), lambda p: p["part"])
-    asked = tokens.join(apart, "node").join(there, ["token", "component"]).select("component", "node", other.alias("parts")).filter("size(parts) > 0")
+    # a row for each token: the blocks that it leads to, with the least and largest label there (lo, hi; of indexed
+    # sets first, last) by band; so no pair of sets is a row
+    label, held = F.col("label"), F.when(F.col("indexed"), F.col("label"))
+    ends = [F.min(label).alias("lo"), F.max(label).alias("hi"), F.min(held).alias("first"), F.max(held).alias("last")]
+    blocks = tokens.join(mine, "node").groupBy("token", "component", "part", "band").agg(*ends)
+    there = blocks.groupBy("token", "component").agg(F.collect_list(F.struct("part", F.col("band").alias("at"), "lo", "hi", "first", "last")).alias("parts"), F.count("first").alias("c"))
+
+    def other(p):
+        smaller = p["at"].isin(F.col("band"), F.col("band") - 1) & ((p["first"] != label) | (p["last"] != label))
+        larger = F.col("indexed") & p["at"].isin(F.col("band"), F.col("band") + 1) & ((p["lo"] != label) | (p["hi"] != label))
+        return F.coalesce(smaller, F.lit(False)) | larger
+
+    lead = F.transform(F.filter("parts", other), lambda p: p["part"]).alias("parts")
+    asked = tokens.join(apart, "node").join(there.filter("c > 0"), ["token", "component"]).select("component", "node", lead).filter("size(parts) > 0")
     asked = asked.groupBy("component", "node").agg(F.array_distinct(F.flatten(F.collect_set("parts"))).alias("parts")).select("component", "node", F.explode("parts").alias("part"))
     # so many may be asked of one block that they are dealt into runs, each beside the block's own members
     asked = settle(asked, "asked")

@@ -83,6 +83,59 @@ def test_t_occurrence_as_all_pairs():
         assert label(links) == label([(a, b) for a in range(25) for b in range(a) if like(sets[a], sets[b])])
 
 
+def templates(seed, count, words=120, low=0, high=60):
+    """Texts of one template, each with words of its own behind it, of several sizes; some drop a bit of the template."""
+    rnd = random.Random(seed)
+    base = [f"t{k}" for k in range(words)]
+    rows = []
+    for k in range(count):
+        w = base + [f"own{k}.{j}" for j in range(rnd.randint(low, high))]
+        if rnd.random() < 0.3:
+            at = rnd.randrange(words)
+            del w[at : at + rnd.randint(1, 12)]
+        rows.append((k, " ".join(w), "en", "s", 1))
+    return rows
+
+
+@pytest.mark.parametrize(("low", "high", "block"), [(0, 60, 5), (8, 30, 5), (17, 60, 5), (8, 30, 256)])
+def test_templates_as_brute_force(spark, monkeypatch, low, high, block):
+    """Sets about as alike as asked for: some link, some do not, and all have most shingles in common."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    rows = templates(low + high, 70, low=low, high=high)
+    want = plain_groups(rows)
+    assert 1 < len(set(want.values())) <= len(rows)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_groups(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == want
+
+
+def test_sets_of_a_template_meet_nowhere(spark):
+    """Where all share a template and nothing links, prefixes lead nowhere: no loose group, so no search."""
+    rows = [(k, " ".join([f"t{j}" for j in range(200)] + [f"own{k}.{j}" for j in range(32)]), "en", "s", 1) for k in range(300)]
+    sets = [(k, len(s), s.view(np.int64).tolist()) for k, s in enumerate(jaccard.shingle_sets(pa.array([r[1] for r in rows])))]
+    prefix = jaccard._prefixes(spark.createDataFrame(sets, "class_id long, n long, tokens array<long>"), 80)
+    assert jaccard._loose(prefix).isEmpty()
+    got = {r.doc_id: r.component_id for r in jaccard.similar_groups(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {k: k for k in range(300)}
+
+
+def test_t_occurrence_with_shingles_that_all_have():
+    rnd = np.random.default_rng(9)
+    for percent in (50, 80, 95):
+        for _ in range(20):
+            base = np.arange(1, 81, dtype=np.uint64)
+            own = iter(range(1000, 10**6))
+            sets = [np.array([*base[: rnd.integers(60, 81)], *(next(own) for _ in range(rnd.integers(0, 40)))], dtype=np.uint64) for _ in range(20)]
+            links = jaccard.t_occurrence(sets, list(range(20)), percent)
+            label = np.arange(20)
+            for a, b in links:
+                label[label == label[a]] = label[b]
+            for a in range(20):
+                for b in range(a):
+                    like = 100 * len(np.intersect1d(sets[a], sets[b])) >= percent * len(np.union1d(sets[a], sets[b]))
+                    assert not like or label[a] == label[b]
+                    assert like or (a, b) not in links and (b, a) not in links
+
+
 def test_unlike_texts_of_one_doc_id_are_one_document(spark):
     """Groups that only a repeated doc_id connects are one, also by a text of it that is like no other."""
     a, b, c, d = ([f"{x}{k}" for k in range(60)] for x in "abcd")
