@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from pathline.sources.shared import settle
 
-ROWS = 2048  # of a side of a tile
+ROWS = 2048  # of a side of a block at least
+TILE = 512  # of a side of a tile, whose matrices stay near a core
 BLOCK_BYTES = 32 << 20  # of the vectors of a side of a block
 METRICS = ("sqeuclidean", "euclidean", "cosine", "cosine2", "jaccard")
 
@@ -43,8 +44,19 @@ def _block_rows(n_left: int, n_right: int, size: int, tasks: int, rows: int) ->
     return max(rows, min(math.isqrt(n_left * n_right // (4 * tasks)), BLOCK_BYTES // (8 * max(1, size))))
 
 
-def by_blocks(left: DataFrame, right: DataFrame, fn: Callable, schema: str, rows: int = ROWS, fold: Callable | None = None, wide: bool = True) -> DataFrame:
-    """fn(left table, its matrix, right table, its matrix) -> Arrow table, for every pair of tiles of `rows` rows a side.
+def tiles(n: int) -> list[slice]:
+    """The tiles of a side of a block."""
+    return [slice(i, i + TILE) for i in range(0, n, TILE)]
+
+
+def in_hand(df: DataFrame) -> int:
+    """Tasks that blocks are made for: two for each core, so that a vector is copied no more often with more partitions."""
+    return min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
+def by_blocks(left: DataFrame, right: DataFrame, fn: Callable, schema: str, rows: int = ROWS, fold: Callable | None = None, wide: bool = True, whole: bool = False) -> DataFrame:
+    """fn(left table, its matrix, right table, its matrix) -> Arrow table, for every pair of tiles of `rows` rows a side,
+    or of blocks with `whole` (see `tiles`).
 
     A row is copied once for each block of the other side. A block holds several tiles where
     the tables are large, unless `wide` is False (for an output of every pair); `fold` makes
@@ -53,8 +65,7 @@ def by_blocks(left: DataFrame, right: DataFrame, fn: Callable, schema: str, rows
     """
     left, right = (x.filter("embedding IS NOT NULL").withColumn("embedding", F.col("embedding").cast("array<double>")) for x in (left, right))
     (n_left, size), (n_right, _) = (x.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first() for x in (left, right))
-    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    side = _block_rows(n_left, n_right, size or 1, tasks, rows) if wide else rows
+    side = _block_rows(n_left, n_right, size or 1, in_hand(left), rows) if wide else rows
     n_left, n_right = (max(1, -(-n // side)) for n in (n_left, n_right))
     block = lambda df, n: F.pmod(F.xxhash64(*[c for c in df.columns if c != "embedding"]), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -63,6 +74,8 @@ def by_blocks(left: DataFrame, right: DataFrame, fn: Callable, schema: str, rows
 
     def run(x, y):
         u, v, out = _vectors(x), _vectors(y), []
+        if whole:
+            return fn(x, u, y, v)
         for i in range(0, max(1, len(x)), rows):
             row = None
             for j in range(0, max(1, len(y)), rows):
@@ -110,20 +123,25 @@ def _top(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray
 
 
 def _nearest_of(x: pa.Table, a: np.ndarray, y: pa.Table, b: np.ndarray, k: int, metric: str) -> pa.Table:
-    if not len(x) or not len(y):
-        return pa.table({"q_id": pa.array([], pa.int64()), "g_id": pa.array([], pa.int64()), "dist": pa.array([], pa.float64())})
-    d, ids = matrix(a, b, metric), y.column("g_id").to_numpy()
-    r, c = _top(d, ids, k)
-    return pa.table({"q_id": x.column("q_id").to_numpy()[r], "g_id": ids[c], "dist": d[r, c]})
-
-
-def _best_of(t: pa.Table, k: int) -> pa.Table:
-    q, g, d = (t.column(c).to_numpy() for c in ("q_id", "g_id", "dist"))
-    order = np.lexsort((g, np.round(d, 9), q))
-    q = q[order]
-    first = np.flatnonzero(np.append(True, q[1:] != q[:-1])[: len(q)])
-    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-    return t.take(order[place < k])
+    """The k nearest of each row of a block, tile by tile: of a later tile only what is no farther than the k-th so far is looked at."""
+    ids, out = y.column("g_id").to_numpy(), []
+    for at in tiles(len(x)) if len(y) else []:
+        n = len(a[at])
+        r, g, d, bound = np.zeros(0, dtype=np.int64), ids[:0], np.zeros(0), None
+        for to in tiles(len(y)):
+            m, own = matrix(a[at], b[to], metric), ids[to]
+            i, c = _top(m, own, k) if bound is None else np.nonzero(m <= bound[:, None])
+            if len(i):
+                r, g, d = np.append(r, i), np.append(g, own[c]), np.append(d, m[i, c])
+                near = np.round(d, 9)
+                order = np.lexsort((g, near, r))
+                order = order[np.arange(len(r)) - np.searchsorted(r[order], np.arange(n))[r[order]] < k]
+                r, g, d, near = r[order], g[order], d[order], near[order]
+            if (np.bincount(r, minlength=n) == k).all():
+                bound = near[k - 1 :: k] + 1e-9  # rounding hides less
+        out.append((x.column("q_id").to_numpy()[at][r], g, d))
+    q, g, d = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
+    return pa.table({"q_id": q, "g_id": g, "dist": d})
 
 
 #: Cells at most, whose pivots go to all tasks and whose sizes come to the driver; rows of a cell for which another is worth it.
@@ -219,6 +237,6 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, metric: str = "sqeuclid
 
         found = a.groupBy("_a", "_b").cogroup(b.groupBy("_a", "_b")).applyInArrow(run, schema)
     else:
-        found = by_blocks(q, g, lambda x, a, y, b: _nearest_of(x, a, y, b, k, metric), schema, rows, lambda t: _best_of(t, k))
+        found = by_blocks(q, g, lambda x, a, y, b: _nearest_of(x, a, y, b, k, metric), schema, rows, whole=True)
     w = Window.partitionBy("q_id").orderBy(F.round("dist", 9), "g_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
