@@ -1,7 +1,8 @@
 """Scores of metric learning over tables (M1 to M12): values, no gradients.
 
-Sums over pairs are taken inside a block of the distance matrix; what leaves a task is
-one row for each anchor, and rows of several blocks are merged by their maxima.
+Sums over pairs are taken inside a block of the distance matrix, in tiles of rows sorted by
+person, most of which are of one person or of different ones; what leaves a task is one row
+for each anchor, and rows of several blocks are merged by their maxima.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathline.functions.vectors import doubles, log_softmax, softmax, total
-from pathline.operators.distance import by_blocks, matrix
+from pathline.operators.distance import by_blocks, matrix, tiles
 
 
 def _sides(df: DataFrame, bank: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -21,38 +22,73 @@ def _sides(df: DataFrame, bank: DataFrame | None = None) -> tuple[DataFrame, Dat
     return q, g
 
 
-def _masks(x: pa.Table, y: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    pos = x.column("q_pid").to_numpy()[:, None] == y.column("g_pid").to_numpy()[None]
-    own = x.column("q_id").to_numpy()[:, None] == y.column("g_id").to_numpy()[None]
-    return pos, own
+def _persons(table: pa.Table, side: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of a block's rows by person, and the persons (null: NaN, which is none's equal) and ids so ordered."""
+    pid, ids = table.column(f"{side}_pid").to_numpy(), table.column(f"{side}_id").to_numpy()
+    order = np.argsort(pid, kind="stable")
+    return order, pid[order], ids[order]
+
+
+def _same(p: np.ndarray, q: np.ndarray) -> np.ndarray | bool:
+    """Which pairs of two sorted runs of persons are equal; True or False if all or none are."""
+    if p[0] == p[-1] == q[0] == q[-1]:
+        return True
+    return False if p[-1] < q[0] or q[-1] < p[0] else p[:, None] == q[None]
+
+
+def _anchors(x: pa.Table, a: np.ndarray, y: pa.Table, b: np.ndarray, columns: dict[str, float], fn) -> pa.Table:
+    """q_id and columns that start from given values; fn(their arrays, vectors of the tiles, which are equal, ids of both) changes
+    them tile by tile."""
+    (by, p, q_id), (to, g_pid, g_id) = _persons(x, "q"), _persons(y, "g")
+    a, b = a[by] if len(a) else a, b[to] if len(b) else b
+    out = {c: np.full(len(q_id) if len(g_id) else 0, start) for c, start in columns.items()}
+    for i in tiles(len(q_id)) if len(g_id) else []:
+        mine = {c: v[i] for c, v in out.items()}  # views
+        for j in tiles(len(g_id)):
+            fn(mine, a[i], b[j], _same(p[i], g_pid[j]), q_id[i], g_id[j])
+    return pa.table({"q_id": pa.array(q_id[: len(q_id) if len(g_id) else 0], pa.int64())} | out)
 
 
 def hard_mining(df: DataFrame, metric: str = "euclidean") -> DataFrame:
     """M1: q_id, ap (largest distance of its person, itself among them), an (smallest of another, 1e9 if none)."""
+    squared = metric == "euclidean"  # the root is taken of what is left
+
+    def tile(at, a, b, same, q_id, g_id):
+        d = matrix(a, b, "sqeuclidean" if squared else metric)
+        if same is not False:
+            np.maximum(at["ap"], (d if same is True else np.where(same, d, -np.inf)).max(1), out=at["ap"])
+        if same is not True:
+            np.minimum(at["an"], (d if same is False else np.where(same, np.inf, d)).min(1), out=at["an"])
 
     def fn(x, a, y, b):
-        if not len(x) or not len(y):
-            return pa.table({"q_id": pa.array([], pa.int64()), "ap": pa.array([], pa.float64()), "an": pa.array([], pa.float64())})
-        d, (pos, _) = matrix(a, b, metric), _masks(x, y)
-        return pa.table({"q_id": x.column("q_id"), "ap": np.where(pos, d, 0.0).max(1), "an": np.where(pos, 1e9, d).min(1)})
+        t = _anchors(x, a, y, b, {"ap": -np.inf, "an": np.inf}, tile)
+        ap, an = t.column("ap").to_numpy(), t.column("an").to_numpy()
+        root = (lambda d: np.sqrt(np.maximum(d, 1e-12))) if squared else (lambda d: d)
+        return pa.table({"q_id": t.column("q_id"), "ap": np.where(ap > -np.inf, np.maximum(root(ap), 0.0), 0.0), "an": np.minimum(root(an), 1e9)})
 
-    return by_blocks(*_sides(df), fn, "q_id long, ap double, an double").groupBy("q_id").agg(F.max("ap").alias("ap"), F.min("an").alias("an"))
+    return by_blocks(*_sides(df), fn, "q_id long, ap double, an double", whole=True).groupBy("q_id").agg(F.max("ap").alias("ap"), F.min("an").alias("an"))
 
 
 def weighted_mining(df: DataFrame, metric: str = "euclidean") -> DataFrame:
     """M2: q_id, ap, an as means of distances, weighted by a softmax over the mask (of minus the distance for other
     persons); the largest value that is subtracted counts masked zeros, and 1e-6 is added to the divisor."""
 
-    def fn(x, a, y, b):
-        names = ("q_id", "m", "p0", "p1", "n0", "n1")
-        if not len(x) or not len(y):
-            return pa.table({n: pa.array([], pa.float64() if n != "q_id" else pa.int64()) for n in names})
-        d, (pos, _) = matrix(a, b, metric), _masks(x, y)
-        m = np.where(pos, d, 0.0).max(1)
-        e, f = np.where(pos, np.exp(d - m[:, None]), 0.0), np.where(pos, 0.0, np.exp(-d))
-        return pa.table(dict(zip(names, (x.column("q_id").to_numpy(), m, e.sum(1), (e * d).sum(1), f.sum(1), (f * d).sum(1)), strict=True)))
-
-    rows = by_blocks(*_sides(df), fn, "q_id long, m double, p0 double, p1 double, n0 double, n1 double")
+    def tile(at, a, b, same, q_id, g_id):
+        d = matrix(a, b, metric)
+        if same is not False:
+            top = np.maximum(at["m"], (d if same is True else np.where(same, d, 0.0)).max(1))
+            shrink = np.exp(at["m"] - top)
+            e = np.exp(d - top[:, None]) if same is True else np.where(same, np.exp(np.minimum(d - top[:, None], 0.0)), 0.0)
+            at["p0"][:] = at["p0"] * shrink + e.sum(1)
+            at["p1"][:] = at["p1"] * shrink + np.einsum("ij,ij->i", e, d)
+            at["m"][:] = top
+        if same is not True:
+            f = np.exp(-d) if same is False else np.where(same, 0.0, np.exp(-d))
+            at["n0"] += f.sum(1)
+            at["n1"] += np.einsum("ij,ij->i", f, d)
+
+    columns = dict.fromkeys(("m", "p0", "p1", "n0", "n1"), 0.0)
+    rows = by_blocks(*_sides(df), lambda x, a, y, b: _anchors(x, a, y, b, columns, tile), "q_id long, m double, p0 double, p1 double, n0 double, n1 double", whole=True)
     top = F.exp(F.col("m") - F.max("m").over(Window.partitionBy("q_id")))
     rows = rows.withColumns({"p0": F.col("p0") * top, "p1": F.col("p1") * top})
     ratio = lambda a, b: F.sum(a) / (F.sum(b) + 1e-6)
@@ -74,18 +110,25 @@ def triplet(df: DataFrame, margin: float = 0.3, norm_feat: bool = False, hard: b
 def _pair_loss(df: DataFrame, bank: DataFrame | None, positive, negative) -> DataFrame:
     """q_id, loss = softplus(log-sum-exp of positives + that of negatives); 0 without one of both. Itself is no pair."""
 
-    def fn(x, a, y, b):
-        names = ("q_id", "mp", "sp", "mn", "sn")
-        if not len(x) or not len(y):
-            return pa.table({n: pa.array([], pa.float64() if n != "q_id" else pa.int64()) for n in names})
-        s, (pos, own) = 1 - matrix(a, b, "cosine"), _masks(x, y)
-        out = [x.column("q_id").to_numpy()]
-        for mask, logit in ((pos & ~own, positive(s)), (~pos, negative(s))):
-            m = np.where(mask, logit, -1e300).max(1)
-            out += [m, np.where(mask, np.exp(np.minimum(logit - m[:, None], 0.0)), 0.0).sum(1)]
-        return pa.table(dict(zip(names, out, strict=True)))
-
-    rows = by_blocks(*_sides(df, bank), fn, "q_id long, mp double, sp double, mn double, sn double")
+    def tile(at, a, b, same, q_id, g_id):
+        s = 1 - matrix(a, b, "cosine")
+        kinds = []
+        if same is not False:
+            kinds.append(("p", positive(s), (q_id[:, None] != g_id[None]) & same))
+        if same is not True:
+            kinds.append(("n", negative(s), None if same is False else ~same))
+        for kind, logit, mask in kinds:
+            if mask is not None:
+                logit = np.where(mask, logit, -1e300)
+            top = np.maximum(at[f"m{kind}"], logit.max(1))
+            e = np.exp(logit - top[:, None])
+            if mask is not None:
+                e *= mask  # a row without any has 1 everywhere
+            at[f"s{kind}"][:] = at[f"s{kind}"] * np.exp(at[f"m{kind}"] - top) + e.sum(1)
+            at[f"m{kind}"][:] = top
+
+    columns = {"mp": -1e300, "sp": 0.0, "mn": -1e300, "sn": 0.0}
+    rows = by_blocks(*_sides(df, bank), lambda x, a, y, b: _anchors(x, a, y, b, columns, tile), "q_id long, mp double, sp double, mn double, sn double", whole=True)
     w = Window.partitionBy("q_id")
     rows = rows.withColumns({"tp": F.max("mp").over(w), "tn": F.max("mn").over(w)})
     each = rows.groupBy("q_id", "tp", "tn").agg(F.sum(F.col("sp") * F.exp(F.col("mp") - F.col("tp"))).alias("sp"), F.sum(F.col("sn") * F.exp(F.col("mn") - F.col("tn"))).alias("sn"))
