@@ -246,6 +246,19 @@ def test_rolling_stream_places_late_rows(spark):
         assert sorted((str(r.name), str(r.iteration), str(r.seq), str(r.value), str(r["median"]), f"{r['mean'] or 0:.9f}") for r in got) == want
 
 
+def test_rolling_stream_keeps_a_long_series(spark):
+    """1.1 million rows of a name, the oldest last: rows beyond the newest million were dropped."""
+    at, n = catalog.new_folder(spark, "long"), 1_100_000
+    rows = spark.range(n).select(F.lit("a").alias("name"), F.col("id").alias("iteration"), F.lit(0).cast("long").alias("seq"), (F.col("id") % 7).cast("double").alias("value"))
+    for part in (rows.filter("iteration >= 500"), rows.filter("iteration < 500")):
+        part.coalesce(1).write.mode("append").parquet(at)
+        time.sleep(0.02)
+    out = catalog.finished(W.rolling_stream(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(at), 2), "long")
+    done = W.revised(out)
+    assert out.filter("iteration = -1").count() == 0 and done.count() == n
+    assert {r.iteration: r.mean for r in done.filter("iteration IN (0, 499, 500)").collect()} == {0: 0.0, 499: 1.5, 500: 2.5}
+
+
 def test_rolling_stream_is_bounded(spark):
     schema = "name string, iteration long, seq long, value double"
     parts = [[("a", i, 0, float(i)) for i in range(a, a + 1000)] for a in range(0, 5000, 1000)]
