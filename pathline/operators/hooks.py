@@ -34,12 +34,12 @@ def detect_frames(df: DataFrame, model_factory: Callable) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = model_factory()
         for frame in frames:
-            for r in frame.itertuples(index=False):
-                boxes = np.asarray(model(np.asarray(r.pixels).reshape(int(r.h), int(r.w), -1)), dtype=float).reshape(-1, 6)
-                out = pd.DataFrame(boxes, columns=["x1", "y1", "x2", "y2", "score", "cls"]).astype({"cls": "int32"})
-                out.insert(0, "frame", r.frame)
-                out.insert(0, "camera_id", r.camera_id)
-                yield out
+            found = [np.asarray(model(np.asarray(p).reshape(int(h), int(w), -1)), dtype=float).reshape(-1, 6) for p, h, w in zip(frame["pixels"], frame["h"], frame["w"], strict=True)]
+            out = pd.DataFrame(np.concatenate([np.zeros((0, 6)), *found]), columns=["x1", "y1", "x2", "y2", "score", "cls"]).astype({"cls": "int32"})
+            rows = np.repeat(np.arange(len(frame)), [len(b) for b in found])
+            out.insert(0, "frame", frame["frame"].to_numpy()[rows])
+            out.insert(0, "camera_id", frame["camera_id"].to_numpy()[rows])
+            yield out
 
     return df.select("camera_id", "frame", "pixels", "h", "w").mapInPandas(run, "camera_id int, frame int, x1 double, y1 double, x2 double, y2 double, score double, cls int")
 

@@ -435,3 +435,22 @@ def test_metric_lines_and_table_with_odd_names(spark):
     assert lines == {1: {"iteration": 1, **{n: float(k) for k, n in enumerate(names)}, "plain": 7.0}, 2: {"iteration": 2, "plain": 1.0}}
     table = {r.iteration: r.asDict() for r in S.metric_table(df).collect()}
     assert table[1] == {**lines[1], "none": None} and table[2]["plain"] == 1.0 and table[2]["é中"] is None
+
+
+def test_detections_of_a_batch_are_one_frame():
+    """There was a pandas frame for each image, whose making took most of the time."""
+    import pandas as pd
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, schema):
+            return run
+
+    boxes = [[1.0, 2.0, 3.0, 4.0, 0.5, 1.0] * n for n in (2, 1)]
+    frames = pd.DataFrame({"camera_id": [0, 2], "frame": [7, 9], "pixels": boxes, "h": [2, 1], "w": [2, 2]})
+    model = lambda: lambda image: image.reshape(-1, 6)
+    out = list(U.detect_frames(Rows(), model)(iter([frames, frames.iloc[:0]])))
+    assert len(out) == 2 and len(out[1]) == 0
+    assert [tuple(r) for r in out[0][["camera_id", "frame", "y2", "cls"]].to_numpy()] == [(0, 7, 4.0, 1), (0, 7, 4.0, 1), (2, 9, 4.0, 1)]
