@@ -6,12 +6,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathline.functions.boxes import iou
 
 BOX = ("x1", "y1", "x2", "y2")
+#: Boxes of a frame up to which all its pairs are compared at once.
+FEW = 64
 
 
 @dataclass(frozen=True)
@@ -30,23 +33,87 @@ def confident(df: DataFrame, p: Cleaning = Cleaning()) -> DataFrame:
     return df.filter((F.col("score") > p.conf) & F.col("cls").isin(*p.classes) & sound[0] & sound[1] & sound[2] & sound[3])
 
 
+def _greedy(box: np.ndarray, cls: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether each box of a frame, best first, is kept."""
+    x1, y1, x2, y2 = box
+    area, kept, left = (x2 - x1) * (y2 - y1), np.zeros(len(x1), dtype=bool), np.arange(len(x1))
+    while len(left):
+        k, left = left[0], left[1:]
+        kept[k] = True
+        w = np.maximum(0.0, np.minimum(x2[k], x2[left]) - np.maximum(x1[k], x1[left]))
+        h = np.maximum(0.0, np.minimum(y2[k], y2[left]) - np.maximum(y1[k], y1[left]))
+        over = w * h / (area[k] + area[left] - w * h + 1e-12)
+        left = left[~((over > threshold) & (cls[left] == cls[k]))]
+    return kept
+
+
+def _side_by_side(box: np.ndarray, cls: np.ndarray, first: np.ndarray, size: np.ndarray, threshold: float) -> np.ndarray:
+    """The same for many frames of few boxes at once: first and size of each frame; place by place, boxes that stay
+    take out those after them that they overlap."""
+    n = size.sum()
+    place = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
+    row = np.repeat(first, size) + place
+    after = np.repeat(size, size) - place - 1
+    a = np.repeat(row, after)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after) - after, after)
+    x1, y1, x2, y2 = box
+    w = np.maximum(0.0, np.minimum(x2[a], x2[b]) - np.maximum(x1[a], x1[b]))
+    h = np.maximum(0.0, np.minimum(y2[a], y2[b]) - np.maximum(y1[a], y1[b]))
+    area = (x2 - x1) * (y2 - y1)
+    met = (w * h / (area[a] + area[b] - w * h + 1e-12) > threshold) & (cls[a] == cls[b])
+    at, a, b = np.repeat(place, after)[met], a[met], b[met]
+    order = np.argsort(at, kind="stable")
+    at, a, b = at[order], a[order], b[order]
+    kept = np.zeros(box.shape[1], dtype=bool)
+    kept[row] = True
+    for k in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at)) + 1):
+        kept[b[k][kept[a[k]]]] = False
+    return kept
+
+
+def _kept(table: pa.Table, cuts: np.ndarray, threshold: float) -> pa.Table:
+    """The rows of whole frames, whose first rows are cuts, that stay, in order of the table."""
+    box = np.stack([table.column(c).to_numpy() for c in BOX])
+    score, cls = (table.column(c).to_numpy() for c in ("score", "cls"))
+    det, unknown = pc.fill_null(table.column("det_id"), 0).to_numpy(), pc.is_null(table.column("det_id")).to_numpy()
+    size = np.diff(np.append(cuts, len(table)))
+    order = np.lexsort((det, unknown, -score, np.repeat(np.arange(len(cuts)), size)))
+    box, cls = box[:, order], cls[order]
+    few, kept = size <= FEW, np.zeros(len(table), dtype=bool)
+    kept |= _side_by_side(box, cls, cuts[few], size[few], threshold)
+    for at, n in zip(cuts[~few].tolist(), size[~few].tolist(), strict=True):
+        kept[at : at + n] = _greedy(box[:, at : at + n], cls[at : at + n], threshold)
+    return table.filter(pa.array(np.isin(np.arange(len(table)), order[kept])))
+
+
 def suppress(df: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Greedy suppression in each frame, best score first, ties by det_id: a box goes if a kept one of its class overlaps it more than the threshold."""
-
-    def run(table):
-        x1, y1, x2, y2, score, cls, det = (table.column(c).to_numpy() for c in (*BOX, "score", "cls", "det_id"))
-        area, kept = (x2 - x1) * (y2 - y1), []
-        left = np.lexsort((det, -score))
-        while len(left):
-            k, left = left[0], left[1:]
-            kept.append(k)
-            w = np.maximum(0.0, np.minimum(x2[k], x2[left]) - np.maximum(x1[k], x1[left]))
-            h = np.maximum(0.0, np.minimum(y2[k], y2[left]) - np.maximum(y1[k], y1[left]))
-            over = w * h / (area[k] + area[left] - w * h + 1e-12)
-            left = left[~((over > threshold) & (cls[left] == cls[k]))]
-        return table.take(pa.array(sorted(kept)))
-
-    return df.groupBy("camera_id", "frame").applyInArrow(run, df.schema)
+    """Greedy suppression in each frame, best score first, ties by det_id: a box goes if a kept one of its class overlaps it more than the threshold.
+
+    A task reads whole frames in order, and takes those of a batch together, as one call for each would cost more than its boxes."""
+
+    def run(batches):
+        held = []  # a frame that may go on in the next batch
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if not len(t):
+                continue
+            starts = np.zeros(len(t), dtype=bool)
+            for c in ("camera_id", "frame"):
+                starts[1:] |= np.diff(batch.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy()) != 0
+                starts[0] |= not held or t.column(c)[0] != held[-1].column(c)[-1]
+            cuts = np.flatnonzero(starts)
+            if not len(cuts):
+                held.append(t)
+                continue
+            before = sum(map(len, held))
+            whole = pa.concat_tables([*held, t.slice(0, cuts[-1])])
+            if len(whole):
+                yield from _kept(whole, np.append([0] if held else cuts[:0], cuts[:-1] + before), threshold).to_batches()
+            held = [t.slice(cuts[-1])]
+        if held:
+            yield from _kept(pa.concat_tables(held), np.zeros(1, dtype=np.int64), threshold).to_batches()
+
+    return df.repartition("camera_id", "frame").sortWithinPartitions("camera_id", "frame").mapInArrow(run, df.schema)
 
 
 def best_of_frame(df: DataFrame, most: int = 32) -> DataFrame:
