@@ -194,7 +194,7 @@ def test_pairs_held(monkeypatch, what):
     edges = D._edges(d if what != "no number" else d * np.nan, 4) + (100 if what == "far" else 0)
     made, order = [], D._order
     monkeypatch.setattr(D, "_order", lambda x: made.append(len(x)) or order(x))
-    out = pa.Table.from_batches(list(D._by_distance(pa.array(range(60)), pa.array(range(50)), lambda i, j: d[i : i + 30, j : j + 25], places, edges, 1000)))
+    out = pa.Table.from_batches(list(D._together(pa.array(range(60)), pa.array(range(50)), lambda i, j: d[i : i + 30, j : j + 25], places, edges, 1000)))
     q, g, dist = (c.to_numpy() for c in out.columns)
     assert sorted(zip(q.tolist(), g.tolist(), strict=True)) == [(i, j) for i in range(60) for j in range(50)]
     assert np.array_equal(dist, d[q, g], equal_nan=True) and max(made) < 1000 + 750
